@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,13 +39,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table that stored() made and that no later step reads."""
-    spark = df.sparkSession
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that stored() made and that no later step reads, and lets Spark clean up the shuffles behind them."""
+    spark = tables[0].sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tables/" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tables/" in f}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

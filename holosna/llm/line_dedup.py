@@ -111,11 +111,11 @@ def line_sets(docs: DataFrame, head: np.ndarray, num: int, den: int) -> DataFram
     return by_batch(texts, look, "doc_id long, dk long, line int, class long, n int, prefix array<long>")
 
 
-def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b of classes) whose sets have the similarity, settled on the words of their first lines."""
+def similar(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b of classes by number) whose sets have the similarity, settled on the words of their first lines."""
     pairs = stored(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct().join(classes, "class")
-    wanted = stored(need.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("line", "class")).alias("wanted")), "wanted")
+    need = pairs.select(F.col("a").alias("ord")).unionByName(pairs.select(F.col("b").alias("ord"))).distinct().join(firsts, "ord")
+    wanted = stored(need.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("line", "ord")).alias("wanted")), "wanted")
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), utf8(F.col("text")).alias("text_utf8"))
     own = own.join(small(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("dk") == F.col("key"))).select("wanted", "text_utf8")
 
@@ -125,16 +125,15 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den
             rows = text.split(b"\n")
             _, _, h, first = words([rows[x["line"]] for x in lines], SPACED)
             for k, x in enumerate(lines):
-                kinds.append(x["class"])
+                kinds.append(x["ord"])
                 sets.append(np.unique(h[first[k] : first[k + 1]]).view(np.int64))
-        return {"class": kinds, "words": sets}
+        return {"ord": kinds, "words": sets}
 
-    words_of = stored(by_batch(own, look, "class long, words array<long>").dropDuplicates(["class"]), "words")
-    both = pairs.join(words_of.select(F.col("class").alias("a"), F.col("words").alias("x")), "a").join(words_of.select(F.col("class").alias("b"), F.col("words").alias("y")), "b")
+    words_of = stored(by_batch(own, look, "ord long, words array<long>").dropDuplicates(["ord"]), "words")
+    both = pairs.join(words_of.select(F.col("ord").alias("a"), F.col("words").alias("x")), "a").join(words_of.select(F.col("ord").alias("b"), F.col("words").alias("y")), "b")
     overlap = F.size(F.array_intersect("x", "y"))
     out = stored(both.where(overlap * den >= num * (F.size("x") + F.size("y") - overlap)).select("a", "b"), "similar")
-    for done in (pairs, wanted, words_of):
-        dropped(done)
+    dropped(pairs, wanted, words_of)
     return out
 
 
@@ -145,36 +144,35 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     once decided; rows that share an id but not a text are told apart by dk, the hash of the text. A null doc_id comes
     before all others. Other columns are ignored. Empty docs: no rows.
     """
+    c = F.col
     lines = stored(line_sets(docs, frequent_words(docs), num, den), "lines")
-    classes = stored(
-        lines.groupBy("class").agg(F.min(F.struct("doc_id", "dk", "line")).alias("f"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("n_lines")).select("class", "f.*", "n", "prefix", "n_lines"),
-        "classes",
-    )
     place = stored(lines.select("doc_id", "dk", "line", "class"), "places")
+    kinds = lines.groupBy("class").agg(F.min(F.struct("doc_id", "dk", "line")).alias("f"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("n_lines"))
+    # classes are numbered in the order of their first lines: one long is a class's key and its place in time
+    classes = stored(kinds.select("class", "f.*", "n", "prefix", "n_lines").orderBy("doc_id", "dk", "line").withColumn("ord", F.monotonically_increasing_id()), "classes")
     dropped(lines)
-    posts = classes.select(F.posexplode("prefix").alias("pos", "word"), "class", "doc_id", "dk", "line", "n")
-    by_word = Window.partitionBy("word").orderBy("doc_id", "dk", "line", "class")
-    this = F.struct("class", "n", "pos")
-    met = posts.withColumn("rep", F.first(this).over(by_word)).withColumn("next", F.lead("class").over(by_word)).where("class <> rep.class OR next IS NOT NULL")
-    met = stored(met.select("word", "class", "doc_id", "dk", "line", "n", "pos", "rep"), "met")
+    posts = classes.select(F.posexplode("prefix").alias("pos", "word"), "ord", "n").select("word", "ord", (F.shiftleft(c("n").cast("long"), 32) + c("pos")).alias("np"))
+    by_word = Window.partitionBy("word").orderBy("ord")
+    met = posts.withColumn("rep", F.first("ord").over(by_word)).withColumn("rep_np", F.first("np").over(by_word)).where("ord <> rep")
+    met = stored(met, "met")
 
-    def room(n1, p1, n2, p2):
+    def room(x: str, y: str):
         """Lengths and the places of the shared word leave room for the least overlap."""
-        most = F.least(n1 - p1, n2 - p2)
-        return (F.least(n1, n2) * den >= num * F.greatest(n1, n2)) & (most * (num + den) >= num * (n1 + n2))
-
-    c = F.col
-    star = met.where(c("class") != c("rep.class")).where(room(c("n"), c("pos"), c("rep.n"), c("rep.pos"))).select(c("rep.class").alias("a"), c("class").alias("b")).distinct()
-    gone = stored(similar(star, classes.select("class", "doc_id", "dk", "line"), docs, num, den).select(c("b").alias("class")).distinct(), "gone")
-    rest = met.where(c("class") != c("rep.class")).select("word", "class", "doc_id", "dk", "line", "n", "pos")
-    late = rest.join(gone, "class", "left_anti").select("word", *(c(x).alias("l_" + x) for x in ("class", "doc_id", "dk", "line", "n", "pos")))
-    earlier = F.struct("doc_id", "dk", "line") < F.struct(c("l_doc_id").alias("doc_id"), c("l_dk").alias("dk"), c("l_line").alias("line"))
-    more = late.join(rest, "word").where(earlier & room(c("n"), c("pos"), c("l_n"), c("l_pos"))).select(c("class").alias("a"), c("l_class").alias("b")).distinct()
-    gone = gone.unionByName(similar(more, classes.select("class", "doc_id", "dk", "line"), docs, num, den).select(c("b").alias("class")).distinct())
-    marked = classes.select("class", c("doc_id").alias("f_doc"), c("dk").alias("f_dk"), c("line").alias("f_line"), "n_lines").join(gone.withColumn("gone", F.lit(True)), "class", "left")
+        n1, n2, p1, p2 = F.shiftright(c(x), 32), F.shiftright(c(y), 32), c(x).cast("int"), c(y).cast("int")
+        return (F.least(n1, n2) * den >= num * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) * (num + den) >= num * (n1 + n2))
+
+    firsts = classes.select("ord", "doc_id", "dk", "line")
+    gone = similar(met.where(room("np", "rep_np")).select(c("rep").alias("a"), c("ord").alias("b")).distinct(), firsts, docs, num, den)
+    gone = stored(gone.select(c("b").alias("ord")).distinct(), "gone")
+    late = met.join(gone, "ord", "left_anti").select("word", c("ord").alias("b"), c("np").alias("b_np"))
+    more = late.join(met.select("word", c("ord").alias("a"), c("np").alias("a_np")), "word").where((c("a") < c("b")) & room("a_np", "b_np")).select("a", "b").distinct()
+    gone = gone.unionByName(similar(more, firsts, docs, num, den).select(c("b").alias("ord")).distinct())
+    marked = classes.select("class", c("doc_id").alias("f_doc"), c("dk").alias("f_dk"), c("line").alias("f_line"), "n_lines", "ord").join(gone.withColumn("gone", F.lit(True)), "ord", "left")
     first = c("doc_id").eqNullSafe(c("f_doc")) & (c("dk") == c("f_dk")) & (c("line") == c("f_line"))
-    out = place.join(marked.where("gone OR n_lines > 1"), "class").where(F.coalesce("gone", F.lit(False)) | ~first)
-    return stored(out.groupBy("doc_id", "dk").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
+    out = place.join(marked.where("gone OR n_lines > 1").drop("ord"), "class").where(F.coalesce("gone", F.lit(False)) | ~first)
+    out = stored(out.groupBy("doc_id", "dk").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
+    dropped(classes, place, met)
+    return out
 
 
 def decisions(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:

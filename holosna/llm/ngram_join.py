@@ -125,8 +125,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
         return {"a": more["a"].filter(pa_mask(keep)), "b": more["b"].filter(pa_mask(keep))}
 
     out = stored(by_batch(both, look, "a long, b long"), "verified")
-    for done in (likely, need, texts):
-        dropped(done)
+    dropped(likely, need, texts)
     return out
 
 
