@@ -158,7 +158,7 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
 
     def room(x: str, y: str):
         """Lengths and the places of the shared word leave room for the least overlap."""
-        n1, n2, p1, p2 = F.shiftright(c(x), 32), F.shiftright(c(y), 32), c(x).cast("int"), c(y).cast("int")
+        n1, n2, p1, p2 = F.shiftright(c(x), 32), F.shiftright(c(y), 32), c(x).bitwiseAND(0xFFFFFFFF), c(y).bitwiseAND(0xFFFFFFFF)
         return (F.least(n1, n2) * den >= num * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) * (num + den) >= num * (n1 + n2))
 
     firsts = classes.select("ord", "doc_id", "dk", "line")
