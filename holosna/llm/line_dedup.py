@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from holosna.llm.common import SPACED, by_batch, dropped, mix, small, steps, stored, utf8, words
 
-HEAD = 1 << 18
+HEAD = 1 << 20
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 1 << 21
 
@@ -74,7 +74,7 @@ def ranks(head: np.ndarray):
         if len(held):
             i = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
             rank = np.where(held[i] == hashes, order[i] + 1, 0).astype(np.uint64)
-        return (rank << np.uint64(44)) | (hashes >> np.uint64(20))
+        return (rank << np.uint64(42)) | (hashes >> np.uint64(22))
 
     return of
 
@@ -129,11 +129,12 @@ def similar(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, num: int, den:
                 sets.append(np.unique(h[first[k] : first[k + 1]]).view(np.int64))
         return {"ord": kinds, "words": sets}
 
-    words_of = stored(by_batch(own, look, "ord long, words array<long>").dropDuplicates(["ord"]), "words")
+    # one exchange of the sets serves both joins
+    words_of = by_batch(own, look, "ord long, words array<long>").groupBy("ord").agg(F.first("words").alias("words"))
     both = pairs.join(words_of.select(F.col("ord").alias("a"), F.col("words").alias("x")), "a").join(words_of.select(F.col("ord").alias("b"), F.col("words").alias("y")), "b")
     overlap = F.size(F.array_intersect("x", "y"))
     out = stored(both.where(overlap * den >= num * (F.size("x") + F.size("y") - overlap)).select("a", "b"), "similar")
-    dropped(pairs, wanted, words_of)
+    dropped(pairs, wanted)
     return out
 
 
