@@ -1,4 +1,5 @@
-"""Registered queries over the library's own operators."""
+"""Registered queries over the library's own operators, and their SQL where SQL can express them."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from holosna.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
