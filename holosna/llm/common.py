@@ -40,15 +40,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes the files of tables that stored() made and that no later step reads, and lets Spark clean up the shuffles behind them."""
+    """Deletes the files of tables that stored() made and that no later step reads."""
     spark = tables[0].sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for df in tables:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tables/" in f}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+    released(spark)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's next collection."""
     gc.collect()
-    jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

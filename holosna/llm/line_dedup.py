@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holosna.llm.common import SPACED, by_batch, dropped, mix, small, steps, stored, utf8, words
+from holosna.llm.common import SPACED, by_batch, dropped, mix, released, small, steps, stored, utf8, words
 
 HEAD = 1 << 20
 #: Distinct words that a task holds before it passes their counts on.
@@ -79,8 +79,16 @@ def ranks(head: np.ndarray):
     return of
 
 
+def bitmaps(word: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Per line, 256 bits of its words' hashes: bits that differ between two lines are no more than words that differ."""
+    bit = word >> np.uint64(56)
+    quarters = [np.where(bit >> np.uint64(6) == q, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)) for q in range(4)]
+    joined = np.stack([np.bitwise_or.reduceat(x, begin) if len(begin) else x for x in quarters], 1).reshape(-1)
+    return pa.ListArray.from_arrays(np.arange(len(begin) + 1, dtype=np.int32) * 4, pa.array(joined.view(np.int64)))
+
+
 def line_sets(docs: DataFrame, head: np.ndarray, num: int, den: int) -> DataFrame:
-    """A row per line with a word: doc_id, dk (hash of the text), line (from 0), class, n (distinct words), prefix (rarest first)."""
+    """A row per line with a word: doc_id, dk (hash of the text), line (from 0), class, n (distinct words), bits, prefix (rarest first)."""
 
     ranked = ranks(head)
 
@@ -104,17 +112,22 @@ def line_sets(docs: DataFrame, head: np.ndarray, num: int, den: int) -> DataFram
             "line": (number - first[doc]).astype(np.int32),
             "class": kind.view(np.int64),
             "n": n.astype(np.int32),
+            "bits": bitmaps(word, begin),
             "prefix": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(word[inside].view(np.int64))),
         }
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dk"), utf8(F.col("text")).alias("text_utf8"))
-    return by_batch(texts, look, "doc_id long, dk long, line int, class long, n int, prefix array<long>")
+    return by_batch(texts, look, "doc_id long, dk long, line int, class long, n int, bits array<long>, prefix array<long>")
 
 
 def similar(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b of classes by number) whose sets have the similarity, settled on the words of their first lines."""
-    pairs = stored(pairs, "pairs")
-    need = pairs.select(F.col("a").alias("ord")).unionByName(pairs.select(F.col("b").alias("ord"))).distinct().join(firsts, "ord")
+    side = lambda x: firsts.select(F.col("ord").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("s" + x))
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = F.col("na") + F.col("nb") - differ  # twice the overlap that the bitmaps leave room for
+    pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(most * (num + den) >= 2 * num * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
+    released(pairs.sparkSession)
+    need = pairs.select(F.col("a").alias("ord")).unionByName(pairs.select(F.col("b").alias("ord"))).distinct().join(firsts.drop("n", "bits"), "ord")
     wanted = stored(need.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("line", "ord")).alias("wanted")), "wanted")
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), utf8(F.col("text")).alias("text_utf8"))
     own = own.join(small(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("dk") == F.col("key"))).select("wanted", "text_utf8")
@@ -148,9 +161,9 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     c = F.col
     lines = stored(line_sets(docs, frequent_words(docs), num, den), "lines")
     place = stored(lines.select("doc_id", "dk", "line", "class"), "places")
-    kinds = lines.groupBy("class").agg(F.min(F.struct("doc_id", "dk", "line")).alias("f"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("n_lines"))
+    kinds = lines.groupBy("class").agg(F.min(F.struct("doc_id", "dk", "line")).alias("f"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.count("*").alias("n_lines"))
     # classes are numbered in the order of their first lines: one long is a class's key and its place in time
-    classes = stored(kinds.select("class", "f.*", "n", "prefix", "n_lines").orderBy("doc_id", "dk", "line").withColumn("ord", F.monotonically_increasing_id()), "classes")
+    classes = stored(kinds.select("class", "f.*", "n", "bits", "prefix", "n_lines").orderBy("doc_id", "dk", "line").withColumn("ord", F.monotonically_increasing_id()), "classes")
     dropped(lines)
     posts = classes.select(F.posexplode("prefix").alias("pos", "word"), "ord", "n").select("word", "ord", (F.shiftleft(c("n").cast("long"), 32) + c("pos")).alias("np"))
     by_word = Window.partitionBy("word").orderBy("ord")
@@ -162,7 +175,7 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
         n1, n2, p1, p2 = F.shiftright(c(x), 32), F.shiftright(c(y), 32), c(x).bitwiseAND(0xFFFFFFFF), c(y).bitwiseAND(0xFFFFFFFF)
         return (F.least(n1, n2) * den >= num * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) * (num + den) >= num * (n1 + n2))
 
-    firsts = classes.select("ord", "doc_id", "dk", "line")
+    firsts = classes.select("ord", "doc_id", "dk", "line", "n", "bits")
     gone = similar(met.where(room("np", "rep_np")).select(c("rep").alias("a"), c("ord").alias("b")).distinct(), firsts, docs, num, den)
     gone = stored(gone.select(c("b").alias("ord")).distinct(), "gone")
     late = met.join(gone, "ord", "left_anti").select("word", c("ord").alias("b"), c("np").alias("b_np"))

@@ -7,8 +7,8 @@ largest size, so if the hash range is cut into more than k parts, some part is e
 meetings. Parts are cut a little finer (``spare``), so that linked sets share an equal part that isn't empty, and
 empty parts are left out unless a class has more than ``spare`` of them.
 
-Classes that meet are compared with the first of their meeting; components of these links are found; and only
-meetings that still span components compare all their classes, in square tiles of bounded rows, by bitmap: the bits
+Classes that meet are compared with the first of their meeting, and, where the meeting then still spans components,
+with a few more; components of these links are found; and only meetings that still span some compare all classes, in square tiles of bounded rows, by bitmap: the bits
 that differ bound the overlap from above. What the bound lets through is settled by intersecting the sorted arrays.
 Shingles, parts and classes are compared by 64-bit hash.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,6 +29,8 @@ from holosna.llm.components import components
 BAND, TILE_ROWS = 1.6, 512
 #: 64-bit words of the bitmaps that tiles compare, and of those that pairs are held against before their texts are read.
 NARROW, WIDE = 16, 96
+#: Classes of a meeting that the others are compared with in the second step.
+STARS = 3
 
 
 def spare(k: int) -> int:
@@ -148,10 +150,24 @@ def by_class(texts: DataFrame, width: int) -> DataFrame:
     return by_batch(texts.select("class", F.col("t").alias("text_utf8")), look, "class long, t binary").dropDuplicates(["class"])
 
 
+def placed_in(met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The meetings' classes with their components' roots, and the meetings of three or more that span components."""
+    placed = met.join(roots, met["class"] == roots["node"], "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "class", "root")).alias(f"s{k}") for k in range(STARS)))
+    return placed, open_.where("low <> high AND n > 2")
+
+
+def more_stars(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of each class with STARS others of its meeting, the same few in most meetings of a group, if their components differ."""
+    placed, open_ = placed_in(met, roots)
+    reps = open_.select("key", F.explode(F.array(*(f"s{k}" for k in range(STARS)))).alias("rep"))
+    return placed.join(reps, "key").where("rep.root <> root").select(F.least("class", "rep.class").alias("a"), F.greatest("class", "rep.class").alias("b")).distinct()
+
+
 def crossing(met: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of classes that meet, lie in different components, and that sizes and bitmaps let link."""
-    placed = met.join(roots, met["class"] == roots["node"], "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-    open_ = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high AND n > 2").select("key", "n")
+    placed, open_ = placed_in(met, roots)
+    open_ = open_.select("key", "n")
     blocks = F.ceil(F.col("n") / TILE_ROWS).cast("int")
     rows = placed.join(open_, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -218,10 +234,12 @@ def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     star = met.where("class <> rep").select(F.col("rep").alias("a"), F.col("class").alias("b")).distinct()
     links = verified(star, classes, docs, width, num, den)
     roots = stored(components(links), "roots")
-    more = stored(crossing(met.select("key", "class"), roots, classes, num, den), "crossing")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, classes, docs, width, num, den))
-        roots = stored(components(links), "roots")
+    for step in (more_stars, partial(crossing, classes=classes, num=num, den=den)):
+        more = stored(step(met.select("key", "class"), roots), "more")
+        if not more.isEmpty():
+            links = links.unionByName(verified(more, classes, docs, width, num, den))
+            roots = stored(components(links), "roots")
+        dropped(more)
     dropped(met)
     placed = classes.join(roots, classes["class"] == roots["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "first", "n_docs")
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_classes"), F.sum("n_docs").alias("n_docs"))
