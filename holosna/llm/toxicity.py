@@ -17,7 +17,7 @@ from holosna.llm.common import by_batch, small, stored, utf8
 
 ORDERS, BITS, LEAST_TEXTS, LEAST_RATIO, RIDGE, ROUNDS = (5, 7), 20, 4, 0.7, 1e-4, 200
 #: Learnt from at most about so many labelled documents of each class, dealt by a hash of the id.
-SAMPLE_PER_CLASS = 3000
+SAMPLE_PER_CLASS = 1500
 LOWER = np.array([b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\v\f\r" else b for b in range(256)], np.uint8)
 
 
@@ -72,20 +72,23 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
 def fitted(rows: list[np.ndarray], y: np.ndarray, prior: float) -> Model:
     """Logistic regression on features scaled by their log-count ratios; the sample's balance is set right to the prior."""
-    n, size = 1 << BITS, np.array([len(r) for r in rows])
-    col, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), size)
-    one, seen = np.bincount(col[y[row] == 1], minlength=n), np.bincount(col, minlength=n)
+    n = 1 << BITS
+    one, seen = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for r, label in zip(rows, y, strict=True):  # a row's buckets are distinct
+        seen[r] += 1
+        if label == 1:
+            one[r] += 1
     ratio = np.log((one + 1) / (y.sum() + 2)) - np.log((seen - one + 1) / (len(y) - y.sum() + 2))
     use = (seen >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
-    number = np.cumsum(use) - 1
-    keep = use[col]
-    row, col = row[keep], number[col[keep]]
+    number = (np.cumsum(use) - 1).astype(np.int32)
+    kept = [number[r[use[r]]] for r in rows]  # only the features that count are put together
+    row, col = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in kept]), np.concatenate(kept)
     r = ratio[use]
     value = r[col]
-    w, b, mean_w, mean_b = np.zeros(len(r)), 0.0, np.zeros(len(r)), 0.0
+    w, b = np.zeros(len(r)), 0.0
     g2, gb2 = np.full(len(r), 1e-8), 1e-8
     cost = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
-    for t in range(ROUNDS):  # full-batch AdaGrad: convex, no draw of chance
+    for _ in range(ROUNDS):  # full-batch AdaGrad: convex, no draw of chance
         z = b + np.bincount(row, w[col] * value, len(y))
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost / len(y)
         g, gb = np.bincount(col, e[row] * value, len(r)) + RIDGE * w, e.sum()
@@ -93,7 +96,6 @@ def fitted(rows: list[np.ndarray], y: np.ndarray, prior: float) -> Model:
         gb2 += gb * gb
         w -= 0.1 * g / np.sqrt(g2)
         b -= 0.1 * gb / np.sqrt(gb2)
-    del mean_w, mean_b, t
     out = np.zeros(n, np.float32)
     out[use] = w * r
     return Model(out, float(b + 0.5 * np.log(prior / (1 - prior))))
