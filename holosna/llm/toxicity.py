@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from holosna.llm.common import by_batch, small, stored, utf8
 
-ORDERS, BITS, LEAST_TEXTS, LEAST_RATIO, RIDGE, ROUNDS = (5, 7), 20, 4, 0.7, 1e-4, 200
-#: Learnt from at most about so many labelled documents of each class, dealt by a hash of the id.
-SAMPLE_PER_CLASS = 1500
+ORDERS, BITS, LEAST_TEXTS, LEAST_RATIO, RIDGE, ROUNDS = (5, 7), 20, 6, 0.7, 1e-4, 200
+#: Learnt from at most about so many clean and toxic labelled documents, dealt by a hash of the id.
+SAMPLE_PER_CLASS = (3500, 1500)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\v\f\r" else b for b in range(256)], np.uint8)
 
 
@@ -48,13 +48,13 @@ def distinct(doc: np.ndarray, bucket: np.ndarray, bits: int = BITS) -> tuple[np.
     return key >> bits, key & ((1 << bits) - 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS) -> Model:
     """labels: doc_id and label (0 or 1; null: left out). A bounded sample of each class; its features go to the driver."""
     known = labels.select(F.col("doc_id").alias("__id"), F.col("label").cast("int").alias("label")).where("label IN (0, 1) AND __id IS NOT NULL").groupBy("__id").agg(F.max("label").alias("label"))
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return Model(np.zeros(1 << BITS, np.float32), -20.0 if not sizes.get(1) else 20.0)
-    rate = F.when(F.col("label") == 1, min(1.0, per_class / sizes[1])).otherwise(min(1.0, per_class / sizes[0]))
+    rate = F.when(F.col("label") == 1, min(1.0, per_class[1] / sizes[1])).otherwise(min(1.0, per_class[0] / sizes[0]))
     picked = stored(known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < rate * 1_000_003), "sample")
     rows = docs.select("doc_id", "text").join(small(picked, picked.count()), F.col("doc_id") == F.col("__id")).select("doc_id", "label", utf8(F.col("text")).alias("text_utf8"))
 
