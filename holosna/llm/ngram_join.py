@@ -27,7 +27,8 @@ from holosna.llm.common import by_batch, dropped, mix, shingle_sets, small, stor
 from holosna.llm.components import components
 
 BAND, TILE_ROWS = 1.6, 512
-#: 64-bit words of the bitmaps that tiles compare, and of those that pairs are held against before their texts are read.
+#: 64-bit words of the bitmaps that tiles compare, at least (they grow with the set, see narrow_width), and of those
+#: that pairs are held against before their texts are read.
 NARROW, WIDE = 16, 96
 #: Classes of a meeting that the others are compared with in the second step.
 STARS = 3
@@ -72,6 +73,11 @@ def keys(x: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def narrow_width(n: int) -> int:
+    """Words of the bitmap of a set of n: a power of two, of 1.5 to 3 bits a shingle, so that long sets don't fill it."""
+    return max(NARROW, 1 << (-(-3 * n // 128) - 1).bit_length())
+
+
 def signature(x: np.ndarray, size: int) -> np.ndarray:
     """A bitmap of the set: bits that differ between two bitmaps are no more than shingles that differ."""
     bits = np.zeros(size * 64, np.uint8)
@@ -89,7 +95,7 @@ def sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             "n_shingles": [len(x) for x in own],
             "class": [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) if len(x) else None for x in own],
             "keys": [keys(x, num, den).view(np.int64) if len(x) else [] for x in own],
-            "narrow": [signature(x, NARROW) if len(x) else [] for x in own],
+            "narrow": [signature(x, narrow_width(len(x))) if len(x) else [] for x in own],
             "wide": [signature(x, WIDE) if len(x) else [] for x in own],
         }
 
@@ -201,14 +207,20 @@ def tiles(frame, num: int, den: int):
     edge = [*np.flatnonzero(change), len(frame)]
     cls, root, n, block = (frame[c].to_numpy() for c in ("class", "root", "n_shingles", "block"))
     ij = (frame["i"] == frame["j"]).to_numpy()
-    bits = np.stack(frame["signature"].to_numpy()).astype(np.int64).view(np.uint64)
+    bitmaps = frame["signature"].to_numpy()
+    flat = np.concatenate(bitmaps).astype(np.int64).view(np.uint64)
+    at = np.cumsum([0, *(len(x) for x in bitmaps)])
     for s, e in zip(edge[:-1], edge[1:], strict=True):
+        # bitmaps of unequal widths are folded to the least; sizes in a tile differ less than twofold, so it is near
+        least = int(np.diff(at[s : e + 1]).min())
+        own = flat[at[s] : at[e]].reshape(-1, least)
+        bits = own if len(own) == e - s else np.bitwise_or.reduceat(own, (at[s:e] - at[s]) // least)
         for x in range(s, e):
             y = np.arange(x + 1, e)
             y = y[(root[y] != root[x]) & (ij[x] | (block[y] != block[x])) & (np.minimum(n[y], n[x]) * den >= num * np.maximum(n[y], n[x]))]
             if not len(y):
                 continue
-            most = (n[y] + n[x] - np.bitwise_count(bits[y] ^ bits[x]).sum(1).astype(np.int64)) / 2
+            most = (n[y] + n[x] - np.bitwise_count(bits[y - s] ^ bits[x - s]).sum(1).astype(np.int64)) / 2
             y = y[most * den >= num * (n[y] + n[x] - most)]
             out_a.append(np.minimum(cls[x], cls[y]))
             out_b.append(np.maximum(cls[x], cls[y]))

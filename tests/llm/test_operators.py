@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,19 @@ def test_ngram_keys_never_miss():
                 assert len(np.intersect1d(ngram_join.keys(x, 85, 100), ngram_join.keys(y, 85, 100)))
 
 
+def test_ngram_tiles_of_unequal_bitmaps():
+    """Bitmaps of unequal widths in one tile are folded; no pair that links is lost, and far ones go."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    sets = [np.sort(base[:n]) for n in (600, 640, 682, 683, 700)] + [np.sort(rng.integers(0, 1 << 63, 690, dtype=np.uint64))]
+    assert {ngram_join.narrow_width(len(x)) for x in sets} == {16, 32}
+    rows = [(7, 0, 0, 0, i, i, len(x), ngram_join.signature(x, ngram_join.narrow_width(len(x)))) for i, x in enumerate(sets)]
+    rows += [(8, 0, 0, 0, i, i, len(x), ngram_join.signature(x, ngram_join.narrow_width(len(x)))) for i, x in enumerate(sets[3:], 3)]
+    frame = pd.DataFrame(rows, columns=["key", "i", "j", "block", "class", "root", "n_shingles", "signature"])
+    found = {(a, b) for a, b in ngram_join.tiles(frame, 85, 100).itertuples(index=False)}
+    assert found == {(a, b) for a in range(5) for b in range(a + 1, 5) if len(sets[a]) >= 0.85 * len(sets[b])}
+
+
 def test_line_dedup(spark, docs, rows, empty):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_lines, r.removed) for r in line_dedup.decisions(docs).collect())
     seen, want = [], {}
