@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holosna.functions import letters, numbers, validation
+from holosna.functions import letters, numbers, structural, validation
 from holosna.functions import tables as T
 from holosna.operators import segmentation
 
@@ -84,8 +84,46 @@ def ua_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.exploded(docs, segmentation.tokens(F.col("text"))).drop("text")
 
 
+def ua_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", structural.symbols(F.col("html")).alias("spoken"))
+
+
+def ua_output_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a blank before each full stop and comma."""
+    spaced = F.replace(F.replace("text", F.lit("."), F.lit(" .")), F.lit(","), F.lit("\t ,"))
+    return _t(spark, sf_dir, "documents").select("doc_id", structural.output_spacing(spaced).alias("tight"))
+
+
+def ua_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names set between marks that the structural passes take out or change."""
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey",
+        structural.unicode_forms(F.concat(F.lit("«"), name, F.lit("» ‑ −"), size, F.lit(" пʼять")), "straight").alias("forms"),
+        structural.typography(F.concat(F.lit("**"), name, F.lit("** ,"), size, F.lit(" км / год, A / B"))).alias("typography"),
+        structural.homoglyphs(F.concat(F.lit("Kиїв "), name)).alias("homoglyphs"),
+        structural.headings(F.concat(F.lit("=== "), name, F.lit(" ===\n"), size)).alias("heading"),
+    )
+
+
+def ua_number_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys beyond a million, grouped by commas and by spaces."""
+    grouped = F.format_number(F.col("o_orderkey") + 1000000, 0)
+    return _t(spark, sf_dir, "orders").select(
+        "o_orderkey", structural.number_groups(F.concat(F.lit("сума "), grouped, F.lit(" грн"))).alias("commas"), structural.number_groups(F.concat(F.lit(".5; "), F.translate(grouped, ",", " "))).alias("blanks")
+    )
+
+
+def ua_english_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", structural.english_words(F.col("text"), VOCABULARY).alias("read"))
+
+
+#: A vocabulary for the query above.
+VOCABULARY = {"the": "зе", "and": "енд", "for": "фор", "des": "де"}
+
 QUERIES = {f.__name__: f for f in (
     ua_number_words, ua_ordinal_words, ua_case_words, ua_counted_nouns, ua_decimal_words, ua_digit_words, ua_transliterate, ua_trim_spaces, ua_acronyms, ua_valid_dates, ua_valid_identifiers, ua_sentences, ua_tokens,
+    ua_symbols, ua_output_spacing, ua_structural, ua_number_groups, ua_english_words,
 )}
 
 
@@ -169,6 +207,16 @@ ORACLE_SQL = {
     "ua_valid_dates": "SELECT o_orderkey, try_cast(printf('%04d-%02d-%02d', 1890 + o_orderkey % 230, o_orderkey % 14, o_orderkey % 32) AS DATE) IS NOT NULL AS is_date, "
     "50 + o_orderkey % 6 <= 52 OR (50 + o_orderkey % 6 = 53 AND weekofyear(make_date(CAST(1900 + o_orderkey % 400 AS BIGINT), 12, 28)) = 53) AS is_week FROM orders",
 }
+_SPOKEN = "html"
+for _sign, _name in structural.SYMBOLS.items():
+    _SPOKEN = f"replace({_SPOKEN}, {_q(_sign)}, {_q(f' {_name} ')})"
+ORACLE_SQL |= {
+    "ua_symbols": f"SELECT page_id, trim(regexp_replace({_SPOKEN}, ' +', ' ', 'g'), ' ') AS spoken FROM pages",
+    "ua_output_spacing": "SELECT doc_id, regexp_replace(replace(replace(text, '.', ' .'), ',', chr(9) || ' ,'), '[ \\t]+([,.;:!?])', '\\1', 'g') AS tight FROM documents",
+    "ua_structural": """SELECT p_partkey, '"' || p_name || '" – -' || p_size || ' п''ять' AS forms, p_name || ',' || p_size || ' км/год, A/B' AS typography, 'Київ ' || p_name AS homoglyphs, p_name || chr(10) || p_size AS heading FROM part""",
+    "ua_number_groups": "SELECT o_orderkey, 'сума ' || (o_orderkey + 1000000) || ' грн' AS commas, '0.5; ' || (o_orderkey + 1000000) AS blanks FROM orders",
+    "ua_english_words": rf"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s)\b[A-Za-z](?:[A-Za-z''’-]*[A-Za-z])?\b|.'), lambda x: coalesce({_map(VOCABULARY)}[lower(x)], x)), '') AS read FROM documents",
+}
 _LUHN = "list_sum(list_transform(range(0, 14), lambda i: CASE WHEN i % 2 = 0 THEN CAST(l[14 - i] AS INT) WHEN CAST(l[14 - i] AS INT) > 4 THEN 2 * CAST(l[14 - i] AS INT) - 9 ELSE 2 * CAST(l[14 - i] AS INT) END))"
 _ROMAN = "list_transform(string_split(translate(d[6:10], '0123456789', 'IVXLCDMIVX'), ''), lambda c: MAP {'I': 1, 'V': 5, 'X': 10, 'L': 50, 'C': 100, 'D': 500, 'M': 1000}[c])"
 ORACLE_SQL["ua_valid_identifiers"] = f"""
