@@ -6,7 +6,7 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holosna.llm import decontamination, line_dedup, ngram_join, packing, quality_rules
@@ -27,16 +27,32 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def row_key() -> Column:
+    """Tells rows apart by id and text, either of which may be null; rows of equal id and text have one key."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at a similarity of 0.8 or more, the one of the smallest id stays."""
-    linked = ngram_join.link(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(linked, F.col("doc_id") == F.col("__keep"), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of documents linked by five-word shingles at a similarity of 0.8 or more, one row stays.
+
+    It is that of the smallest id, null ids last; of texts that share the id, that of the least hash; of rows of equal
+    id and text, the least by the other columns, nulls first. Rows of an id are linked by their texts alone. Texts
+    without words have no links: all of their rows stay.
+    """
+    linked = ngram_join.link(docs.select(row_key().alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "n_shingles", "component_id").distinct()
+    placed = docs.select("doc_id", row_key().alias("__key")).distinct().join(linked, "__key")
+    least = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("least"), (F.max("n_shingles") > 0).alias("__one"))
+    kept = docs.withColumn("__key", row_key()).join(least.select("least.__key", "__one"), "__key")
+    # rows without words are each a group of their own
+    kept = kept.withColumn("__row", F.when(F.col("__one"), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    return kept.groupBy("__key", "__row").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten words in a row of a benchmark item go."""
-    hit = decontamination.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("__hit"), "left_anti")
+    """Documents that hold ten words in a row of a benchmark item go; rows that share their id but not their text stay."""
+    found = decontamination.matches(docs.select(row_key().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, row_key() == F.col("__hit"), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
