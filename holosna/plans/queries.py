@@ -45,6 +45,11 @@ def ua_digit_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "customer").select("c_custkey", numbers.digit_words(F.col("c_name")).alias("digits"), letters.spelled_letters(F.substring("c_name", 1, 3)).alias("spelled"))
 
 
+def ua_spelled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole part names, letter by letter."""
+    return _t(spark, sf_dir, "part").select("p_partkey", letters.spelled_letters(F.col("p_name")).alias("spelled"))
+
+
 def ua_transliterate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", letters.transliterated(F.col("text")).alias("cyrillic"))
 
@@ -123,7 +128,7 @@ VOCABULARY = {"the": "зе", "and": "енд", "for": "фор", "des": "де"}
 
 QUERIES = {f.__name__: f for f in (
     ua_number_words, ua_ordinal_words, ua_case_words, ua_counted_nouns, ua_decimal_words, ua_digit_words, ua_transliterate, ua_trim_spaces, ua_acronyms, ua_valid_dates, ua_valid_identifiers, ua_sentences, ua_tokens,
-    ua_symbols, ua_output_spacing, ua_structural, ua_number_groups, ua_english_words,
+    ua_symbols, ua_output_spacing, ua_structural, ua_number_groups, ua_english_words, ua_spelled_letters,
 )}
 
 
@@ -202,6 +207,7 @@ ORACLE_SQL = {
     "ua_counted_nouns": f"SELECT l_orderkey, l_linenumber, {_counted('q', 'година', 'години', 'годин', 'f')} AS hours, {_counted('q', 'хвилина', 'хвилини', 'хвилин', 'f')} AS minutes, {_counted('q', 'документ', 'документи', 'документів')} AS papers FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q FROM lineitem)",
     "ua_decimal_words": f"SELECT p_partkey, {_decimal('d[1]', 'd[2]')} AS price, {_words('p_size', 'f')} || ' ' || CASE WHEN {_SINGLE.format(n='p_size')} THEN 'сота' ELSE 'сотих' END AS share FROM (SELECT *, {_PRICE} AS d FROM part)",
     "ua_digit_words": f"SELECT c_custkey, {_digits('c_name')} AS digits, array_to_string(list_filter(list_transform(string_split(upper(c_name[1:3]), ''), lambda c: {_NAMES}[c]), lambda x: x IS NOT NULL), ' ') AS spelled FROM customer",
+    "ua_spelled_letters": f"SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(upper(p_name), ''), lambda c: {_NAMES}[c]), lambda x: x IS NOT NULL), ' ') AS spelled FROM part",
     "ua_transliterate": f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?is)sch|{_SEQUENCES}|.'), lambda x: coalesce({_map(T.LATIN | _MARKS)}[CASE WHEN x SIMILAR TO '[A-Za-z]+' THEN lower(x) ELSE x END], x)), '') AS cyrillic FROM documents",
     "ua_trim_spaces": "SELECT doc_id, trim(regexp_replace('  ' || replace(text, 'e', '  '), ' +', ' ', 'g'), ' ') AS trimmed FROM documents",
     "ua_valid_dates": "SELECT o_orderkey, try_cast(printf('%04d-%02d-%02d', 1890 + o_orderkey % 230, o_orderkey % 14, o_orderkey % 32) AS DATE) IS NOT NULL AS is_date, "

@@ -34,6 +34,21 @@ def test_letters(spark):
     assert one(spark, letters.trimmed(F.lit("  a   b\t "))) == "a b\t"
 
 
+def test_spelled_letters_query(spark, tmp_path):
+    """Whole columns of varied letters, by the query and by its SQL."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    names = [(1, "Quick zinc Box 7"), (2, "jovial WAX"), (3, "Їжак"), (4, None)]
+    spark.createDataFrame(names, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in e.queries()["ua_spelled_letters"](spark, str(tmp_path)).collect())
+    assert got[1] == (2, "джей оу ві ай ей ел дабл ю ей екс") and got[2] == (3, "ї же а ка") and got[3] == (4, None)
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+        assert sorted(db.sql(e.oracle_sql()["ua_spelled_letters"]).fetchall()) == got
+
+
 def test_validation(spark):
     good = [validation.valid_isbn(F.lit("978-3-16-148410-0")), validation.valid_issn(F.lit("2049-3630")), validation.valid_iban(F.lit("DE89 3704 0044 0532 0130 00")), validation.valid_luhn(F.lit("4111 1111 1111 1111"))]
     good += [validation.valid_vin(F.lit("1M8GDM9AXKP042788")), validation.valid_roman(F.lit("MCMXC")), validation.valid_date(F.lit(29), F.lit(2), F.lit(2000)), validation.valid_iso_week(F.lit(2020), F.lit(53))]
