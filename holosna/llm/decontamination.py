@@ -1,7 +1,7 @@
 """Benchmark decontamination with a positional inverted index.
 
 The corpus is cut into segments of bounded bytes. A segment is one row of a stored table: its documents, and the
-postings (sorted word places) of each term that some benchmark item holds; other terms can never match. A search reads
+postings (sorted word places) of every word, so that any number of benchmarks can be searched over it. A search reads
 the segments in place, without a shuffle: it takes the terms of a phrase from the rarest in the segment on, intersects
 their places less their offsets in the phrase, and stops when none is left. Every task holds one segment and the
 phrases of one block of benchmark items; more items mean more blocks, one after the other.
@@ -50,26 +50,21 @@ def phrases(items: list[tuple[object, bytes]], width: int = WINDOW) -> Phrases:
     return Phrases(terms, {n: np.array(list(x), np.int64).reshape(-1, n) for n, x in found.items()}, {n: list(x.values()) for n, x in found.items()}, [str(i) for i, _ in items])
 
 
-def index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """The stored segments of docs (doc_id, text) for these terms. Null and empty texts are documents without words."""
+def index(docs: DataFrame) -> DataFrame:
+    """The stored segments of docs (doc_id, text), with the postings of all words. Null and empty texts are documents without words."""
 
     def build(texts: list[bytes], more: dict) -> dict:
         _, _, hashes, first = words(texts, ALNUM)
-        likely = np.zeros(1 << 16, bool)
-        likely[(terms & np.uint64(0xFFFF)).astype(np.int64)] = True
-        place = np.flatnonzero(likely[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
-        number = np.searchsorted(terms, hashes[place])
-        number[number == len(terms)] = 0
-        held = terms[number] == hashes[place] if len(terms) else np.zeros(len(place), bool)
-        place, number = place[held], number[held]
-        order = np.argsort(number, kind="stable")
-        known, counts = np.unique(number, return_counts=True)
+        order = np.argsort(hashes, kind="stable")
+        ranked = hashes[order]
+        begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(ranked)), bool), ranked[1:] != ranked[:-1]]))
+        counts = np.diff(np.concatenate([begin, [len(ranked)]]))
         return {
             "doc_ids": [more["doc_id"].to_pylist()],
             "n_words": [np.diff(first).astype(np.int32)],
-            "terms": [terms[known].view(np.int64)],
+            "terms": [ranked[begin].view(np.int64)],
             "counts": [counts.astype(np.int32)],
-            "postings": [place[order].astype("<u4").tobytes()],
+            "postings": [order.astype("<u4").tobytes()],
         }
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text_utf8"))
@@ -138,8 +133,8 @@ def search(segments: DataFrame, what: Phrases, span: int | None = None) -> DataF
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                out = look(row)
+            for k in range(batch.num_rows):
+                out = look(batch.slice(k, 1).to_pylist()[0])
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     def look(row: dict) -> dict:
@@ -187,7 +182,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, span: in
     together per document. Empty benchmark: no hits. Empty docs: no rows. Other columns are ignored.
     """
     blocks = [phrases(b, width) for b in item_blocks(benchmark, block_items)]
-    segments = index(docs, np.unique(np.concatenate([b.terms for b in blocks])))
+    segments = index(docs)
     found = [search(segments, b, span) for b in blocks]
     if len(found) == 1:
         return found[0].drop("segment", "place")

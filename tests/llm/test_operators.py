@@ -240,3 +240,15 @@ def test_classifiers(spark, docs, empty):
     for own in (toxicity, quality_classifier):
         assert own.predict(empty, own.train(empty, none)).count() == 0
         assert all(0 <= r.score <= 1 for r in own.predict(docs, own.train(docs, none)).collect())
+
+
+def test_decontamination_index_of_all_words(docs, rows):
+    """One stored index serves any benchmark; it holds every word of every text."""
+    segments = decontamination.index(docs)
+    own = [split(t, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+") for _, t in rows]
+    assert sum(sum(r.counts) for r in segments.collect()) == sum(map(len, own))
+    for k in (10, 20):
+        phrase = rows[k][1].split()[:10]
+        found = {r.doc_id for r in decontamination.search(segments, decontamination.phrases([(1, " ".join(phrase).encode())])).where("n_hit > 0").collect()}
+        want = [w.encode() for w in phrase]
+        assert found == {i for (i, _), w in zip(rows, own, strict=True) if any(w[j : j + len(want)] == want for j in range(len(w)))} and k in found
