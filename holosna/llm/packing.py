@@ -3,7 +3,7 @@
 Each task tokenises its documents and packs their pieces as they come. A fixed number of bins is open; a bitset has
 the bit of every free space that some open bin has, so the tightest bin is the lowest bit from the piece's length on.
 If none fits and all bins are open, the fullest closes. The bins open at a task's end are at most ``open_bins`` a
-task: their pieces are packed once more, longest first, in groups of tasks, so that many tasks leave few half-empty sequences.
+task: their pieces are packed once more by the same rule, bin after bin, in groups of tasks, so that many tasks leave few half-empty sequences.
 """
 
 from __future__ import annotations
@@ -143,15 +143,15 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, capacit
             yield table(ready)
 
     pieces = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("t")).mapInArrow(run, PIECES), "pieces")
-    return _again(pieces, capacity)
+    return _again(pieces, capacity, open_bins)
 
 
-def _again(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Packs the pieces of the bins left open at the ends of tasks once more, longest first, in groups of tasks."""
+def _again(pieces: DataFrame, capacity: int, open_bins: int) -> DataFrame:
+    """Packs the pieces of the bins left open at the ends of tasks once more by the same rule, in their order in the bins, in groups of tasks."""
 
     def repack(frame):
-        frame = frame.sort_values(["length", "doc_id", "piece", "part", "bin", "offset"], ascending=[False, True, True, True, True, True], ignore_index=True)
-        bins, fill = Bins(capacity, len(frame) + 1), {}
+        frame = frame.sort_values(["part", "bin", "offset"], ignore_index=True)
+        bins, fill = Bins(capacity, open_bins), {}
         placed = [bins.put(int(n)) for n in frame["length"]]
         for (b, offset), n in zip(placed, frame["length"], strict=True):
             fill[b] = offset + n

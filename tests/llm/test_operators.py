@@ -252,3 +252,21 @@ def test_decontamination_index_of_all_words(docs, rows):
         found = {r.doc_id for r in decontamination.search(segments, decontamination.phrases([(1, " ".join(phrase).encode())])).where("n_hit > 0").collect()}
         want = [w.encode() for w in phrase]
         assert found == {i for (i, _), w in zip(rows, own, strict=True) if any(w[j : j + len(want)] == want for j in range(len(w)))} and k in found
+
+
+def test_packing_bounded():
+    """The fullest bin closes when none fits and all are open; a piece goes to the tightest."""
+    bins = packing.Bins(10, 2)
+    assert [bins.put(n) for n in (6, 7, 5, 3, 5)] == [(0, 0), (1, 0), (2, 0), (0, 6), (2, 5)]
+    assert bins.closed() == [1, 2] and bins.rest() == [0]
+
+
+def test_packing_rest_keeps_the_rule(spark):
+    """The bins left open are packed by the same rule, not longest first."""
+    import public_tokenizers
+
+    df = spark.createDataFrame([(k, " ".join("a" * (n - 1))) for k, n in enumerate((5, 2, 4, 3))], "doc_id long, text string").coalesce(1)
+    by = collections.defaultdict(list)
+    for r in packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), capacity=8).collect():
+        by[r.sequence_id].append(r.length)
+    assert sorted(sorted(x) for x in by.values()) == [[2, 5], [3, 4]]
