@@ -20,7 +20,7 @@ import math
 from functools import cache, partial
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holosna.llm.common import by_batch, dropped, mix, shingle_sets, small, stored, utf8
@@ -85,13 +85,19 @@ def signature(x: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(bits).view("<i8")
 
 
+def row_key() -> Column:
+    """Tells rows apart by id and text, either of which may be null."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, class (hash of the set; null if empty), keys and bitmaps of every row."""
+    """doc_id, row (hash of id and text), n_shingles, class (hash of the set; null if empty), keys and bitmaps of every row."""
 
     def look(texts: list[bytes], more: dict) -> dict:
         own = shingle_sets(texts, width)
         return {
             "doc_id": more["doc_id"],
+            "row": more["row"],
             "n_shingles": [len(x) for x in own],
             "class": [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) if len(x) else None for x in own],
             "keys": [keys(x, num, den).view(np.int64) if len(x) else [] for x in own],
@@ -99,8 +105,8 @@ def sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             "wide": [signature(x, WIDE) if len(x) else [] for x in own],
         }
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text_utf8"))
-    return by_batch(texts, look, "doc_id long, n_shingles long, class long, keys array<long>, narrow array<long>, wide array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), utf8(F.col("text")).alias("text_utf8"))
+    return by_batch(texts, look, "doc_id long, row long, n_shingles long, class long, keys array<long>, narrow array<long>, wide array<long>")
 
 
 def possible(num: int, den: int):
@@ -112,12 +118,12 @@ def possible(num: int, den: int):
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b of classes) whose sets do link: bitmaps first, then the sorted arrays of the texts."""
-    short = classes.select("class", "n_shingles", "wide", "first")
-    side = lambda x: short.select(F.col("class").alias(x), F.col("n_shingles").alias("n" + x), F.col("wide").alias("s" + x), F.col("first").alias("f" + x))
+    short = classes.select("class", "n_shingles", "wide", "row")
+    side = lambda x: short.select(F.col("class").alias(x), F.col("n_shingles").alias("n" + x), F.col("wide").alias("s" + x), F.col("row").alias("f" + x))
     # the shuffle moves texts, which are half the size of their arrays, and only those of classes in a possible pair
     likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(possible(num, den)).select("a", "b", "fa", "fb"), "likely")
     need = stored(likely.select(F.col("a").alias("class"), F.col("fa").alias("id")).unionByName(likely.select(F.col("b").alias("class"), F.col("fb").alias("id"))).distinct(), "need")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), utf8(F.col("text")).alias("t")).join(small(need, need.count()), "id").select("class", "t")
+    texts = docs.select(row_key().alias("id"), utf8(F.col("text")).alias("t")).join(small(need, need.count()), "id").select("class", "t")
     texts = stored(by_class(texts, width), "texts")
     both = likely.select("a", "b").join(texts.select(F.col("class").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("t").alias("text_utf8")), "b")
 
@@ -144,7 +150,7 @@ def pa_mask(keep: list[bool]):
 
 
 def by_class(texts: DataFrame, width: int) -> DataFrame:
-    """One text a class: an id that several texts share is told apart by the hash of the set."""
+    """One text a class, of rows repeated whole; the hash of the set is compared once more."""
 
     def look(found: list[bytes], more: dict) -> dict:
         import pyarrow as pa
@@ -236,7 +242,7 @@ def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     no rows.
     """
     every = stored(sets(docs, width, num, den), "sets")
-    classes = stored(every.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("narrow").alias("narrow"), F.first("wide").alias("wide"), F.count("*").alias("n_docs")), "classes")
+    classes = stored(every.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("narrow").alias("narrow"), F.first("wide").alias("wide"), F.count("*").alias("n_docs")), "classes")
     member = stored(every.select("doc_id", "n_shingles", "class"), "member")
     dropped(every)
     meet = classes.select(F.explode("keys").alias("key"), "class")

@@ -270,3 +270,12 @@ def test_packing_rest_keeps_the_rule(spark):
     for r in packing.pack(df, public_tokenizers.path("byte_bpe_50k.json"), capacity=8).collect():
         by[r.sequence_id].append(r.length)
     assert sorted(sorted(x) for x in by.values()) == [[2, 5], [3, 4]]
+
+
+def test_ngram_join_near_null_ids(spark):
+    """Classes of null ids only link, and link those of others."""
+    w, x = [f"w{i}" for i in range(100)], [f"x{i}" for i in range(8)]
+    v = [f"v{i}" for i in range(100)]
+    rows = [(1, " ".join(w)), (None, " ".join(w[:92] + x)), (2, " ".join(w[16:92] + x)), (None, " ".join(v)), (None, " ".join(v[:92] + x)), (3, " ".join(v[::-1]))]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 4, 5).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 98, 1), (None, 98, 1), (2, 82, 1), (None, 98, None), (None, 98, None), (3, 98, 3)], key=repr)
