@@ -22,12 +22,11 @@ def replaced(text: Column, pattern: str, f) -> Column:
 
 def transliterated(text: Column) -> Column:
     """Latin letters as Cyrillic ones, the longest sequences first, in lower case."""
-    marks = {c: v for group, v in T.DIACRITICS.items() for c in group}
     keys = sorted(T.LATIN, key=len, reverse=True)
-    table = _map(T.LATIN | marks)
+    table = _map(T.LATIN | T.DIACRITICS)
     # the case is folded for ASCII alone, so that letters beyond it are looked up as they stand
     fold = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return replaced(text, f"(?i)sch|{'|'.join(k for k in keys if len(k) == 2)}|[a-z]|[{''.join(marks)}]", lambda x: F.coalesce(F.try_element_at(table, fold(x)), x))
+    return replaced(text, f"(?i)sch|{'|'.join(k for k in keys if len(k) == 2)}|[a-z]|[{''.join(T.DIACRITICS)}]", lambda x: F.coalesce(F.try_element_at(table, fold(x)), x))
 
 
 def spelled_acronyms(text: Column) -> Column:

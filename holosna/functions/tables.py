@@ -46,12 +46,22 @@ LATIN = {
     "a": "а", "b": "б", "c": "к", "d": "д", "e": "е", "f": "ф", "g": "г", "h": "г", "i": "і", "j": "дж", "k": "к", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "q": "к", "r": "р", "s": "с", "t": "т",
     "u": "у", "v": "в", "w": "в", "x": "кс", "y": "и", "z": "з", "sh": "ш", "ch": "ч", "zh": "ж", "kh": "х", "ts": "ц", "yu": "ю", "ya": "я", "ye": "є", "yi": "ї", "oo": "у", "ee": "і", "sch": "щ",
 }
-DIACRITICS = {"áàâãåāăąÁÀÂÃÅĀĂĄ": "а", "äÄéèêëēėęÉÈÊËĒĖĘ": "е", "íìîïīÍÌÎÏĪ": "і", "óòôõöōÓÒÔÕÖŌ": "о", "úùûūÚÙÛŪ": "у", "üÜ": "ю", "çÇ": "с", "ñÑ": "нь", "ß": "сс", "łŁ": "л", "ýÿÝŸ": "и"}
+DIACRITICS = {
+    "á": "а", "à": "а", "â": "а", "ã": "а", "å": "а", "ā": "а", "ă": "а", "ą": "а", "Á": "а", "À": "а", "Â": "а", "Ã": "а", "Å": "а", "Ā": "а", "Ă": "а", "Ą": "а",
+    "ä": "е", "Ä": "е", "é": "е", "è": "е", "ê": "е", "ë": "е", "ē": "е", "ė": "е", "ę": "е", "É": "е", "È": "е", "Ê": "е", "Ë": "е", "Ē": "е", "Ė": "е", "Ę": "е",
+    "í": "і", "ì": "і", "î": "і", "ï": "і", "ī": "і", "Í": "і", "Ì": "і", "Î": "і", "Ï": "і", "Ī": "і", "ó": "о", "ò": "о", "ô": "о", "õ": "о", "ö": "о", "ō": "о",
+    "Ó": "о", "Ò": "о", "Ô": "о", "Õ": "о", "Ö": "о", "Ō": "о", "ú": "у", "ù": "у", "û": "у", "ū": "у", "Ú": "у", "Ù": "у", "Û": "у", "Ū": "у", "ü": "ю", "Ü": "ю",
+    "ç": "с", "Ç": "с", "ñ": "нь", "Ñ": "нь", "ß": "сс", "ł": "л", "Ł": "л", "ý": "и", "ÿ": "и", "Ý": "и", "Ÿ": "и",
+}
 # --- fixed values: lengths of IBANs by country, and of digests by algorithm ---------------------------------------
-IBAN_LENGTHS = (
-    "AL28 AD24 AT20 AZ28 BH22 BE16 BA20 BR29 BG22 CR22 HR21 CY28 CZ24 DK18 DO28 EE20 FO18 FI18 FR27 GE22 DE22 GI23 GR27 GL18 GT28 HU28 IS26 IE22 IL23 IT27 JO30 KZ20 XK20 KW30 LV21 LB28 LI21 LT20 LU20 "
-    "MT31 MR27 MU30 MC27 MD24 ME22 NL18 MK19 NO15 PK24 PS29 PL28 PT25 QA29 RO24 LC32 SM27 ST25 SA24 RS22 SC31 SK24 SI19 ES24 SE24 CH21 TL23 TN24 TR26 UA29 AE23 GB22 VA22 VG24"
-)
+IBAN_LENGTHS = {
+    "AL": 28, "AD": 24, "AT": 20, "AZ": 28, "BH": 22, "BE": 16, "BA": 20, "BR": 29, "BG": 22, "CR": 22, "HR": 21, "CY": 28, "CZ": 24, "DK": 18,
+    "DO": 28, "EE": 20, "FO": 18, "FI": 18, "FR": 27, "GE": 22, "DE": 22, "GI": 23, "GR": 27, "GL": 18, "GT": 28, "HU": 28, "IS": 26, "IE": 22,
+    "IL": 23, "IT": 27, "JO": 30, "KZ": 20, "XK": 20, "KW": 30, "LV": 21, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "MT": 31, "MR": 27, "MU": 30,
+    "MC": 27, "MD": 24, "ME": 22, "NL": 18, "MK": 19, "NO": 15, "PK": 24, "PS": 29, "PL": 28, "PT": 25, "QA": 29, "RO": 24, "LC": 32, "SM": 27,
+    "ST": 25, "SA": 24, "RS": 22, "SC": 31, "SK": 24, "SI": 19, "ES": 24, "SE": 24, "CH": 21, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "AE": 23,
+    "GB": 22, "VA": 22, "VG": 24,
+}
 HASH_LENGTHS = {"MD5": 32, "SHA1": 40, "SHA224": 56, "SHA256": 64, "SHA384": 96, "SHA512": 128, "SHA3256": 64, "SHA3512": 128, "BLAKE2S": 64, "BLAKE2B": 128}
 
 

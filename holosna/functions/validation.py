@@ -65,7 +65,7 @@ def valid_issn(text: Column) -> Column:
 def valid_iban(text: Column) -> Column:
     """Shape, length by country where that is known, and the remainder of the rotated number by 97."""
     c = compact(text)
-    lengths = F.create_map(*[F.lit(x) for e in T.IBAN_LENGTHS.split() for x in (e[:2], int(e[2:]))])
+    lengths = F.create_map(*[F.lit(x) for pair in T.IBAN_LENGTHS.items() for x in pair])
     long_enough = F.coalesce(F.try_element_at(lengths, F.substring(c, 1, 2)), F.length(c)) == F.length(c)
     turned = F.concat(F.substring(c, F.lit(5), F.length(c)), F.substring(c, 1, 4))
     rest = F.aggregate(_values(turned, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(0), lambda r, v: F.when(v < 10, r * 10 + v).otherwise(r * 100 + v) % 97)

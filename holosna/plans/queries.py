@@ -186,7 +186,7 @@ def _counted(n: str, one: str, few: str, many: str, gender: str = "m") -> str:
 
 
 _NAMES = _map(T.LETTER_NAMES | T.LATIN_LETTER_NAMES)
-_MARKS = {c: v for group, v in T.DIACRITICS.items() for c in group}
+_MARKS = T.DIACRITICS
 _SEQUENCES = "|".join(k for k in T.LATIN if len(k) == 2)
 _PRICE = "string_split(printf('%.2f', p_retailprice), '.')"
 _SINGLE = "({n} % 10 = 1 AND {n} % 100 <> 11)"
