@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,38 +17,65 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; a longer single text is a step of its own.
 CHUNK_BYTES = 1 << 21
-#: Rows up to which a table of a few longs a row may be broadcast (some 64 MB); larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table may be broadcast, and what a row costs besides its values.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 32
+#: Words beyond this many bytes are hashed by blake2b: a sum of powers has known collisions of long words only.
+LONG_WORD = 255
+
+_made: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one on a local master (tests); else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="holosna-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    if _made:
+        _made[-1].append(path)
+    return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and a lost executor loses nothing."""
     path = table_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, kept: list[DataFrame]):
+    """Owns the tables that are made inside it: at its end they are deleted, but for those the caller has put in kept."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        stay = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in kept for f in df.inputFiles()}
+        paths = _made.pop()
+        removed(spark, [p for p in paths if p.split(":", 1)[-1].lstrip("/") not in stay])
+        if _made:
+            _made[-1] += [p for p in paths if p.split(":", 1)[-1].lstrip("/") in stay]
+        released(spark)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in paths:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes the files of tables that stored() made and that no later step reads."""
     spark = tables[0].sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tables/" in f}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    removed(spark, list({f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles() if "/tables/" in f}))
     released(spark)
 
 
@@ -56,9 +85,13 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay under the bound, else as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, *arrays: str) -> DataFrame:
+    """df (a stored table) with a broadcast hint if its counted bytes stay under the bound, else as it is; arrays are counted by their entries."""
+    size = F.lit(ROW_BYTES + 8 * len(df.columns))
+    for name in arrays:
+        size = size + F.coalesce(F.size(name), F.lit(0)) * 32
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def held_out(doc_id: Column) -> Column:
@@ -101,6 +134,24 @@ def steps(batch: pa.RecordBatch, text: str, per_step: int) -> Iterator[pa.Record
         at = to
 
 
+def by_list(rows: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """mapInArrow with f on runs of whole lists (rows of a key, which lie together)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            key = now.column("key").to_numpy()
+            cut = int(np.searchsorted(key[::-1] != key[-1], True)) if len(key) else 0
+            if cut < len(key):
+                yield from f(now.slice(0, len(key) - cut)).to_batches()
+            held = now.slice(len(key) - cut)
+        if held is not None and held.num_rows:
+            yield from f(held).to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
 # ---- words and hashes -------------------------------------------------------------------------------------------
 
 #: ASCII lower case; everything that isn't a word character becomes 0. Words are runs of what is not white space.
@@ -143,6 +194,8 @@ def words(texts: list[bytes], table: np.ndarray, breaks: bytes = b"\n") -> tuple
     total = np.zeros(len(low) + 1, np.uint64)
     np.cumsum(low * up[: len(low)], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        hashes[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     lengths = np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))
     first = np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)]))
     return start, end, hashes, first
@@ -171,3 +224,20 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
         else:
             out.append(mix(grams(hashes[a:b], b - a) + np.uint64(b - a)) if b > a else np.zeros(0, np.uint64))
     return out
+
+
+class Overlaps:
+    """Exact sizes of the intersections of a set with others, over sorted arrays that lie in one flat array."""
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray):
+        self.ids = np.unique(flat, return_inverse=True)[1]
+        self.at, self.flag = at, np.zeros(int(self.ids.max(initial=-1)) + 1, np.int32)
+
+    def of(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of set x with the others, none of which is empty."""
+        own, size = self.ids[self.at[x] : self.at[x + 1]], self.at[others + 1] - self.at[others]
+        first = np.cumsum(size) - size
+        self.flag[own] = 1
+        got = np.add.reduceat(self.flag[self.ids[np.repeat(self.at[others] - first, size) + np.arange(size.sum())]], first)
+        self.flag[own] = 0
+        return got

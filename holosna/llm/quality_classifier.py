@@ -86,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     sizes = {0: 0, 1: 0} | {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     rate = F.when(F.col("label") == 1, min(1.0, per_class / max(1, sizes[1]))).otherwise(min(1.0, per_class / max(1, sizes[0])))
     picked = stored(known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < rate * 1_000_003), "sample")
-    rows = docs.select("doc_id", "text").join(small(picked, picked.count()), F.col("doc_id") == F.col("__id")).select("doc_id", "label", utf8(F.col("text")).alias("text_utf8"))
+    rows = docs.select("doc_id", "text").join(small(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "label", utf8(F.col("text")).alias("text_utf8"))
 
     def features(texts: list[bytes], more: dict) -> dict:
         return {"doc_id": more["doc_id"], "label": more["label"], "x": [r.astype("<f8").tobytes() for r in statistics(texts)]}

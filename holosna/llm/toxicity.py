@@ -56,7 +56,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPL
         return Model(np.zeros(1 << BITS, np.float32), -20.0 if not sizes.get(1) else 20.0)
     rate = F.when(F.col("label") == 1, min(1.0, per_class[1] / sizes[1])).otherwise(min(1.0, per_class[0] / sizes[0]))
     picked = stored(known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_003)) < rate * 1_000_003), "sample")
-    rows = docs.select("doc_id", "text").join(small(picked, picked.count()), F.col("doc_id") == F.col("__id")).select("doc_id", "label", utf8(F.col("text")).alias("text_utf8"))
+    rows = docs.select("doc_id", "text").join(small(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "label", utf8(F.col("text")).alias("text_utf8"))
 
     def features(texts: list[bytes], more: dict) -> dict:
         doc, bucket = distinct(*gram_buckets(texts))
