@@ -22,11 +22,15 @@ def replaced(text: Column, pattern: str, f) -> Column:
 
 def transliterated(text: Column) -> Column:
     """Latin letters as Cyrillic ones, the longest sequences first, in lower case."""
-    keys = sorted(T.LATIN, key=len, reverse=True)
-    table = _map(T.LATIN | T.DIACRITICS)
-    # the case is folded for ASCII alone, so that letters beyond it are looked up as they stand
+    pairs = {k: v for k, v in T.LATIN.items() if len(k) > 1}
+    singles = {c: v for k, v in T.LATIN.items() if len(k) == 1 for c in (k, k.upper())} | T.DIACRITICS
+    # the case is folded for ASCII alone; only sequences are cut out, as single letters can be translated where they stand
     fold = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return replaced(text, f"(?i)sch|{'|'.join(k for k in keys if len(k) == 2)}|[a-z]|[{''.join(T.DIACRITICS)}]", lambda x: F.coalesce(F.try_element_at(table, fold(x)), x))
+    out = replaced(text, f"(?i){'|'.join(sorted(pairs, key=len, reverse=True))}", lambda x: F.try_element_at(_map(pairs), fold(x)))
+    plain = {c: v for c, v in singles.items() if len(v) == 1}
+    for c, v in singles.items():
+        out = out if c in plain else F.replace(out, F.lit(c), F.lit(v))
+    return F.translate(out, "".join(plain), "".join(plain.values()))
 
 
 def spelled_acronyms(text: Column) -> Column:

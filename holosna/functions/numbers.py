@@ -1,11 +1,13 @@
 """Numbers as words: Catalyst expressions only. Tables are constant arrays and maps; no row leaves the JVM.
 
-Each function takes a column of whole numbers from 0 to 2**64 - 1 (any numeric or numeral string type) and gives null
-for null. Numbers over MAX_SPELLED_NUMBER are read digit by digit.
+Each function takes a column of whole numbers (any numeric or numeral string type). Numbers over MAX_SPELLED_NUMBER are
+read digit by digit, however long the numeral is; null, a negative number, and a text that is no numeral give null.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ def _map(d: dict[str, str]) -> Column:
 
 
 def _whole(n: Column) -> Column:
-    return n.cast("decimal(20,0)")
+    """The number, if it is one of at most 20 digits and not negative."""
+    whole = n.try_cast("decimal(20,0)")
+    return F.when(whole >= 0, whole)
 
 
 def plural_of(n: Column, one, few, many) -> Column:
@@ -51,7 +55,9 @@ def number_words(n: Column, gender: str = "m") -> Column:
     low = k % 1000
     parts.append(F.when(low > 0, F.get(three, low.cast("int"))))
     spelled = F.when(k == 0, F.lit(T.ZERO)).otherwise(F.concat_ws(" ", *parts))
-    return F.when(whole > T.MAX_SPELLED_NUMBER, digit_words(whole.cast("string"))).when(whole.isNotNull(), in_gender(spelled, gender))
+    digits = n.cast("string")
+    long = F.when(digits.rlike(r"\A[0-9]{21,}\z"), in_gender(digit_words(digits), gender))
+    return F.when(whole > T.MAX_SPELLED_NUMBER, in_gender(digit_words(whole.cast("string")), gender)).when(whole.isNotNull(), in_gender(spelled, gender)).otherwise(long)
 
 
 def _div(k: Column, value: int) -> Column:
@@ -85,12 +91,16 @@ def ordinal_words(n: Column, form: str = "nom_m") -> Column:
 
 
 def decimal_words(whole: Column, fraction: Column) -> Column:
-    """A decimal from its digit strings, as ``дві цілих і п'ять десятих``; more than six places are read as digits after ``кома``."""
-    w, f = F.when(whole == "", F.lit("0")).otherwise(whole), fraction
+    """A decimal from its digit strings, as ``дві цілих і п'ять десятих``.
+
+    More than six places, an empty whole part (read as zero) and one that doesn't fit 64 bits are read as digits after ``кома``.
+    """
+    f, w = fraction, F.when(_whole(whole) < F.lit(Decimal(2**64)), whole)
     one = lambda x: (_whole(x) % 10 == 1) & (_whole(x) % 100 != 11)
     names = F.when(one(f), F.get(_list([a for a, _ in T.PLACES]), F.length(f) - 1)).otherwise(F.get(_list([b for _, b in T.PLACES]), F.length(f) - 1))
     spoken = F.concat_ws(" ", number_words(w, "f"), F.when(one(w), "ціла").otherwise("цілих"), F.lit("і"), number_words(f, "f"), names)
-    return F.when(F.length(f).between(1, len(T.PLACES)), spoken).otherwise(F.concat_ws(" ", number_words(w), F.lit("кома"), digit_words(f)))
+    digits = F.concat_ws(" ", number_words(F.when(whole == "", F.lit("0")).otherwise(whole)), F.lit("кома"), digit_words(f))
+    return F.when(whole.isNotNull() & f.isNotNull(), F.when(w.isNotNull() & F.length(f).between(1, len(T.PLACES)), spoken).otherwise(digits))
 
 
 def fraction_words(numerator: Column, denominator: Column) -> Column:

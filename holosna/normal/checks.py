@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import regex
-
+from holosna.normal import rx
 from holosna.functions import tables as T
 
 # --- fixed values: figures of Roman numerals, weights of the check digit of a VIN -----------------------------------------------
@@ -13,7 +12,7 @@ VIN_VALUES = dict(zip("0123456789ABCDEFGHJKLMNPRSTUVWXYZ", [*range(10), *range(1
 
 
 def compact(text: str) -> str:
-    return regex.sub("[^0-9A-Z]", "", regex.sub("[a-z]", lambda m: m[0].upper(), text))
+    return rx.sub("[^0-9A-Z]", "", rx.sub("[a-z]", lambda m: m[0].upper(), text))
 
 
 def roman(text: str) -> int:
@@ -24,7 +23,7 @@ def roman(text: str) -> int:
 
 def valid_roman(text: str) -> bool:
     """Of the classic shape; the empty string is."""
-    return regex.fullmatch("M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})", text) is not None
+    return rx.fullmatch("M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})", text) is not None
 
 
 def is_leap(year: int) -> bool:
@@ -50,27 +49,27 @@ def _descending(text: str) -> bool:
 
 def valid_isbn(text: str) -> bool:
     c = compact(text)
-    if regex.fullmatch("[0-9]{9}[0-9X]", c):
+    if rx.fullmatch("[0-9]{9}[0-9X]", c):
         return _descending(c)
-    return regex.fullmatch("97[89][0-9]{10}", c) is not None and sum(int(d) * (1, 3)[i % 2] for i, d in enumerate(c)) % 10 == 0
+    return rx.fullmatch("97[89][0-9]{10}", c) is not None and sum(int(d) * (1, 3)[i % 2] for i, d in enumerate(c)) % 10 == 0
 
 
 def valid_issn(text: str) -> bool:
     c = compact(text)
-    return regex.fullmatch("[0-9]{7}[0-9X]", c) is not None and _descending(c)
+    return rx.fullmatch("[0-9]{7}[0-9X]", c) is not None and _descending(c)
 
 
 def valid_iban(text: str) -> bool:
     c = compact(text)
-    if not regex.fullmatch("[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}", c) or T.IBAN_LENGTHS.get(c[:2], len(c)) != len(c):
+    if not rx.fullmatch("[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}", c) or T.IBAN_LENGTHS.get(c[:2], len(c)) != len(c):
         return False
     return int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
 
 
 def valid_luhn(text: str) -> bool:
     """12 to 19 digits; blanks and hyphens may stand between them."""
-    digits = regex.sub("[ -]", "", text)
-    if not regex.fullmatch("[0-9]{12,19}", digits):
+    digits = rx.sub("[ -]", "", text)
+    if not rx.fullmatch("[0-9]{12,19}", digits):
         return False
     return sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
@@ -86,9 +85,9 @@ def valid_vin(text: str) -> bool:
 
 def valid_uuid(text: str) -> bool:
     """32 hex digits, all zero or of a known version and variant."""
-    return regex.fullmatch("0{32}|[0-9A-F]{12}[1-8][0-9A-F]{3}[89AB][0-9A-F]{15}", compact(text)) is not None
+    return rx.fullmatch("0{32}|[0-9A-F]{12}[1-8][0-9A-F]{3}[89AB][0-9A-F]{15}", compact(text)) is not None
 
 
 def valid_hash_length(algorithm: str, digest: str) -> bool:
     c = compact(digest)
-    return T.HASH_LENGTHS.get(compact(algorithm)) == len(c) and regex.fullmatch("[0-9A-F]*", c) is not None
+    return T.HASH_LENGTHS.get(compact(algorithm)) == len(c) and rx.fullmatch("[0-9A-F]*", c) is not None

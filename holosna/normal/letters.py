@@ -7,6 +7,7 @@ from collections.abc import Mapping
 import regex
 
 from holosna.functions import tables as T
+from holosna.normal import rx
 from holosna.normal import lexicon as L
 from holosna.normal import words as W
 from holosna.normal.rules import LETTERS, Match, passes, pattern, rule
@@ -24,7 +25,7 @@ def _loose(key: str) -> str:
             out += r" *\." + (" *" if i + 1 < len(key) else "")
         else:
             out += f"[{W.lower(c)}{W.upper(c)}]" if W.lower(c) != W.upper(c) else regex.escape(c)
-    return f"(?<!{_WORD})({out})" + (f"(?!{_WORD})" if regex.fullmatch(_WORD, key[-1]) else "")
+    return f"(?<!{_WORD})({out})" + (f"(?!{_WORD})" if rx.fullmatch(_WORD, key[-1]) else "")
 
 
 _KEYS = list(L.ABBREVIATIONS.items())
@@ -36,7 +37,7 @@ def abbreviations(text: str) -> str:
 
     def read(m: Match) -> str:
         key, full = _KEYS[m.lastindex - 1]
-        out = W.capitalised(full) if regex.match("[А-ЯЄІЇҐ]", m[0]) else full
+        out = W.capitalised(full) if rx.match("[А-ЯЄІЇҐ]", m[0]) else full
         return out + ("." if key.endswith(".") and m.end() == len(m.string) else "")
 
     return _ABBREVIATION.sub(read, text)
@@ -45,7 +46,7 @@ def abbreviations(text: str) -> str:
 @rule("[А-ЯЄІЇҐ]{2,}")
 def acronyms(m: Match) -> str | None:
     """Runs of capitals without a vowel, letter by letter."""
-    return None if regex.search("[АЕЄИІЇОУЮЯ]", m[0]) else " ".join(T.LETTER_NAMES[c] for c in m[0] if c in T.LETTER_NAMES)
+    return None if rx.search("[АЕЄИІЇОУЮЯ]", m[0]) else " ".join(T.LETTER_NAMES[c] for c in m[0] if c in T.LETTER_NAMES)
 
 
 _LATIN = pattern("|".join(sorted(T.LATIN, key=len, reverse=True)), fold=True)
@@ -63,8 +64,8 @@ def _names(run: str) -> str:
 def english(text: str, vocabulary: Mapping[str, str]) -> str:
     """Latin words that the vocabulary or the lexicon knows as their readings; other runs of capitals letter by letter."""
     known = {**L.LATIN_WORDS, **vocabulary}
-    text = regex.sub(r"(?a)\b[A-Za-z][A-Za-z'’-]*\b", lambda m: known.get(W.lower(m[0]), m[0]), text)
-    return regex.sub(r"(?a)\b[A-Z]+\b", lambda m: m[0] if m[0].lower() in known else _names(m[0]), text)
+    text = rx.sub(r"(?a)\b[A-Za-z][A-Za-z'’-]*\b", lambda m: known.get(W.lower(m[0]), m[0]), text)
+    return rx.sub(r"(?a)\b[A-Z]+\b", lambda m: m[0] if m[0].lower() in known else _names(m[0]), text)
 
 
 def _figures(run: str) -> str:
@@ -94,7 +95,7 @@ def _english_ordinal(m: Match) -> str | None:
 
 @rule(r"\b(?=[A-Za-z0-9]*[A-Za-z])(?=[A-Za-z0-9]*\d)[A-Za-z0-9]+\b")
 def _mixed(m: Match) -> str:
-    return " ".join(_figures(x) if x[0].isdigit() else _names(x) if regex.fullmatch("[A-Z]+", x) else x for x in regex.findall("[0-9]+|[A-Za-z]+", m[0]))
+    return " ".join(_figures(x) if x[0].isdigit() else _names(x) if rx.fullmatch("[A-Z]+", x) else x for x in rx.findall("[0-9]+|[A-Za-z]+", m[0]))
 
 
 technical = passes(_protocol, _generation, _x86, _english_ordinal, _mixed)
@@ -106,9 +107,9 @@ _TIMES = r"(?<=[0-9])х(?=[0-9])"
 def cyrillic_tokens(m: Match) -> str | None:
     """Tokens of Cyrillic letters and figures that have a capital or a cross between figures, part by part."""
     token = m[0]
-    if not regex.search("[0-9]", token) or not regex.search(f"[{LETTERS}]", token) or not regex.search(f"[А-ЯЄІЇҐ]|{_TIMES}", token):
+    if not rx.search("[0-9]", token) or not rx.search(f"[{LETTERS}]", token) or not rx.search(f"[А-ЯЄІЇҐ]|{_TIMES}", token):
         return None
     out = []
-    for part in regex.finditer(f"([0-9]+)|([–—-])|(/)|({_TIMES})|([{LETTERS}]+)", token):
+    for part in rx.finditer(f"([0-9]+)|([–—-])|(/)|({_TIMES})|([{LETTERS}]+)", token):
         out.append([W.identifier_number, lambda _: "дефіс", lambda _: "слеш", lambda _: "помножити на", W.letters][part.lastindex - 1](part[0]))
     return " ".join(x for x in out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import regex
 
+from holosna.normal import rx
 from holosna.normal import lexicon as L
 from holosna.normal import words as W
 from holosna.normal.lexicon import Currency, Unit
@@ -67,7 +68,7 @@ def regional(m: Match) -> str:
 
 def _halves(amount: str, digits: int) -> tuple[str, str | None] | None:
     """Whole part and decimals of a written amount, for a subunit of so many digits; None if the marks make no sense."""
-    marks = regex.findall("[.,]", amount)
+    marks = rx.findall("[.,]", amount)
     if len(set(marks)) == 2:  # the later mark is the decimal one
         amount = amount.replace(({".", ","} - {marks[-1]}).pop(), "")
     elif len(marks) > 1:
@@ -80,7 +81,7 @@ def _halves(amount: str, digits: int) -> tuple[str, str | None] | None:
         whole, _, tail = amount.partition(marks[0])
         if 1 <= len(whole) <= 3 and whole[0] != "0" and len(tail) == 3 and digits != 3:  # a group of thousands
             amount = whole + tail
-    parts = regex.split("[.,]", amount, maxsplit=1)
+    parts = rx.split("[.,]", amount, maxsplit=1)
     return parts[0], parts[1] if len(parts) == 2 else None
 
 
@@ -104,7 +105,7 @@ def amount_words(raw: str, money: Currency) -> str | None:
 
 
 def _in_number(before: str) -> bool:
-    return bool(regex.search(r"[\d.,]$", before, regex.ASCII))
+    return bool(rx.search(r"[0-9.,]\Z", before))
 
 
 def _amounts_of(money: Currency) -> list[tuple[list[str], Step]]:
@@ -114,7 +115,7 @@ def _amounts_of(money: Currency) -> list[tuple[list[str], Step]]:
         return None if _in_number(around.before) else amount_words(m[1], money)
 
     symbol, out = regex.escape(money.symbol), []
-    stem = regex.match("[^(|?\\[]*", money.word)[0].removesuffix("?")
+    stem = rx.match("[^(|?\\[]*", money.word)[0].removesuffix("?")
     if money.word:
         either = rf"|{symbol}" if symbol else ""
         out.append(([x for x in (stem, money.symbol) if x], rule(rf"{AMOUNT}\s*({money.word}(?![а-яіїєґ]){either})", fold=True)(read)))
@@ -176,8 +177,8 @@ def ticker_words(ticker: str) -> str:
 
 def _canonical(raw: str) -> str | None:
     """An amount with a point at most, groups joined; None where groups aren't of three."""
-    amount = regex.sub(r"[ \u00a0]", "", raw)
-    marks = regex.findall("[.,]", amount)
+    amount = rx.sub(r"[ \u00a0]", "", raw)
+    marks = rx.findall("[.,]", amount)
     if len(set(marks)) == 2:
         amount = amount.replace(({".", ","} - {marks[-1]}).pop(), "")
         if marks[-1] == ",":

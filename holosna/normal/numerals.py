@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import regex
-
+from holosna.normal import rx
 from holosna.normal import lexicon as L
 from holosna.normal import temperature
 from holosna.normal import words as W
@@ -102,7 +101,7 @@ def _unit_of(amount: str, key: str | None) -> str:
         return ""
     unit, rest = L.UNIT[key], amount[1:] if amount[:1] in ("+", "-") else amount
     n = W.whole(rest)
-    return " " + unit.decimal if regex.search("[.,]", rest) else "" if n is None else " " + W.agree(n, unit)
+    return " " + unit.decimal if rx.search("[.,]", rest) else "" if n is None else " " + W.agree(n, unit)
 
 
 @rule(rf"(^|[^\d]){BASE}{CROSS}10−(\d+)\s*°[CС](?:−|-)(\d+)(?!\d)")
@@ -173,13 +172,13 @@ def precise_money(m: Match) -> str:
 def governed_multipliers(m: Match) -> str | None:
     unit = MULTIPLIERS[W.lower(m[4])]
     words = W.signed(m[3], "gen", unit.gender)
-    return words and f"{m[1]}{m[2]} {words} {unit.decimal if regex.search('[.,]', m[3]) else unit.many}"
+    return words and f"{m[1]}{m[2]} {words} {unit.decimal if rx.search('[.,]', m[3]) else unit.many}"
 
 
 @rule(r"\b(\d+(?:[.,]\d+)?)\s*(тис|млн|млрд|трлн)(\.?)(?![а-яіїєґ])", fold=True)
 def _multiplier(m: Match) -> str | None:
     """A point stays only where it ends the text."""
-    unit, end, halves = MULTIPLIERS[W.lower(m[2])], m[3] if m.end() == len(m.string) else "", regex.split("[.,]", m[1])
+    unit, end, halves = MULTIPLIERS[W.lower(m[2])], m[3] if m.end() == len(m.string) else "", rx.split("[.,]", m[1])
     if len(halves) == 2:
         words = W.decimal(*halves)
         return words and f"{words} {unit.decimal}{end}"

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import regex
-
+from holosna.normal import rx
 from holosna.normal import words as W
 from holosna.normal.checks import roman, valid_roman
 from holosna.normal.dates import year
@@ -37,7 +36,7 @@ def _mixed_roman(token: str) -> int | None:
 
 
 def _last_word(text: str) -> str:
-    return regex.split(r"[ \t\n]", W.lower(text).rstrip())[-1]
+    return rx.split(r"[ \t\n]", W.lower(text).rstrip())[-1]
 
 
 @rule(rf"(^|[^A-Za-z{LETTERS}])({ROMAN}){ROMAN_DASH}({ROMAN})\s*{CENTURY}{NO_CYRILLIC}")

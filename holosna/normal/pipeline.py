@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import regex
-
 from holosna.functions.structural import VARIABLES
+from holosna.normal import rx
 from holosna.normal import context, dates, identifiers, letters, money, numerals, ordinals, quantities, ranges, shape
 from holosna.normal import words as W
 from holosna.normal.protection import Kept, protected
@@ -31,15 +30,15 @@ def resolutions(m: Match) -> str:
 
 
 def _digit(text: str) -> bool:
-    return regex.search("[0-9]", text) is not None
+    return rx.search("[0-9]", text) is not None
 
 
 def _latin(text: str) -> bool:
-    return regex.search("[A-Za-z]", text) is not None
+    return rx.search("[A-Za-z]", text) is not None
 
 
 def _roman(text: str) -> bool:
-    return regex.search("[MDCLXVI]", text) is not None
+    return rx.search("[MDCLXVI]", text) is not None
 
 
 def normalized(text: str, options: Options = Options()) -> str:

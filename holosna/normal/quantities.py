@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import regex
-
+from holosna.normal import rx
 from holosna.normal import lexicon as L
 from holosna.normal import words as W
 from holosna.normal.dates import clock, preceding_word
@@ -176,7 +175,7 @@ def _percent(token: str) -> str | None:
     words, n = W.signed(token), W.whole(W.sign_of(token)[1])
     if words is None:
         return None
-    return f"{words} {PERCENT.decimal}" if regex.search("[.,]", token) else None if n is None else f"{words} {W.agree(n, PERCENT)}"
+    return f"{words} {PERCENT.decimal}" if rx.search("[.,]", token) else None if n is None else f"{words} {W.agree(n, PERCENT)}"
 
 
 @rule(
@@ -184,7 +183,7 @@ def _percent(token: str) -> str | None:
 )
 def _governed_percent(m: Match) -> str | None:
     words = W.signed(m[3], "gen")
-    return words and f"{m[1]}{m[2]} {words} {PERCENT.decimal if regex.search('[.,]', m[3]) else PERCENT.many}"
+    return words and f"{m[1]}{m[2]} {words} {PERCENT.decimal if rx.search('[.,]', m[3]) else PERCENT.many}"
 
 
 @rule(r"([+\-])(\d+(?:[.,]\d+)?)\s*%")
@@ -204,7 +203,7 @@ def _plain_percent(m: Match) -> str | None:
 
 percent = passes(_governed_percent, _signed_percent, _plain_percent)
 
-ATOM = f"(?:{any_of(k for k in L.UNIT if not regex.search('[-/ ·]', k))})(?:²|³|2|3)?"
+ATOM = f"(?:{any_of(k for k in L.UNIT if not rx.search('[-/ ·]', k))})(?:²|³|2|3)?"
 _ATOM = pattern(ATOM)
 
 

@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import regex
-
+from holosna.normal import rx
 from holosna.normal import lexicon as L
 from holosna.normal import temperature
 from holosna.normal import words as W
@@ -178,7 +177,7 @@ def _measure(m: Match, around: Around, explicit: bool) -> str | None:
     if not frame.both or frame.inside:  # the unit agrees with the upper bound
         upper = W.sign_of(m["high"])[1]
         n = W.whole(upper)
-        name = unit.few if regex.search("[.,]", upper) else name if n is None else W.agree(n, unit)
+        name = unit.few if rx.search("[.,]", upper) else name if n is None else W.agree(n, unit)
     return numbers and f"{m['lead']}{numbers} {name}"
 
 

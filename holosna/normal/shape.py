@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import regex
-
 from holosna.functions.structural import APOSTROPHES, COMPOSED, LOOK_CYRILLIC, LOOK_LATIN, OPENING, QUOTES, SPACES, SYMBOLS
+from holosna.normal import rx
 from holosna.normal import words as W
 from holosna.normal.checks import valid_roman
 from holosna.normal.rules import LETTERS, Around, Match, pattern, passes, rule
@@ -34,7 +33,7 @@ _KEPT_MINUS = "\uf8ff"  # stands for it meanwhile
 def unicode_forms(text: str, quote_style: str = "keep") -> str:
     """Apostrophes, minus signs, dashes and quotes in one form each, й and ї composed. The minus of a tight 10−n stays."""
     if quote_style == "strip":
-        text = regex.sub(f"[{QUOTES}]", "", _SPLIT_QUOTE.sub(" ", text))
+        text = rx.sub(f"[{QUOTES}]", "", _SPLIT_QUOTE.sub(" ", text))
     elif quote_style != "keep":
         text = text.translate(_STRAIGHT if quote_style == "straight" else _GUILLEMETS)
     text = _POWER_MINUS.sub(_KEPT_MINUS, _APOSTROPHE.sub("'", text)).translate(_ONE_FORM).replace(_KEPT_MINUS, "−")
@@ -45,7 +44,7 @@ def unicode_forms(text: str, quote_style: str = "keep") -> str:
 
 def _plain(text: str) -> str:
     text = text.translate(str.maketrans(SPACES, " " * len(SPACES)))
-    text = regex.sub(r"(?<!\*)\*\*(?!\*)|(?<!_)__(?!_)", "", text)
+    text = rx.sub(r"(?<!\*)\*\*(?!\*)|(?<!_)__(?!_)", "", text)
     return text.replace("`", "").replace("’", "'")
 
 
@@ -75,18 +74,25 @@ typography = passes(_plain, _punctuation, _unit_slash, _letter_slash, _dimension
 _TO_CYRILLIC, _TO_LATIN = str.maketrans(LOOK_LATIN, LOOK_CYRILLIC), str.maketrans(LOOK_CYRILLIC, LOOK_LATIN)
 
 
+_TWO_SCRIPTS = pattern(f"[A-Za-z]['’–-]*[{LETTERS}]|[{LETTERS}]['’–-]*[A-Za-z]")
+
+
 @rule(f"[{LETTERS}A-Za-z'’–-]+")
-def homoglyphs(m: Match) -> str | None:
-    """A word of both scripts in that of most of its letters (Cyrillic if even), if all others have look-alikes."""
-    latin, cyrillic = regex.findall("[A-Za-z]", m[0]), regex.findall(f"[{LETTERS}]", m[0])
-    if not latin or not cyrillic:
+def _look_alikes(m: Match) -> str | None:
+    if not _TWO_SCRIPTS.search(m[0]):
         return None
+    latin, cyrillic = rx.findall("[A-Za-z]", m[0]), rx.findall(f"[{LETTERS}]", m[0])
     few, alike, table = (latin, LOOK_LATIN, _TO_CYRILLIC) if len(cyrillic) >= len(latin) else (cyrillic, LOOK_CYRILLIC, _TO_LATIN)
     return m[0].translate(table) if set(few) <= set(alike) else None
 
 
+def homoglyphs(text: str) -> str:
+    """Words of both scripts in that of most of their letters (Cyrillic if even), if all others have look-alikes."""
+    return _look_alikes(text) if _TWO_SCRIPTS.search(text) else text
+
+
 def trimmed(text: str) -> str:
-    return regex.sub(" {2,}", " ", text).strip(" ")
+    return rx.sub(" {2,}", " ", text).strip(" ")
 
 
 _UKRAINIAN_DOMAIN = pattern(r"\.(ua|укр)(?=$|[/?#])", fold=True)
@@ -138,14 +144,14 @@ _IN, _OF = pattern(r"(?:^|[\s(])(?:у|в)\s+$"), pattern(r"(?:^|[\s(])(?:від|
 def addresses(m: Match) -> str | None:
     """Abbreviations of an address that begin a token; of town, village and block only before a name or a number."""
     key, before, after = W.lower(m[1]), W.lower(m.string[max(0, m.start() - 64) : m.start()]), m.string[m.end() : m.end() + 64].lstrip()
-    if regex.search(f"[{LETTERS}A-Za-z0-9/]$", before):
+    if rx.search(f"[{LETTERS}A-Za-z0-9/]$", before):
         return None
-    if key in ("м", "с", "корп") and not regex.match("[А-ЯЄІЇҐA-Z0-9]", after):
+    if key in ("м", "с", "корп") and not rx.match("[А-ЯЄІЇҐA-Z0-9]", after):
         return None
     if key == "м":
         if _IN.search(before):
             return "місті"
-        if _OF.search(before) or regex.match(f"Києва(?![{LETTERS}])", after):
+        if _OF.search(before) or rx.match(f"Києва(?![{LETTERS}])", after):
             return "міста"
     if key == "с" and before.endswith("вакуумі "):  # the speed of light at the end of a sentence
         return None
@@ -212,7 +218,7 @@ def headings(text: str) -> str:
     """Lines ``== heading ==`` of two to six marks, the same at both ends, as the heading alone."""
 
     def bare(line: str) -> str:
-        m = regex.fullmatch(r"[ \t\r]*(={2,6})(?!=)[ \t]*([^ \t](?:.*[^ \t])?)[ \t]*(?<!=)\1[ \t\r]*", line, regex.DOTALL)
+        m = rx.fullmatch(r"(?s)[ \t\r]*(={2,6})(?!=)[ \t]*([^ \t](?:.*[^ \t])?)[ \t]*(?<!=)\1[ \t\r]*", line)
         return m[2] if m else line
 
     return "\n".join(map(bare, text.split("\n")))

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import regex
-
+from holosna.normal import rx
 from holosna.normal import words as W
 from holosna.normal.lexicon import Unit
 
@@ -46,7 +45,7 @@ class Scale(NamedTuple):
 
 def scale(token: str) -> Scale | None:
     low = W.lower(token)
-    tight = regex.sub(r"\s", "", low)
+    tight = rx.sub(r"\s", "", low)
     for name, stems, tokens, endings in WRITTEN:
         if any(s in low for s in stems) or tight in tokens or ("град" in low and tight.endswith(tuple(endings))):
             return Scale(name, DEGREE if name else KELVIN)
@@ -67,4 +66,4 @@ def spoken(token: str, on: Scale, case: str = "") -> str | None:
 def range_unit(upper: str, on: Scale) -> str:
     """The unit after a range that ends in upper."""
     n = W.whole(W.sign_of(upper)[1])
-    return on.unit.decimal if regex.search("[.,]", upper) or (n is not None and W.is_one(n)) else on.unit.many
+    return on.unit.decimal if rx.search("[.,]", upper) or (n is not None and W.is_one(n)) else on.unit.many

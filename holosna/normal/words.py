@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
-import regex
-
+from holosna.normal import rx
 from holosna.functions import tables as T
 from holosna.normal.checks import roman, valid_roman
 from holosna.normal.lexicon import Unit
@@ -56,7 +55,7 @@ def whole(digits: str) -> int | None:
 
 def number(digits: str) -> int:
     """The number at the start of the text; 0 if there is none, or none that fits."""
-    lead = regex.match("[0-9]*", digits)[0]
+    lead = rx.match("[0-9]*", digits)[0]
     return whole(lead) or 0 if lead else 0
 
 
@@ -154,7 +153,7 @@ def signed(token: str, case: str = "", gender: str = "m") -> str | None:
 
 def _halves(token: str) -> tuple[str, str, str]:
     """What stands before and after the first point or comma, and the mark."""
-    found = regex.search("[.,]", token)
+    found = rx.search("[.,]", token)
     return (token[: found.start()], found[0], token[found.end() :]) if found else (token, "", "")
 
 
@@ -198,7 +197,7 @@ def identifier_number(digits: str) -> str:
 def segment(text: str) -> str:
     """A part of an identifier: its figures as numbers, its letters as a Roman ordinal or by name."""
     out = []
-    for run in regex.findall(f"[0-9]+|[A-Za-z{LETTERS}’']+", text):
+    for run in rx.findall(f"[0-9]+|[A-Za-z{LETTERS}’']+", text):
         if run[0].isdigit():
             out.append(identifier_number(run))
         else:
@@ -210,7 +209,7 @@ def segment(text: str) -> str:
 def structured(value: str) -> str:
     """An identifier of several parts; slashes and hyphens between them are spoken."""
     out = []
-    for part in regex.findall(f"[0-9A-Za-z{LETTERS}’']+|[/‑–—-]", value):
+    for part in rx.findall(f"[0-9A-Za-z{LETTERS}’']+|[/‑–—-]", value):
         out.append("слеш" if part == "/" else "дефіс" if part in "-‑–—" else segment(part))
     return " ".join(out)
 
@@ -221,7 +220,7 @@ def dotted(text: str) -> str:
 
 def phone(text: str, style: str) -> str:
     """A phone number in words; what is neither Ukrainian nor international stays."""
-    groups, abroad = regex.findall("[0-9]+", text), text.startswith("00")
+    groups, abroad = rx.findall("[0-9]+", text), text.startswith("00")
     if abroad:
         groups = [g for g in [groups[0][2:], *groups[1:]] if g]
     digits = "".join(groups)

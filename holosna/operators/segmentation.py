@@ -27,18 +27,24 @@ GENERIC_QUOTES = "\"„'"
 CLOSERS = "»”’)]}"
 TOKEN_PUNCT = "\\/!#$%&*+,.:;<=>?@^_`|~№…‑–—−-«“‘»”’\"„'()[]{}"
 # --- fixed values: abbreviations ----------------------------------------------------------------------------------
-TRAILING = set(
-    "тис млн млрд грн коп проц га кг г т куб кв км м см мм л год хв сек ст р рр с к руб крб co corp inc ed al мон моз мвс сбу нбу дпс дбр набу назк ова ода рда кмда мкм нм квт мвт шт од екз вс оаск єрдр ecli".split()
-)
-LEADING = set(
-    "ст укр англ нім фр італ грец лат mr mrs ms dr vs св проф акад доц канд д-р ред гр ім тов п пп ч чч гл абз пт no просп пр вул ш м смт с обл р-н корп пер пл буд кв оф каб літ р а оз г напр дод юр "
-    "фіз тел тобто див розд табл мал рис пор упоряд мкр наб пров шос бул деп пост наказ підп арк вип стор ухв ріш провадж спр поз позов відп заявн оск адмін крим цив госп док прим перекл вид т тт зб зош "
-    "журн газ асист викл зав лаб інж н чл.-кор м-н ж/м в/ч остр річ станц залізн бл прибл зокр порівн підрозд тр скаржн кк кпк цк цпк гк гпк кас купап кзпп пку мку зку ску вс вп кцс кгс ккс оаск v єрдр ecli".split()
-)
-KNOWN = TRAILING | LEADING | set("скор рис винят прим заст жарт".split())
+TRAILING = {
+    "тис", "млн", "млрд", "грн", "коп", "проц", "га", "кг", "г", "т", "куб", "кв", "км", "м", "см", "мм", "л", "год", "хв", "сек", "ст", "р", "рр", "с", "к", "руб",
+    "крб", "co", "corp", "inc", "ed", "al", "мон", "моз", "мвс", "сбу", "нбу", "дпс", "дбр", "набу", "назк", "ова", "ода", "рда", "кмда", "мкм", "нм", "квт", "мвт", "шт",
+    "од", "екз", "вс", "оаск", "єрдр", "ecli",
+}
+LEADING = {
+    "ст", "укр", "англ", "нім", "фр", "італ", "грец", "лат", "mr", "mrs", "ms", "dr", "vs", "св", "проф", "акад", "доц", "канд", "д-р", "ред", "гр", "ім", "тов", "п",
+    "пп", "ч", "чч", "гл", "абз", "пт", "no", "просп", "пр", "вул", "ш", "м", "смт", "с", "обл", "р-н", "корп", "пер", "пл", "буд", "кв", "оф", "каб", "літ", "р", "а",
+    "оз", "г", "напр", "дод", "юр", "фіз", "тел", "тобто", "див", "розд", "табл", "мал", "рис", "пор", "упоряд", "мкр", "наб", "пров", "шос", "бул", "деп", "пост",
+    "наказ", "підп", "арк", "вип", "стор", "ухв", "ріш", "провадж", "спр", "поз", "позов", "відп", "заявн", "оск", "адмін", "крим", "цив", "госп", "док", "прим",
+    "перекл", "вид", "т", "тт", "зб", "зош", "журн", "газ", "асист", "викл", "зав", "лаб", "інж", "н", "чл.-кор", "м-н", "ж/м", "в/ч", "остр", "річ", "станц", "залізн",
+    "бл", "прибл", "зокр", "порівн", "підрозд", "тр", "скаржн", "кк", "кпк", "цк", "цпк", "гк", "гпк", "кас", "купап", "кзпп", "пку", "мку", "зку", "ску", "вс", "вп",
+    "кцс", "кгс", "ккс", "оаск", "v", "єрдр", "ecli",
+}
+KNOWN = TRAILING | LEADING | {"скор", "рис", "винят", "прим", "заст", "жарт"}
 INITIALS = {"дж", "ed"}
 ALWAYS_PAIRS = {"т е", "т к", "т н", "и о", "к н", "к п", "п н", "к т", "л д", "і т", "ст ст", "а с"}
-PAIRS = ALWAYS_PAIRS | {"т п", "т д", "у е", "н э", "p m", "a m", "с г", "р х", "с ш", "з д", "л с", "ч т", "ед ч", "мн ч", "повел накл", "жен рмуж р"}
+PAIRS = ALWAYS_PAIRS | {"т п", "т д", "у е", "н э", "p m", "a m", "с г", "р х", "с ш", "з д", "л с", "ч т", "ед ч", "мн ч", "повел накл"}
 
 _LOWER = {ord(u): ord(u.lower()) for u in "ABCDEFGHIJKLMNOPQRSTUVWXYZАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯҐЄІЇ"}
 _LETTER = f"A-Za-z{UK}"
@@ -50,6 +56,7 @@ _COMPOUND = re.compile(f"([{_LETTER}_{EXTRA}0-9][{_LETTER}_{EXTRA}0-9./-]*)[{SPA
 _DOTTED = re.compile(f"([{_LETTER}_{EXTRA}0-9]+)[{SPACE}]*\\.[{SPACE}]*\\Z")
 _PAIR = re.compile(f"([{_LETTER}_{EXTRA}0-9]+)[{SPACE}]*\\.[{SPACE}]*([{_LETTER}_{EXTRA}0-9]+)[{SPACE}]*\\Z")
 _BULLET_RIGHT = re.compile(f"[{SPACE}]*[{_LETTER}]\\)(?:[{SPACE}]|\\Z)")
+_HEADING = re.compile("[ \t]*==")
 _WORD = re.compile(f"[{_LETTER}_{EXTRA}]+|[0-9]+")
 
 
@@ -77,12 +84,13 @@ def is_bullet(token: str) -> bool:
 
 @dataclass
 class Boundary:
-    """A candidate: up to ten characters on either side, and the sentence so far."""
+    """A candidate: up to ten characters on either side, the sentence so far if it is short, and whether its last line began a heading."""
 
     left: str
     mark: str
     right: str
-    sentence: str
+    short: str
+    heading: bool
 
     def __post_init__(self):
         self.before, self.after = _PIECE.findall(self.left), _PIECE.findall(self.right)
@@ -106,8 +114,7 @@ class Boundary:
 
 
 def _in_heading(b: Boundary) -> bool:
-    line = re.split("[\r\n]", b.sentence)[-1].lstrip(" \t")
-    return line.startswith("==") and b.right.lstrip(" \t\r\n").startswith("==")
+    return b.heading and b.right.lstrip(" \t\r\n").startswith("==")
 
 
 def _new_line(b: Boundary) -> bool:
@@ -140,8 +147,8 @@ def _abbreviated(b: Boundary) -> bool:
 
 
 def _list_item(b: Boundary) -> bool:
-    pieces = _PIECE.findall(b.sentence)
-    return b.mark in (".", ")") and len(b.sentence.encode()) <= 20 and bool(pieces) and all(map(is_bullet, pieces))
+    pieces = _PIECE.findall(b.short) if b.mark in (".", ")") and len(b.short.encode()) <= 20 else []
+    return bool(pieces) and all(map(is_bullet, pieces))
 
 
 def _inner_close(b: Boundary) -> bool:
@@ -183,10 +190,13 @@ def ends(b: Boundary) -> bool:
 
 def sentence_cuts(text: str) -> Iterator[tuple[int, int]]:
     """Character spans of sentences, trimmed; blank ones are left out."""
-    begin = 0
+    begin = line = seen = 0
     for m in _CANDIDATE.finditer(text):
         at, to = m.span()
-        if ends(Boundary(text[max(0, at - 10) : at], m[0], text[to : to + 10], text[begin:at])):
+        # the last line break before the candidate; each part of the text is looked through once
+        line, seen = max(line, text.rfind("\n", seen, at) + 1, text.rfind("\r", seen, at) + 1), at
+        heading = _HEADING.match(text, max(line, begin), at) is not None
+        if ends(Boundary(text[max(0, at - 10) : at], m[0], text[to : to + 10], text[begin:at] if at - begin <= 20 else "", heading)):
             yield begin, to
             begin = to
     yield begin, len(text)

@@ -1,5 +1,8 @@
 """Registered queries over the library's own operators, and their SQL where SQL can express them."""
 
-from holosna.plans.queries import ORACLE_SQL, QUERIES
+from holosna.plans import queries, reading
+
+QUERIES = queries.QUERIES | reading.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | reading.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -42,7 +42,7 @@ def ua_decimal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ua_digit_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "customer").select("c_custkey", numbers.digit_words(F.col("c_name")).alias("digits"), letters.spelled_letters(F.substring("c_name", 1, 3)).alias("spelled"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", numbers.digit_words(F.col("c_name")).alias("digits"), letters.spelled_letters(F.col("c_name")).alias("spelled"))
 
 
 def ua_spelled_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,19 @@ def ua_valid_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ua_valid_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account and vehicle numbers, UUIDs, digests and Roman numerals made of customer keys, some of them valid; numbers as identifiers say them."""
+    k = F.col("c_custkey")
+    digits = lambda n: F.lpad(k.cast("string"), n, "0")
+    roman = F.translate(F.lpad((k % 1000).cast("string"), 3, "0"), "0123456789", "IVXLCDMIXC")
+    return _t(spark, sf_dir, "customer").select(
+        "c_custkey", validation.valid_iban(F.concat(F.lit("GB82 WEST "), digits(14))).alias("iban"), validation.valid_vin(F.concat(F.lit("1M8GDM9AXKP"), digits(6))).alias("vin"),
+        validation.valid_uuid(F.concat(F.lit("550e8400-e29b-"), (k % 10).cast("string"), F.lit("1d4-"), (k % 7 + 5).cast("string"), F.lit("716-446655440000"))).alias("uuid"),
+        validation.valid_hash_length(F.lit("MD5"), F.repeat(F.lit("a"), (k % 40 + 1).cast("int"))).alias("digest"), validation.valid_roman(roman).alias("roman"),
+        numbers.identifier_number(digits(4)).alias("padded"), numbers.identifier_number(k.cast("string")).alias("plain"), structural.variables(F.concat(F.lit("α = "), k.cast("string"))).alias("variable"),
+    )
+
+
 def ua_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     return segmentation.exploded(docs, segmentation.sentences(F.col("text"))).drop("text")
@@ -128,7 +141,7 @@ VOCABULARY = {"the": "зе", "and": "енд", "for": "фор", "des": "де"}
 
 QUERIES = {f.__name__: f for f in (
     ua_number_words, ua_ordinal_words, ua_case_words, ua_counted_nouns, ua_decimal_words, ua_digit_words, ua_transliterate, ua_trim_spaces, ua_acronyms, ua_valid_dates, ua_valid_identifiers, ua_sentences, ua_tokens,
-    ua_symbols, ua_output_spacing, ua_structural, ua_number_groups, ua_english_words, ua_spelled_letters,
+    ua_symbols, ua_output_spacing, ua_structural, ua_number_groups, ua_english_words, ua_spelled_letters, ua_valid_codes,
 )}
 
 
@@ -206,7 +219,7 @@ ORACLE_SQL = {
     "ua_case_words": f"SELECT o_orderkey, {', '.join(f'{_case("o_orderkey", c)} AS c_{c}' for c in T.CASES)} FROM orders",
     "ua_counted_nouns": f"SELECT l_orderkey, l_linenumber, {_counted('q', 'година', 'години', 'годин', 'f')} AS hours, {_counted('q', 'хвилина', 'хвилини', 'хвилин', 'f')} AS minutes, {_counted('q', 'документ', 'документи', 'документів')} AS papers FROM (SELECT *, CAST(l_quantity AS BIGINT) AS q FROM lineitem)",
     "ua_decimal_words": f"SELECT p_partkey, {_decimal('d[1]', 'd[2]')} AS price, {_words('p_size', 'f')} || ' ' || CASE WHEN {_SINGLE.format(n='p_size')} THEN 'сота' ELSE 'сотих' END AS share FROM (SELECT *, {_PRICE} AS d FROM part)",
-    "ua_digit_words": f"SELECT c_custkey, {_digits('c_name')} AS digits, array_to_string(list_filter(list_transform(string_split(upper(c_name[1:3]), ''), lambda c: {_NAMES}[c]), lambda x: x IS NOT NULL), ' ') AS spelled FROM customer",
+    "ua_digit_words": f"SELECT c_custkey, {_digits('c_name')} AS digits, array_to_string(list_filter(list_transform(string_split(upper(c_name), ''), lambda c: {_NAMES}[c]), lambda x: x IS NOT NULL), ' ') AS spelled FROM customer",
     "ua_spelled_letters": f"SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(upper(p_name), ''), lambda c: {_NAMES}[c]), lambda x: x IS NOT NULL), ' ') AS spelled FROM part",
     "ua_transliterate": f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?is)sch|{_SEQUENCES}|.'), lambda x: coalesce({_map(T.LATIN | _MARKS)}[CASE WHEN x SIMILAR TO '[A-Za-z]+' THEN lower(x) ELSE x END], x)), '') AS cyrillic FROM documents",
     "ua_trim_spaces": "SELECT doc_id, trim(regexp_replace('  ' || replace(text, 'e', '  '), ' +', ' ', 'g'), ' ') AS trimmed FROM documents",
@@ -232,3 +245,20 @@ SELECT l_orderkey, l_linenumber, {_LUHN} % 10 = 0 AS luhn,
   list_sum(list_transform(range(1, 9), lambda i: (9 - i) * CAST(d[2 + i] AS INT))) % 11 = 0 AS issn,
   CAST(greatest(0, list_sum(list_transform(range(1, 6), lambda i: CASE WHEN i < 5 AND r[i] < r[i + 1] THEN -r[i] ELSE r[i] END))) AS BIGINT) AS roman
 FROM (SELECT *, {_ROMAN} AS r FROM (SELECT *, {_D} AS d, '4111' || {_D} AS l FROM lineitem))"""
+
+_RUNS = "[А-ЯҐЄІЇ]"
+ORACLE_SQL["ua_acronyms"] = f"""
+SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(t, '{_RUNS}+|[^А-ЯҐЄІЇ]+'), lambda x: CASE WHEN length(x) > 1 AND regexp_full_match(x, '{_RUNS}+') AND NOT regexp_matches(x, '[АЕЄИІЇОУЮЯ]')
+  THEN array_to_string(list_transform(string_split(x, ''), lambda c: {_NAMES}[c]), ' ') ELSE x END), '') AS spelled
+FROM (SELECT p_partkey, translate(upper(p_name), 'BCDFGHKLMNPRSTVXZAEIOUY', 'БЦДФГХКЛМНПРСТВШЗАЕІОУИ') AS t FROM part)"""
+_VIN = "'1M8GDM9AXKP' || lpad(CAST(c_custkey AS VARCHAR), 6, '0')"
+_VALUES = "MAP {'A': 1, 'D': 4, 'G': 7, 'K': 2, 'M': 4, 'P': 7, 'X': 7}"
+_ROMAN3 = "translate(lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0'), '0123456789', 'IVXLCDMIXC')"
+_SAID = f"CASE WHEN length(s) > 4 OR (length(s) > 1 AND s[1] = '0') THEN {_digits('s')} ELSE {_words('CAST(s AS BIGINT)')} END"
+ORACLE_SQL["ua_valid_codes"] = f"""
+SELECT c_custkey, CAST('32142829' || lpad(CAST(c_custkey AS VARCHAR), 14, '0') || '161182' AS HUGEINT) % 97 = 1 AS iban,
+  list_sum(list_transform(range(1, 18), lambda i: [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2][i] * coalesce({_VALUES}[v[i]], try_cast(v[i] AS INT)))) % 11 = 10 AS vin,
+  c_custkey % 10 BETWEEN 1 AND 8 AND c_custkey % 7 + 5 IN (8, 9) AS uuid, c_custkey % 40 + 1 = 32 AS digest,
+  regexp_full_match({_ROMAN3}, 'M{{0,4}}(CM|CD|D?C{{0,3}})(XC|XL|L?X{{0,3}})(IX|IV|V?I{{0,3}})') AS roman,
+  list_transform([lpad(CAST(c_custkey AS VARCHAR), 4, '0')], lambda s: {_SAID})[1] AS padded, list_transform([CAST(c_custkey AS VARCHAR)], lambda s: {_SAID})[1] AS plain, 'альфа = ' || c_custkey AS variable
+FROM (SELECT *, {_VIN} AS v FROM customer)"""

@@ -88,3 +88,14 @@ def test_entry_lists_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_numerals_that_do_not_fit(spark):
+    df = spark.createDataFrame([("1234567890123456789012345",), ("x1",), ("-5",), ("",), (None,), ("21",)], "n string")
+    got = [r[0] for r in df.select(numbers.number_words(F.col("n"), "f")).collect()]
+    assert got[0] == " ".join(["нуль один два три чотири п'ять шість сім вісім дев'ять".split()[int(c)] for c in "1234567890123456789012345"])
+    assert got[1:] == [None, None, None, None, "двадцять одна"]
+    decimals = spark.createDataFrame([("", "5"), ("2", "5"), ("123456789012345678901", "5"), (None, "5"), ("1", "1234567")], "w string, f string")
+    said = [r[0] for r in decimals.select(numbers.decimal_words(F.col("w"), F.col("f"))).collect()]
+    assert said[:2] == ["нуль кома п'ять", "дві цілих і п'ять десятих"] and said[2].endswith("один кома п'ять") and said[3] is None
+    assert said[4] == "один кома один два три чотири п'ять шість сім"
