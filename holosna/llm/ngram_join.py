@@ -8,8 +8,12 @@ meetings. Parts are cut a little finer (``spare``), so that linked sets share an
 empty parts are left out unless a class has more than ``spare`` of them.
 
 Classes that meet are compared with the first of their meeting, and, where the meeting then still spans components,
-with a few more; components of these links are found; and only meetings that still span some compare all classes, in square tiles of bounded rows, by bitmap: the bits
-that differ bound the overlap from above. What the bound lets through is settled by intersecting the sorted arrays.
+with a few more; components of these links are found. Only meetings that still span some, each set of members once,
+are looked at whole, in square tiles of bounded rows, by size and bitmap: the bits that differ bound the overlap from
+above. A tile names the classes that some class of another component may link to, one row each, and which components
+it holds together; so all possible links lie inside groups of components, and groups are far smaller than meetings are
+many. The classes of a group meet once more with their sorted arrays, in tiles again, for the exact intersections. A
+tile joins the components that it links as it goes, so it makes at most as many links as it has rows.
 Shingles, parts and classes are compared by 64-bit hash.
 """
 
@@ -17,19 +21,21 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import cache, partial
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holosna.llm.common import by_batch, dropped, mix, shingle_sets, small, stored, utf8
+from holosna.llm.common import Overlaps, by_batch, by_list, dropped, mix, shingle_sets, small, stored, utf8
 from holosna.llm.components import components
 
 BAND, TILE_ROWS = 1.6, 512
-#: 64-bit words of the bitmaps that tiles compare, at least (they grow with the set, see narrow_width), and of those
-#: that pairs are held against before their texts are read.
-NARROW, WIDE = 16, 96
+#: Classes of a group that a tile holds with their arrays.
+GROUP_ROWS = 2048
+#: 64-bit words of the bitmaps that tiles of meetings compare, at least (they grow with the set, see narrow_width), of
+#: those that pairs are held against before their texts are read; bits a shingle, at least, in tiles of groups.
+NARROW, WIDE, TILE_BITS = 16, 96, 8
 #: Classes of a meeting that the others are compared with in the second step.
 STARS = 3
 
@@ -90,6 +96,10 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
+def class_of(x: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """doc_id, row (hash of id and text), n_shingles, class (hash of the set; null if empty), keys and bitmaps of every row."""
 
@@ -99,7 +109,7 @@ def sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             "doc_id": more["doc_id"],
             "row": more["row"],
             "n_shingles": [len(x) for x in own],
-            "class": [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) if len(x) else None for x in own],
+            "class": [class_of(x) if len(x) else None for x in own],
             "keys": [keys(x, num, den).view(np.int64) if len(x) else [] for x in own],
             "narrow": [signature(x, narrow_width(len(x))) if len(x) else [] for x in own],
             "wide": [signature(x, WIDE) if len(x) else [] for x in own],
@@ -123,7 +133,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     # the shuffle moves texts, which are half the size of their arrays, and only those of classes in a possible pair
     likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(possible(num, den)).select("a", "b", "fa", "fb"), "likely")
     need = stored(likely.select(F.col("a").alias("class"), F.col("fa").alias("id")).unionByName(likely.select(F.col("b").alias("class"), F.col("fb").alias("id"))).distinct(), "need")
-    texts = docs.select(row_key().alias("id"), utf8(F.col("text")).alias("t")).join(small(need, need.count()), "id").select("class", "t")
+    texts = docs.select(row_key().alias("id"), utf8(F.col("text")).alias("t")).join(small(need), "id").select("class", "t")
     texts = stored(by_class(texts, width), "texts")
     both = likely.select("a", "b").join(texts.select(F.col("class").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("t").alias("text_utf8")), "b")
 
@@ -155,8 +165,7 @@ def by_class(texts: DataFrame, width: int) -> DataFrame:
     def look(found: list[bytes], more: dict) -> dict:
         import pyarrow as pa
 
-        own = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in shingle_sets(found, width)]
-        keep = [a == b for a, b in zip(own, more["class"].to_pylist(), strict=True)]
+        keep = [class_of(x) == c for x, c in zip(shingle_sets(found, width), more["class"].to_pylist(), strict=True)]
         return {"class": more["class"].filter(pa.array(keep, pa.bool_())), "t": pa.array([t for t, k in zip(found, keep, strict=True) if k], pa.binary())}
 
     return by_batch(texts.select("class", F.col("t").alias("text_utf8")), look, "class long, t binary").dropDuplicates(["class"])
@@ -165,7 +174,7 @@ def by_class(texts: DataFrame, width: int) -> DataFrame:
 def placed_in(met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The meetings' classes with their components' roots, and the meetings of three or more that span components."""
     placed = met.join(roots, met["class"] == roots["node"], "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-    open_ = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), *(F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "class", "root")).alias(f"s{k}") for k in range(STARS)))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("members"), *(F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "class", "root")).alias(f"s{k}") for k in range(STARS)))
     return placed, open_.where("low <> high AND n > 2")
 
 
@@ -176,62 +185,125 @@ def more_stars(met: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(reps, "key").where("rep.root <> root").select(F.least("class", "rep.class").alias("a"), F.greatest("class", "rep.class").alias("b")).distinct()
 
 
-def crossing(met: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes that meet, lie in different components, and that sizes and bitmaps let link."""
-    placed, open_ = placed_in(met, roots)
-    open_ = open_.select("key", "n")
-    blocks = F.ceil(F.col("n") / TILE_ROWS).cast("int")
-    rows = placed.join(open_, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+def arrays(need: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """class and words (sorted shingles) of the classes in need, from their texts."""
+    need = stored(classes.join(need, "class", "left_semi").select("class", F.col("row").alias("id")), "need")
+    texts = docs.select(row_key().alias("id"), utf8(F.col("text")).alias("t")).join(small(need), "id").select("class", F.col("t").alias("text_utf8"))
+
+    def look(found: list[bytes], more: dict) -> dict:
+        own = [(c, x.view(np.int64)) for c, x in zip(more["class"].to_pylist(), shingle_sets(found, width), strict=True) if class_of(x) == c]
+        return {"class": [c for c, _ in own], "words": [x for _, x in own]}
+
+    # rows repeated whole give a class more than once
+    out = stored(by_batch(texts, look, "class long, words array<long>").groupBy("class").agg(F.first("words").alias("words")), "arrays")
+    dropped(need)
+    return out
+
+
+def blocked(rows: DataFrame, size: DataFrame, most: int) -> DataFrame:
+    """rows (key, class, …) in tiles of about ``most`` classes, or two blocks of half as many: adds block and two, and tells key by tile."""
+    half = max(1, most // 2)
+    blocks = F.when(F.col("n") <= most, F.lit(1)).otherwise(F.ceil(F.col("n") / half)).cast("int")
+    rows = rows.join(size, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "root")
-    rows = rows.join(classes.select("class", "n_shingles", F.col("narrow").alias("signature")), "class")
-
-    def compare(frames):
-        import pandas as pd
-
-        held = None
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            last = frame.iloc[-1]
-            end = (frame["key"] == last["key"]) & (frame["i"] == last["i"]) & (frame["j"] == last["j"])
-            held = frame[end]
-            if not end.all():
-                yield tiles(frame[~end], num, den)
-        if held is not None:
-            yield tiles(held, num, den)
-
-    # tiles stay whole in a partition and in order, so that a tile is all that a task holds besides a batch
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(compare, "a long, b long").distinct()
-
-
-def tiles(frame, num: int, den: int):
-    """Compares the classes of each tile, all against all, by size, component and bitmap."""
-    import pandas as pd
-
-    out_a, out_b = [], []
-    change = (frame[["key", "i", "j"]].shift() != frame[["key", "i", "j"]]).any(axis=1).to_numpy()
-    edge = [*np.flatnonzero(change), len(frame)]
-    cls, root, n, block = (frame[c].to_numpy() for c in ("class", "root", "n_shingles", "block"))
-    ij = (frame["i"] == frame["j"]).to_numpy()
-    bitmaps = frame["signature"].to_numpy()
-    flat = np.concatenate(bitmaps).astype(np.int64).view(np.uint64)
-    at = np.cumsum([0, *(len(x) for x in bitmaps)])
-    for s, e in zip(edge[:-1], edge[1:], strict=True):
-        # bitmaps of unequal widths are folded to the least; sizes in a tile differ less than twofold, so it is near
-        least = int(np.diff(at[s : e + 1]).min())
-        own = flat[at[s] : at[e]].reshape(-1, least)
-        bits = own if len(own) == e - s else np.bitwise_or.reduceat(own, (at[s:e] - at[s]) // least)
-        for x in range(s, e):
-            y = np.arange(x + 1, e)
-            y = y[(root[y] != root[x]) & (ij[x] | (block[y] != block[x])) & (np.minimum(n[y], n[x]) * den >= num * np.maximum(n[y], n[x]))]
-            if not len(y):
-                continue
-            most = (n[y] + n[x] - np.bitwise_count(bits[y - s] ^ bits[x - s]).sum(1).astype(np.int64)) / 2
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    return rows.withColumn("key", F.xxhash64("key", i, j)).withColumn("two", i != j).drop("n", "blocks", "other")
+
+
+def by_tile(rows: DataFrame, f, schema: str) -> DataFrame:
+    """f of each tile, which stays whole in a partition and in order, so that a tile is all that a task holds besides a batch."""
+    import pyarrow as pa
+
+    def look(table):
+        made = [f(table.slice(s, e - s)) for s, e in runs(table.column("key").to_numpy())]
+        return pa.concat_tables(made)
+
+    return by_list(rows.repartition("key").sortWithinPartitions("key"), look, schema)
+
+
+def crossing(met: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links between classes that meet and lie in different components, enough of them to join all such components."""
+    import pyarrow as pa
+
+    placed, open_ = placed_in(met, roots)
+    # meetings of the same members are looked at once
+    size = stored(open_.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n"), "open")
+    rows = blocked(placed.join(size.select("key"), "key", "left_semi"), size, TILE_ROWS).join(classes.select("class", "n_shingles", F.col("narrow").alias("signature")), "class")
+    near = stored(by_tile(rows, lambda t: possible_rows(t, num, den), "class long, root long, rep long").distinct(), "near")
+    groups = stored(components(near.select(F.col("root").alias("a"), F.col("rep").alias("b"))).toDF("root", "key"), "groups")
+    inside = stored(near.select("class", "root").distinct().join(groups, "root"), "inside")
+    sizes = stored(inside.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    sets_ = arrays(inside.select("class"), classes, docs, width)
+
+    def look(t):
+        links = tile(t, num, den)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    out = stored(by_tile(blocked(inside, sizes, GROUP_ROWS).join(sets_, "class"), look, "a long, b long"), "crossing")
+    dropped(size, near, groups, inside, sizes, sets_)
+    return out
+
+
+def possible_rows(table, num: int, den: int):
+    """class, root and rep of the rows of a tile that size and bitmap let link to one of another component; rep is the least root of those held together."""
+    import pyarrow as pa
+
+    cls, root, n, block = (table.column(c).to_numpy() for c in ("class", "root", "n_shingles", "block"))
+    two = bool(table.column("two")[0].as_py())
+    lists = table.column("signature").combine_chunks()
+    at, flat = lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy().view(np.uint64)
+    at = at - at[0]
+    # bitmaps of unequal widths are folded to the least; sizes in a tile differ less than twofold, so it is near
+    least = int(np.diff(at).min())
+    bits = flat.reshape(-1, least)
+    bits = bits if len(bits) == len(cls) else np.bitwise_or.reduceat(bits, at[:-1] // least)
+    own, used = np.unique(root, return_inverse=True)[1], np.zeros(len(cls), bool)
+    low = np.unique(root)
+    for x in range(len(cls) - 1):
+        y = np.arange(x + 1, len(cls))
+        y = y[(root[y] != root[x]) & ((block[y] != block[x]) | (not two)) & (np.minimum(n[y], n[x]) * den >= num * np.maximum(n[y], n[x]))]
+        if not len(y):
+            continue
+        most = (n[y] + n[x] - np.bitwise_count(bits[y] ^ bits[x]).sum(1).astype(np.int64)) / 2
+        y = y[most * den >= num * (n[y] + n[x] - most)]
+        if len(y):
+            used[x] = used[y] = True
+            join = np.unique(np.append(own[y], own[x]))
+            if len(join) > 1:
+                own[np.isin(own, join)] = join[0]
+    return pa.table({"class": cls[used], "root": root[used], "rep": low[own[used]]})
+
+
+def runs(key: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal keys."""
+    edge = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+    return [(s, e) for s, e in zip(edge[:-1], edge[1:], strict=True) if e > s]
+
+
+def tile(table, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (a, b of classes) of a tile that join its components: by size, component, bitmap, and exact intersection."""
+    cls, root, block = (table.column(c).to_numpy() for c in ("class", "root", "block"))
+    two = bool(table.column("two")[0].as_py())
+    words = table.column("words").combine_chunks()
+    at, flat = words.offsets.to_numpy().astype(np.int64), words.flatten().to_numpy().view(np.uint64)
+    at = at - at[0]
+    n, own, lists = np.diff(at), np.unique(root, return_inverse=True)[1], Overlaps(flat, at)
+    size = -(-TILE_BITS * int(n.max()) // 64)
+    bits = np.stack([signature(flat[s:e], size).view(np.uint64) for s, e in zip(at[:-1], at[1:], strict=True)])
+    links = []
+    for x in range(len(cls) - 1):
+        y = np.arange(x + 1, len(cls))
+        y = y[(own[y] != own[x]) & ((block[y] != block[x]) | (not two)) & (np.minimum(n[y], n[x]) * den >= num * np.maximum(n[y], n[x]))]
+        if len(y):
+            most = (n[y] + n[x] - np.bitwise_count(bits[y] ^ bits[x]).sum(1).astype(np.int64)) / 2
             y = y[most * den >= num * (n[y] + n[x] - most)]
-            out_a.append(np.minimum(cls[x], cls[y]))
-            out_b.append(np.maximum(cls[x], cls[y]))
-    join = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-    return pd.DataFrame({"a": join(out_a), "b": join(out_b)})
+        if len(y):
+            both = lists.of(x, y)
+            for z in y[both * den >= num * (n[y] + n[x] - both)].tolist():
+                if own[z] != own[x]:
+                    links.append((int(cls[x]), int(cls[z])))
+                    own[own == own[z]] = own[x]
+    return links
 
 
 def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -252,12 +324,14 @@ def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     star = met.where("class <> rep").select(F.col("rep").alias("a"), F.col("class").alias("b")).distinct()
     links = verified(star, classes, docs, width, num, den)
     roots = stored(components(links), "roots")
-    for step in (more_stars, partial(crossing, classes=classes, num=num, den=den)):
-        more = stored(step(met.select("key", "class"), roots), "more")
-        if not more.isEmpty():
-            links = links.unionByName(verified(more, classes, docs, width, num, den))
-            roots = stored(components(links), "roots")
-        dropped(more)
+    more = stored(more_stars(met.select("key", "class"), roots), "more")
+    if not more.isEmpty():
+        links = links.unionByName(verified(more, classes, docs, width, num, den))
+        roots = stored(components(links), "roots")
+    found = crossing(met.select("key", "class"), roots, classes, docs, width, num, den)
+    if not found.isEmpty():
+        roots = stored(components(links.unionByName(found)), "roots")
+    dropped(more)
     dropped(met)
     placed = classes.join(roots, classes["class"] == roots["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "first", "n_docs")
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_classes"), F.sum("n_docs").alias("n_docs"))

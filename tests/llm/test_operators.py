@@ -6,7 +6,7 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,17 +194,70 @@ def test_ngram_keys_never_miss():
                 assert len(np.intersect1d(ngram_join.keys(x, 85, 100), ngram_join.keys(y, 85, 100)))
 
 
+def test_ngram_tiles():
+    """A tile joins all components that links of its sets join, by at most one link a row."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
+    sets = [np.sort(base[:n]) for n in (600, 640, 682, 683, 700)] + [np.sort(rng.integers(0, 1 << 63, 690, dtype=np.uint64)) for _ in range(3)]
+    order = rng.permutation(len(sets)).tolist()
+    table = pa.table({"key": [7] * 8, "two": [False] * 8, "block": [0] * 8, "class": order, "root": order, "words": pa.array([sets[i].view(np.int64) for i in order], pa.list_(pa.int64()))})
+    found = ngram_join.tile(table, 85, 100)
+    near = {(a, b) for a in range(5) for b in range(5) if len(sets[a]) >= 0.85 * len(sets[b])}
+    assert len(found) == 4 and all((a, b) in near for a, b in found) and {x for p in found for x in p} == set(range(5))
+
+
 def test_ngram_tiles_of_unequal_bitmaps():
-    """Bitmaps of unequal widths in one tile are folded; no pair that links is lost, and far ones go."""
+    """Bitmaps of unequal widths in one tile are folded; every class that may link is named with its group, far ones aren't."""
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
     sets = [np.sort(base[:n]) for n in (600, 640, 682, 683, 700)] + [np.sort(rng.integers(0, 1 << 63, 690, dtype=np.uint64))]
     assert {ngram_join.narrow_width(len(x)) for x in sets} == {16, 32}
-    rows = [(7, 0, 0, 0, i, i, len(x), ngram_join.signature(x, ngram_join.narrow_width(len(x)))) for i, x in enumerate(sets)]
-    rows += [(8, 0, 0, 0, i, i, len(x), ngram_join.signature(x, ngram_join.narrow_width(len(x)))) for i, x in enumerate(sets[3:], 3)]
-    frame = pd.DataFrame(rows, columns=["key", "i", "j", "block", "class", "root", "n_shingles", "signature"])
-    found = {(a, b) for a, b in ngram_join.tiles(frame, 85, 100).itertuples(index=False)}
-    assert found == {(a, b) for a in range(5) for b in range(a + 1, 5) if len(sets[a]) >= 0.85 * len(sets[b])}
+    signatures = pa.array([ngram_join.signature(x, ngram_join.narrow_width(len(x))) for x in sets], pa.list_(pa.int64()))
+    table = pa.table({"key": [7] * 6, "two": [False] * 6, "block": [0] * 6, "class": range(10, 16), "root": range(6), "n_shingles": [len(x) for x in sets], "signature": signatures})
+    assert ngram_join.possible_rows(table, 85, 100).to_pylist() == [{"class": 10 + k, "root": k, "rep": 0} for k in range(5)]
+
+
+def test_ngram_join_unsettled_meetings(spark, monkeypatch):
+    """Near copies that link neither the first nor the sampled ones of their meetings, over several tiles."""
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 6)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for g in range(25):
+        own = list(base)
+        for i in rng.sample(range(60), 9):
+            own[i] = f"g{g}x{i}"
+        rows.append((2 * g, " ".join(own)))
+        own[rng.randrange(60)] = f"near{g}"
+        rows.append((2 * g + 1, " ".join(own)))
+    rows += [(None, rows[7][1] + " more"), (77, "")]
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 1, 4, 5).collect()))
+    assert got == brute_components(rows, 1, 4, 5) and len({r[3] for r in got}) > 10
+
+
+@pytest.mark.parametrize("tile", [8, 8192])
+def test_line_dedup_near_lines(spark, monkeypatch, tile):
+    """Many variants of few lines, most of them near the threshold, against brute force; long lists in tiles."""
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    rng = random.Random(tile)
+    bases = [[f"b{k}w{i}" for i in range(20)] for k in range(3)] + [["a", "b", "c", "d", "e"]]
+    rows = []
+    for d in range(40):
+        lines = []
+        for _ in range(4):
+            own = list(rng.choice(bases))
+            for i in rng.sample(range(len(own)), rng.randrange(len(own) // 4 + 1)):
+                own[i] = f"x{rng.randrange(60)}"
+            lines.append(" ".join(own))
+        rows.append((d, "\n".join(lines)))
+    seen, want = [], {}
+    for i, t in rows:
+        sets = [set(line.split()) for line in t.split("\n")]
+        want[i] = [k for k, s in enumerate(sets) if any(5 * len(s & o) >= 4 * len(s | o) for o in seen + sets[:k])]
+        seen += sets
+    got = {r.doc_id: r.removed for r in line_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
 
 
 def test_line_dedup(spark, docs, rows, empty):
