@@ -8,7 +8,7 @@ from holosna.normal import rx
 from holosna.normal import lexicon as L
 from holosna.normal import words as W
 from holosna.normal.lexicon import Currency, Unit
-from holosna.normal.rules import CODE, CURRENCY, LETTERS, MULTIPLIER, NO_CYRILLIC, NO_LETTER, Around, Match, Step, any_of, passes, pattern, rule
+from holosna.normal.rules import CODE, CURRENCY, LETTERS, MULTIPLIER, NO_CYRILLIC, NO_LETTER, Around, Match, Step, any_of, has, passes, rule
 
 # --- fixed values: patterns of amounts and tickers; dollars and yen by country; words that tell of money ---------------------
 AMOUNT = r"([+-]?(?:[1-9]\d{0,2}(?:,\d{3})+(?:\.\d{1,4})?|[1-9]\d{0,2}(?:\.\d{3})+(?:,\d{1,4})?|\d+[.,]\d{1,4}|\d+|[.,]\d{1,4})(?!\d|[.,]\d))"
@@ -18,20 +18,18 @@ REGIONAL = {"us$": "USD", "ca$": "CAD", "au$": "AUD", "nz$": "NZD", "hk$": "HKD"
 TELLING = ["грн", "долар", "євро", "фунт", "злот", "франк", "єн", "юан", "крон", "лір", "руп", "рубл", "вон", "реал", "ранд"]
 # --------------------------------------------------------------------------------------------------------------------------------
 
-_ANY_CODE = pattern(CODE, fold=True)
 _SYMBOLS = [c.symbol for c in L.CURRENCIES if c.symbol]
-_KNOWN = pattern(rf"\b(?:{any_of(L.FINANCE_UNIT)})\b", fold=True)
+_CODES = [W.lower(c.code) for c in L.CURRENCIES]
+_TICKERS = {W.lower(code) for code in L.FINANCE_UNIT}
 
 
 def may_have_money(text: str) -> bool:
-    if any(s in text for s in _SYMBOLS) or _ANY_CODE.search(text):
-        return True
     low = W.lower(text)
-    return any(t in low for t in TELLING)
+    return has(text, *_SYMBOLS) or has(low, *TELLING) or has(low, *_CODES)
 
 
 def may_have_tickers(text: str) -> bool:
-    return "₿" in text or _KNOWN.search(text) is not None
+    return "₿" in text or not _TICKERS.isdisjoint(rx.findall("[0-9a-z_]+", W.lower(text)))
 
 
 @rule(rf"(^|[^{LETTERS}])((?:{any_of(L.ACRONYMS)}){NO_CYRILLIC})")

@@ -21,6 +21,7 @@ SIGNS = (
 LINES = "480|576|720|1080|1440|2160|4320"
 # --------------------------------------------------------------------------------------------------------------------------------
 
+_GROUPED = pattern(r"[1-9]\d{0,2}(?:,\d{3}|\.\d{3})+[.,]\d")
 _GROUPED_MONEY = pattern(rf"(?:{money.CURRENCY})\s*[1-9]\d{{0,2}}(?:(?:,\d{{3}})+\.\d{{1,4}}|(?:\.\d{{3}})+,\d{{1,4}})", fold=True)
 
 
@@ -99,7 +100,7 @@ def normalized(text: str, options: Options = Options()) -> str:
 
 def _with_digits(text: str, options: Options) -> str:
     """The passes on texts with figures, each before those that would read its matches otherwise."""
-    if _GROUPED_MONEY.search(text):
+    if _GROUPED.search(text) and _GROUPED_MONEY.search(text):
         text = money.currency(text)
     text = shape.number_groups(text, options.parse_thousand_separators)
     text = letters.cyrillic_tokens(identifiers.identifiers(text))

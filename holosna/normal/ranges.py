@@ -13,7 +13,9 @@ from holosna.normal import temperature
 from holosna.normal import words as W
 from holosna.normal.dates import clock, joined, preceding_word, year
 from holosna.normal.lexicon import Unit
+from holosna.normal.money import may_have_money
 from holosna.normal.rules import BEFORE_RANGE, CURRENCY, LETTERS, MONTH, NO_CYRILLIC, NO_LETTER, RANGE, SIGNED, UNIT, Around, Match, Step, passes, rule
+from holosna.options import Options
 
 # --- fixed values: patterns and words -------------------------------------------------------------------------------------------
 END = r"(?![\d:/+\-−–—])(?![.,]\d)"
@@ -213,6 +215,13 @@ def _percent(m: Match, around: Around, explicit: bool) -> str | None:
     return numbers and f"{m['lead']}{numbers} {W.agree(n, PERCENT) if frame.inside and n is not None else PERCENT.many}"
 
 
+_in_money = passes(*_amounts)
+
+
+def _ranges_of_money(text: str, options: Options) -> str:
+    return _in_money(text, options) if may_have_money(text) else text
+
+
 _percents = [
     *_shapes(_percent, "%", r"(?!\w)", "r"),
     rule(rf"{LEAD}від\s+{LOW}\s*%\s+до\s*{HIGH}\s*%(?!\w)")(_reading(_percent, True)),
@@ -259,5 +268,5 @@ _bares = [
 ]
 
 ranges = passes(
-    *_temperatures, _years_in, _bare_years_in, _decades, _short_years_in, _short_years, _years, _times, _fractions, *_measures, *_amounts, *_percents, _paragraphs, _grades, *_bares
+    *_temperatures, _years_in, _bare_years_in, _decades, _short_years_in, _short_years, _years, _times, _fractions, *_measures, _ranges_of_money, *_percents, _paragraphs, _grades, *_bares
 )
