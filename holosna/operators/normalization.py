@@ -8,12 +8,14 @@ not touched; long texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from importlib import import_module
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 
+from holosna.operators import segmentation
 from holosna.options import Options
 
 SPANS = "array<struct<start:long,stop:long,text:string,reason:string,category:string,severity:string>>"
@@ -50,10 +52,10 @@ def uncertain(text: Column, options: Options | str | None = None) -> Column:
 
     @pandas_udf(SPANS)
     def flag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from holosna.normal.uncertainty import uncertain_spans
+        from holosna.normal.uncertainty import span_rows
 
         for texts in batches:
-            yield _each(texts, lambda t: [s._asdict() for s in uncertain_spans(t, chosen)])
+            yield _each(texts, lambda t: span_rows(t, chosen))
 
     return flag(text)
 
@@ -89,43 +91,47 @@ class UncertainSpans:
 
 def register(spark: SparkSession) -> None:
     """SQL functions of the session: ua_normalize, ua_normalize_preset, ua_uncertain, ua_expand_abbreviations, ua_spell_acronyms,
-    ua_transliterate, ua_number, ua_ordinal, ua_case, ua_sentences, ua_tokens; and the table function ua_uncertain_spans."""
-    from holosna.normal import letters
-    from holosna.normal import words as W
-    from holosna.normal.pipeline import normalized as read
-    from holosna.normal.uncertainty import uncertain_spans
-    from holosna.operators import segmentation
-
-    def of_text(name: str, f: Callable, kind: str = "string") -> None:
+    ua_transliterate, ua_number, ua_ordinal, ua_case, ua_sentences, ua_tokens; and the table function ua_uncertain_spans.
+
+    Workers import what they call, as functions may be sent with all that they name.
+    """
+
+    def of_text(name: str, module: str, function: str, kind: str = "string") -> None:
         def run(texts: pd.Series) -> pd.Series:
-            return _each(texts, f)
+            return _each(texts, getattr(import_module(module), function))
 
+        run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
         spark.udf.register(name, pandas_udf(run, kind))
 
-    of_text("ua_normalize", read)
-    of_text("ua_uncertain", lambda t: [s._asdict() for s in uncertain_spans(t)], SPANS)
-    of_text("ua_expand_abbreviations", letters.abbreviations)
-    of_text("ua_spell_acronyms", letters.acronyms)
-    of_text("ua_transliterate", letters.transliterated)
-    of_text("ua_sentences", segmentation.split_sentences, segmentation.SPANS)
-    of_text("ua_tokens", segmentation.tokenize, segmentation.SPANS)
+    def of_number(name: str, function: str, form: bool) -> None:
+        def said(n, *forms):
+            f = getattr(import_module("holosna.normal.words"), function)
+            return None if pd.isna(n) or n < 0 else f(int(n), *forms)
 
-    @pandas_udf("string")
-    def preset(texts: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([read(t, options_of(n)) if isinstance(t, str) else None for t, n in zip(texts, names, strict=True)], dtype=object)
+        def plain(n: pd.Series) -> pd.Series:
+            return pd.Series([said(x) for x in n], dtype=object)
 
-    @pandas_udf("string")
-    def number(n: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(x) or x < 0 else W.cardinal(int(x)) for x in n], dtype=object)
+        def formed(n: pd.Series, form: pd.Series) -> pd.Series:
+            return pd.Series([said(x, y) for x, y in zip(n, form, strict=True)], dtype=object)
 
-    @pandas_udf("string")
-    def ordinal(n: pd.Series, form: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(x) or x < 0 else W.ordinal(int(x), f) for x, f in zip(n, form, strict=True)], dtype=object)
+        run = formed if form else plain
+        run.__annotations__ = dict.fromkeys(["n", "form", "return"] if form else ["n", "return"], pd.Series)
+        spark.udf.register(name, pandas_udf(run, "string"))
 
-    @pandas_udf("string")
-    def case(n: pd.Series, form: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(x) or x < 0 else W.cased(int(x), f) for x, f in zip(n, form, strict=True)], dtype=object)
+    def preset(texts: pd.Series, names: pd.Series) -> pd.Series:
+        read = import_module("holosna.normal.pipeline").normalized
+        return pd.Series([read(t, options_of(n)) if isinstance(t, str) else None for t, n in zip(texts, names, strict=True)], dtype=object)
 
-    for name, f in (("ua_normalize_preset", preset), ("ua_number", number), ("ua_ordinal", ordinal), ("ua_case", case)):
-        spark.udf.register(name, f)
+    preset.__annotations__ = dict.fromkeys(["texts", "names", "return"], pd.Series)
+    spark.udf.register("ua_normalize_preset", pandas_udf(preset, "string"))
+    of_text("ua_normalize", "holosna.normal.pipeline", "normalized")
+    of_text("ua_uncertain", "holosna.normal.uncertainty", "span_rows", SPANS)
+    of_text("ua_expand_abbreviations", "holosna.normal.letters", "abbreviations")
+    of_text("ua_spell_acronyms", "holosna.normal.letters", "acronyms")
+    of_text("ua_transliterate", "holosna.normal.letters", "transliterated")
+    of_text("ua_sentences", "holosna.operators.segmentation", "split_sentences", segmentation.SPANS)
+    of_text("ua_tokens", "holosna.operators.segmentation", "tokenize", segmentation.SPANS)
+    of_number("ua_number", "cardinal", False)
+    of_number("ua_ordinal", "ordinal", True)
+    of_number("ua_case", "cased", True)
     spark.udtf.register("ua_uncertain_spans", UncertainSpans)
