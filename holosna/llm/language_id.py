@@ -42,9 +42,8 @@ def counted(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarra
     tail = np.cumsum(length)
     keep[tail - 1] = False
     keep[np.maximum(tail - 2, 0)] &= length == 1  # a trigram ends in its own text
-    table = np.bincount((doc[keep] << bits) + bucket[keep], minlength=len(texts) << bits)
-    at = np.flatnonzero(table)
-    return at >> bits, at & ((1 << bits) - 1), table[at].astype(np.float32)
+    at, n = np.unique((doc[keep] << bits) + bucket[keep], return_counts=True)
+    return at >> bits, at & ((1 << bits) - 1), n.astype(np.float32)
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, bits: int = BITS) -> Model:
@@ -112,7 +111,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (the language's proportion in the full mixture), langs (the chosen set, most present first).
 
     Null texts, and texts without a letter, are ``und`` with score 0; with no language learnt, all are. Repeated rows
-    are predicted each. Empty docs: no rows.
+    are predicted each; a null id stays null; ties go to the language that sorts first. Texts are read whole, however
+    long. Other columns are not read. Empty docs: no rows.
     """
 
     def look(texts: list[bytes], more: dict) -> dict:
