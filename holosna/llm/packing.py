@@ -3,7 +3,8 @@
 Each task tokenises its documents and packs their pieces as they come. A fixed number of bins is open; a bitset has
 the bit of every free space that some open bin has, so the tightest bin is the lowest bit from the piece's length on.
 If none fits and all bins are open, the fullest closes. The bins open at a task's end are at most ``open_bins`` a
-task: their pieces are packed once more by the same rule, bin after bin, in groups of tasks, so that many tasks leave few half-empty sequences.
+task: their pieces are packed once more by the same rule, bin after bin, in groups of tasks of bounded pieces, so that
+many tasks leave few half-empty sequences.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holosna.llm.common import stored, utf8
+from holosna.llm.common import bounded, stored, utf8
 
-CAPACITY, OPEN_BINS, END_ID, GROUP_TASKS = 2048, 512, 0, 64
+CAPACITY, OPEN_BINS, END_ID = 2048, 512, 0
+#: Pieces that a group of tasks' open bins has at most, but for a single task with more (at most OPEN_BINS * CAPACITY).
+GROUP_PIECES = 200_000
 #: Characters for which the fast tokenizer is known to split text as the reference one does; texts with others take the latter.
 PLAIN = r"[^\x00-\x7e\xa0-ſ‐-›€]"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, bin long, offset long, fill int, left boolean"
@@ -142,12 +145,20 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, capacit
         if ready:
             yield table(ready)
 
-    pieces = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("t")).mapInArrow(run, PIECES), "pieces")
+    pieces = stored(bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("t"))).mapInArrow(run, PIECES), "pieces")
     return _again(pieces, capacity, open_bins)
 
 
 def _again(pieces: DataFrame, capacity: int, open_bins: int) -> DataFrame:
     """Packs the pieces of the bins left open at the ends of tasks once more by the same rule, in their order in the bins, in groups of tasks."""
+    # one row per task reaches the driver; a group's number is that of its first task
+    group, size = [], GROUP_PIECES
+    for r in pieces.where("left").groupBy("part").count().orderBy("part").collect():
+        if size + r["count"] > GROUP_PIECES:
+            first, size = r["part"], 0
+        size += r["count"]
+        group.append((r["part"], first))
+    groups = pieces.sparkSession.createDataFrame(group, "part int, first int")
 
     def repack(frame):
         frame = frame.sort_values(["part", "bin", "offset"], ignore_index=True)
@@ -157,10 +168,10 @@ def _again(pieces: DataFrame, capacity: int, open_bins: int) -> DataFrame:
             fill[b] = offset + n
         frame["bin"], frame["offset"] = [b for b, _ in placed], [o for _, o in placed]
         frame["fill"] = [fill[b] for b, _ in placed]
-        frame["part"] = frame["part"] // GROUP_TASKS
-        return frame
+        frame["part"] = frame["first"]
+        return frame.drop(columns="first")
 
-    left = pieces.where("left").groupBy(F.floor(F.col("part") / GROUP_TASKS)).applyInPandas(repack, PIECES)
+    left = pieces.where("left").join(F.broadcast(groups), "part").select(*pieces.columns, "first").groupBy("first").applyInPandas(repack, PIECES)
     number = F.shiftleft(F.col("part").cast("long"), 32) + F.col("bin")
     return (
         pieces.where("NOT left").withColumn("sequence_id", number).unionByName(left.withColumn("sequence_id", -1 - number))
