@@ -83,6 +83,18 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/v{version}")
 
 
+def grow(docs: DataFrame, map_path: str, version: int, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
+    """Stores the next version of the map, edited for n_shards, and gives the documents' places under it as shard() does.
+
+    Rows of slots that don't move keep their shard; the sums are of docs as they are now.
+    """
+    slotted = with_slots(docs, n_slots)
+    sums = slot_sums(slotted)
+    old = {r.vslot: r.shard for r in read_map(docs.sparkSession, map_path, version).select("vslot", "shard").collect()}
+    store_map(docs.sparkSession, map_path, version + 1, grown_map(old, sums, n_shards), sums)
+    return assigned(slotted, read_map(docs.sparkSession, map_path, version + 1))
+
+
 def assigned(slotted: DataFrame, slots: DataFrame) -> DataFrame:
     """Adds shard and the gapless place in it: where the virtual slot begins, plus the row's number inside the slot.
 
