@@ -54,7 +54,7 @@ class Model:
     centre: np.ndarray
     scale: np.ndarray
     means: list[np.ndarray]
-    factors: list[np.ndarray]  # lower Cholesky factors of the shrunk covariances
+    inverses: list[np.ndarray]  # of the lower Cholesky factors of the shrunk covariances
     log_dets: list[float]
     prior: float  # log odds of class 1
 
@@ -71,12 +71,13 @@ def fitted(x: np.ndarray, y: np.ndarray, odds: float, to_pooled: float = TO_POOL
         c = (1 - to_pooled) * c + to_pooled * pooled
         c = (1 - to_identity) * c + to_identity * max(np.trace(c) / len(c), 1e-3) * np.eye(len(c))
         factors.append(np.linalg.cholesky(c))
-    return Model(centre, scale, means, factors, [2 * np.log(np.diag(f)).sum() for f in factors], float(odds))
+    # the factors' inverses are kept, so that no batch solves for them again
+    return Model(centre, scale, means, [np.linalg.solve(f, np.eye(len(f))) for f in factors], [2 * np.log(np.diag(f)).sum() for f in factors], float(odds))
 
 
 def scores(x: np.ndarray, m: Model) -> np.ndarray:
     z = (x - m.centre) / m.scale
-    log_density = [-0.5 * ((np.linalg.solve(f, (z - mu).T) ** 2).sum(0) + d) for f, mu, d in zip(m.factors, m.means, m.log_dets, strict=True)]
+    log_density = [-0.5 * ((((z - mu) @ f.T) ** 2).sum(1) + d) for f, mu, d in zip(m.inverses, m.means, m.log_dets, strict=True)]
     return 1 / (1 + np.exp(-np.clip(log_density[1] - log_density[0] + m.prior, -40, 40)))
 
 
@@ -99,7 +100,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
 
 def predict(docs: DataFrame, model: Model | float, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted of every row; null and empty texts are scored by their zeros. Empty docs: no rows."""
+    """doc_id, score, predicted of every row; null and empty texts are scored by their zeros.
+
+    Repeated rows are scored alike, a null id stays null, texts are read whole, other columns are not read. Empty docs: no rows.
+    """
 
     def look(texts: list[bytes], more: dict) -> dict:
         p = np.full(len(texts), model) if isinstance(model, float) else scores(statistics(texts), model)
