@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holosna.llm.common import by_batch, small, stored, utf8
+from holosna.llm.common import by_batch, dropped, small, stored, utf8
 
 ORDERS, BITS, LEAST_TEXTS, LEAST_RATIO, RIDGE, ROUNDS = (5, 7), 20, 6, 0.7, 1e-4, 200
 #: Learnt from at most about so many clean and toxic labelled documents, dealt by a hash of the id.
@@ -49,7 +49,10 @@ def distinct(doc: np.ndarray, bucket: np.ndarray, bits: int = BITS) -> tuple[np.
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPLE_PER_CLASS) -> Model:
-    """labels: doc_id and label (0 or 1; null: left out). A bounded sample of each class; its features go to the driver."""
+    """labels: doc_id and label (0 or 1; null: left out). A bounded sample of each class; of its features those that count go to the driver.
+
+    Null ids are not learnt from; an id that labels name twice has its greater label; rows that share an id are learnt from each.
+    """
     known = labels.select(F.col("doc_id").alias("__id"), F.col("label").cast("int").alias("label")).where("label IN (0, 1) AND __id IS NOT NULL").groupBy("__id").agg(F.max("label").alias("label"))
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
@@ -63,42 +66,67 @@ def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = SAMPL
         cut = np.searchsorted(doc, np.arange(len(texts) + 1))
         return {"doc_id": more["doc_id"], "label": more["label"], "x": [bucket[a:b].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]}
 
-    got = sorted(by_batch(rows, features, "doc_id long, label int, x binary").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
-    y = np.array([r[1] for r in got], np.float64)
-    if not 0 < y.sum() < len(y):
+    sample = stored(by_batch(rows, features, "doc_id long, label int, x binary"), "features")
+    one, seen, texts = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), [0, 0]
+    # one row of counts a task reaches the driver, and one at a time
+    for r in sample.mapInArrow(tallied, "bucket binary, seen binary, one binary, n long, n_one long").toLocalIterator():
+        at = np.frombuffer(bytes(r.bucket), "<u4")
+        seen[at] += np.frombuffer(bytes(r.seen), "<u4")
+        one[at] += np.frombuffer(bytes(r.one), "<u4")
+        texts = [texts[0] + r.n - r.n_one, texts[1] + r.n_one]
+    if not all(texts):
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
-    return fitted([np.frombuffer(bytes(r[2]), "<u4") for r in got], y, sizes[1] / (sizes[0] + sizes[1]))
-
-
-def fitted(rows: list[np.ndarray], y: np.ndarray, prior: float) -> Model:
-    """Logistic regression on features scaled by their log-count ratios; the sample's balance is set right to the prior."""
-    n = 1 << BITS
-    one, seen = np.zeros(n, np.int32), np.zeros(n, np.int32)
-    for r, label in zip(rows, y, strict=True):  # a row's buckets are distinct
-        seen[r] += 1
-        if label == 1:
-            one[r] += 1
-    ratio = np.log((one + 1) / (y.sum() + 2)) - np.log((seen - one + 1) / (len(y) - y.sum() + 2))
+    ratio = np.log((one + 1) / (texts[1] + 2)) - np.log((seen - one + 1) / (texts[0] + 2))
     use = (seen >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO)
-    number = (np.cumsum(use) - 1).astype(np.int32)
-    kept = [number[r[use[r]]] for r in rows]  # only the features that count are put together
-    row, col = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in kept]), np.concatenate(kept)
-    r = ratio[use]
-    value = r[col]
-    w, b = np.zeros(len(r)), 0.0
-    g2, gb2 = np.full(len(r), 1e-8), 1e-8
+    number = np.where(use, np.cumsum(use) - 1, -1).astype(np.int32)
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x = [number[np.frombuffer(r, "<u4")] for r in batch.column("x").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r[r >= 0].tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
+
+    got = sorted(sample.mapInArrow(kept, "doc_id long, label int, x binary").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
+    out = np.zeros(1 << BITS, np.float32)
+    out[use], bias = fitted([np.frombuffer(bytes(r[2]), "<i4") for r in got], np.array([r[1] for r in got], np.float64), ratio[use])
+    dropped(sample, picked)
+    prior = sizes[1] / (sizes[0] + sizes[1])
+    return Model(out, float(bias + 0.5 * np.log(prior / (1 - prior))))
+
+
+def tallied(batches):
+    """In how many texts, and toxic ones, each feature is: one row a task."""
+    import pyarrow as pa
+
+    seen, one, n, n_one = np.zeros(1 << BITS, np.uint32), np.zeros(1 << BITS, np.uint32), 0, 0
+    for batch in batches:
+        for x, label in zip(batch.column("x").to_pylist(), batch.column("label").to_pylist(), strict=True):
+            at = np.frombuffer(x, "<u4")  # a row's buckets are distinct
+            seen[at] += 1
+            one[at] += label
+            n, n_one = n + 1, n_one + label
+    if n:
+        at = np.flatnonzero(seen).astype("<u4")
+        yield pa.RecordBatch.from_pydict({"bucket": [at.tobytes()], "seen": [seen[at].tobytes()], "one": [one[at].tobytes()], "n": [n], "n_one": [n_one]})
+
+
+def fitted(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression on features (numbers by row) scaled by their log-count ratios: the weight times the ratio of each, and the bias."""
+    row, col = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in rows]), np.concatenate(rows)
+    value = ratio[col]
+    w, b = np.zeros(len(ratio)), 0.0
+    g2, gb2 = np.full(len(ratio), 1e-8), 1e-8
     cost = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
     for _ in range(ROUNDS):  # full-batch AdaGrad: convex, no draw of chance
         z = b + np.bincount(row, w[col] * value, len(y))
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * cost / len(y)
-        g, gb = np.bincount(col, e[row] * value, len(r)) + RIDGE * w, e.sum()
+        g, gb = np.bincount(col, e[row] * value, len(ratio)) + RIDGE * w, e.sum()
         g2 += g * g
         gb2 += gb * gb
         w -= 0.1 * g / np.sqrt(g2)
         b -= 0.1 * gb / np.sqrt(gb2)
-    out = np.zeros(n, np.float32)
-    out[use] = w * r
-    return Model(out, float(b + 0.5 * np.log(prior / (1 - prior))))
+    return w * ratio, b
 
 
 def scores(texts: list[bytes], model: Model) -> np.ndarray:
@@ -109,7 +137,10 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score, predicted of every row; null and empty texts get the score of no features. Empty docs: no rows."""
+    """doc_id, score, predicted of every row; null and empty texts get the score of no features.
+
+    Repeated rows are scored alike, a null id stays null, texts are read whole, other columns are not read. Empty docs: no rows.
+    """
 
     def look(texts: list[bytes], more: dict) -> dict:
         p = scores(texts, model)
