@@ -1,6 +1,6 @@
 """Quality rules: base counts of whole texts, and a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
-Two multinomials over ``buckets`` hashed word n-grams (n 1 or 2; 1 by default) are counted, one over the trusted target, one over the
+Two multinomials over ``buckets`` hashed word n-grams (n from 1 to ``order``, 2 at most) are counted, one over the trusted target, one over the
 raw corpus, each over all their documents. A document's score is the mean over its n-grams of
 log p_target - log p_raw, shrunk for short texts by ``prior`` n-grams of evidence for neither; a document is kept if
 the score reaches ``threshold`` and no base rule fails. No draw of chance is made: equal inputs give equal verdicts.
@@ -18,9 +18,9 @@ from holosna.llm.common import stored
 WINDOW = 8
 MIN_WORDS = 20
 BUCKETS = 1 << 15
-ORDER = 1
+ORDER = 2
 PRIOR = 40
-THRESHOLD = -0.2
+THRESHOLD = -0.1
 SMOOTHING = 4.0
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -85,7 +85,7 @@ def with_counts(docs: DataFrame, weights: list[float] | None = None, prior: floa
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, and llr where weights are given."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    pairs = lambda h: let(joined(h, 1), lambda h2: F.struct(F.size(h).alias("n"), repeated_words(h2).alias("r"), (mean_ratio(h if order == 1 else h2, weights, prior) if weights else F.lit(0.0)).alias("llr")))
+    pairs = lambda h: let(joined(h, 1), lambda h2: F.struct(F.size(h).alias("n"), repeated_words(h2).alias("r"), (mean_ratio(h if order == 1 else F.concat(h, h2), weights, prior) if weights else F.lit(0.0)).alias("llr")))
     # the words are bound once: their code points, hashes, pairs and windows are all made from them
     bound = let(word_array(text), lambda w: F.struct(F.length(F.array_join(w, "")).alias("c"), let(F.transform(w, lambda x: F.xxhash64(x)), pairs).alias("h")))
     long = {"n_words": "__m.h.n", "word_chars": "__m.c", "n_repeat_words": "__m.h.r"}
@@ -109,10 +109,9 @@ def fitted(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, orde
     """
     ids = trusted_ids.select(F.col("doc_id").alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__trusted", F.lit(1))
     marked = docs.select("doc_id", "text").join(_sized(ids), F.col("doc_id") == F.col("__id"), "left")
-    grams = marked.select(F.coalesce("__trusted", F.lit(0)).alias("t"), F.explode(word_array(F.col("text")) if order == 1 else let(word_hashes(F.col("text")), lambda h: joined(h, 1))).alias("g"))
+    grams = marked.select(F.coalesce("__trusted", F.lit(0)).alias("t"), F.explode(word_hashes(F.col("text")) if order == 1 else let(word_hashes(F.col("text")), lambda h: F.concat(h, joined(h, 1)))).alias("g"))
     counts = (
-        grams.withColumn("h", F.xxhash64("g") if order == 1 else F.col("g"))
-        .groupBy(bucket(F.col("h"), buckets.bit_length() - 1).alias("b"))
+        grams.groupBy(bucket(F.col("g"), buckets.bit_length() - 1).alias("b"))
         .agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
         .collect()
     )
@@ -129,7 +128,7 @@ def _sized(ids: DataFrame) -> DataFrame:
     from holosna.llm.common import small
 
     kept = stored(ids, "trusted")
-    return small(kept, kept.count())
+    return small(kept)
 
 
 def judged(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, threshold: float = THRESHOLD, order: int = ORDER) -> DataFrame:
