@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from holosna.llm.common import ALNUM, by_batch, stored, utf8, words
 
 WINDOW = 10
-#: Items that one search holds in memory (their windows are sent to every task).
-BLOCK_ITEMS = 20_000
+#: Items, and bytes of their texts, that one search holds in memory (their windows are sent to every task).
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 1 << 23
+#: Bytes of text of a segment; a longer text is one of its own.
+SEGMENT_BYTES = 1 << 21
 SEGMENT = "doc_ids array<bigint>, n_words array<int>, terms array<bigint>, counts array<int>, postings binary"
 
 
@@ -47,7 +49,7 @@ def phrases(items: list[tuple[object, bytes]], width: int = WINDOW) -> Phrases:
             own = found.setdefault(size, {}).setdefault(tuple(number[i : i + size].tolist()), [])
             if not own or own[-1] != k:
                 own.append(k)
-    return Phrases(terms, {n: np.array(list(x), np.int64).reshape(-1, n) for n, x in found.items()}, {n: list(x.values()) for n, x in found.items()}, [str(i) for i, _ in items])
+    return Phrases(terms, {n: np.array(list(x), np.int64).reshape(-1, n) for n, x in found.items()}, {n: list(x.values()) for n, x in found.items()}, ["" if i is None else str(i) for i, _ in items])
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def index(docs: DataFrame) -> DataFrame:
         }
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text_utf8"))
-    return stored(by_batch(texts, build, SEGMENT).withColumn("segment", F.monotonically_increasing_id()), "postings")
+    return stored(by_batch(texts, build, SEGMENT, per_step=SEGMENT_BYTES).withColumn("segment", F.monotonically_increasing_id()), "postings")
 
 
 class Segment:
@@ -168,25 +170,31 @@ def search(segments: DataFrame, what: Phrases, span: int | None = None) -> DataF
     return segments.mapInArrow(run, kind)
 
 
-def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[list[tuple[object, bytes]]]:
-    """The items in blocks of bounded rows, dealt by hash; one block is on the driver at a time. Null texts have no words."""
-    n = max(1, -(-benchmark.count() // block_items))
+def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, bytes]]]:
+    """The items in blocks of bounded rows and bytes (a longer item is a block's, whole), dealt by hash; one block is on the driver at a time. Null texts have no words."""
+    rows, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(utf8(F.col("text")))), F.lit(0))).first()
+    n = max(1, -(-rows // block_items), -(-size // block_bytes))
     dealt = benchmark.select("item_id", utf8(F.col("text")).alias("t"), F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("b"))
     return ([(r[0], bytes(r[1])) for r in dealt.where(F.col("b") == k).select("item_id", "t").collect()] for k in range(n))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, span: int | None = None, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, span: int | None = None, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """search() over all docs and all items. Repeated documents are searched each; repeated items count once by id.
 
-    With several blocks of items, each block is searched over the same segments, and what the blocks found is put
-    together per document. Empty benchmark: no hits. Empty docs: no rows. Other columns are ignored.
+    With several blocks of items, each block in turn is searched over the same segments and what it finds is stored;
+    then that is put together per document. A null item_id is named by the empty string. Empty benchmark: no hits.
+    Empty docs: no rows. Other columns are ignored.
     """
-    blocks = [phrases(b, width) for b in item_blocks(benchmark, block_items)]
     segments = index(docs)
-    found = [search(segments, b, span) for b in blocks]
-    if len(found) == 1:
-        return found[0].drop("segment", "place")
-    every = reduce(DataFrame.unionByName, found).groupBy("segment", "place", "doc_id", "n_words").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    blocks = item_blocks(benchmark, block_items, block_bytes)
+    first = search(segments, phrases(next(blocks), width), span)
+    found = []
+    for block in blocks:
+        first = first if found else stored(first, "found")
+        found.append(stored(search(segments, phrases(block, width), span).where("n_hit > 0"), "found"))
+    if not found:
+        return first.drop("segment", "place")
+    every = reduce(DataFrame.unionByName, [first, *found]).groupBy("segment", "place", "doc_id", "n_words").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     hit = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["end"] - 1))))
     return every.select("doc_id", "n_words", F.size(hit).cast("long").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), F.array_sort("spans").alias("spans"))
 
