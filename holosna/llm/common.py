@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -16,7 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; a longer single text is a step of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch, about, where the session bounds batches by rows alone: ten thousand long texts would fill a worker.
+ARROW_BYTES, ARROW_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes up to which a table may be broadcast, and what a row costs besides its values.
 BROADCAST_BYTES, ROW_BYTES = 64 << 20, 32
 #: Words beyond this many bytes are hashed by blake2b: a sum of powers has known collisions of long words only.
@@ -104,6 +108,13 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have a bound in bytes: its own, or else ARROW_BYTES."""
+    if df.sparkSession.conf.get(ARROW_SETTING, None) is None:
+        df.sparkSession.conf.set(ARROW_SETTING, str(ARROW_BYTES))
+    return df
+
+
 Batch = Callable[[list[bytes], dict[str, pa.Array]], dict[str, object]]
 
 
@@ -121,7 +132,7 @@ def by_batch(df: DataFrame, f: Batch, schema: str, text: str = "text_utf8", per_
                 made = f(texts, {n: part.column(n) for n in part.schema.names if n != text})
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := made[n.name], pa.Array) else pa.array(x, n.type) for n in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def steps(batch: pa.RecordBatch, text: str, per_step: int) -> Iterator[pa.RecordBatch]:
@@ -149,7 +160,7 @@ def by_list(rows: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) ->
         if held is not None and held.num_rows:
             yield from f(held).to_batches()
 
-    return rows.mapInArrow(run, schema)
+    return bounded(rows).mapInArrow(run, schema)
 
 
 # ---- words and hashes -------------------------------------------------------------------------------------------
@@ -161,7 +172,6 @@ ALNUM = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -172,15 +182,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, mod 2**64."""
-    if len(_powers.get("up", ())) < n:
+    """Powers of an odd number and of its inverse, mod 2**64.
+
+    They are kept in a module of the process, not in a global: functions may be sent to workers with the globals they name.
+    """
+    kept = sys.modules.setdefault("holosna_worker", types.ModuleType("holosna_worker")).__dict__.setdefault("powers", {})
+    if len(kept.get("up", ())) < n:
         size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
         inverse = np.uint64(pow(int(_P), -1, 1 << 64))
         for k, v in (("up", _P), ("down", inverse)):
             a = np.full(size, v, np.uint64)
             a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers["up"][:n], _powers["down"][:n]
+            kept[k] = np.multiply.accumulate(a)
+    return kept["up"][:n], kept["down"][:n]
 
 
 def words(texts: list[bytes], table: np.ndarray, breaks: bytes = b"\n") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

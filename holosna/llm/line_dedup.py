@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holosna.llm.common import SPACED, Overlaps, by_batch, by_list, dropped, mix, small, steps, stored, utf8, words
+from holosna.llm.common import CHUNK_BYTES, SPACED, Overlaps, bounded, by_batch, by_list, dropped, mix, small, steps, stored, utf8, words
 
 HEAD = 1 << 20
 #: Distinct words that a task holds before it passes their counts on.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Postings of a word that are compared at a time; longer lists are cut into blocks, which meet two by two.
 TILE = 8192
 #: Postings of a bucket, about: a task holds one at a time, and the few of a batch.
@@ -69,7 +69,7 @@ def frequent_words(docs: DataFrame, head: int = HEAD) -> tuple[np.ndarray, np.nd
     def tally(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for part in steps(batch, "t", 1 << 21):
+            for part in steps(batch, "t", CHUNK_BYTES):
                 _, _, word, _ = words([x or b"" for x in part.column("t").to_pylist()], SPACED)
                 held.append(np.unique(word, return_counts=True))
                 if sum(len(w) for w, _ in held) > HELD:
@@ -93,7 +93,7 @@ def frequent_words(docs: DataFrame, head: int = HEAD) -> tuple[np.ndarray, np.nd
             yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n)], names=["step", "n"])
 
     schema = "key long, words binary, n binary"
-    dealt = docs.select(utf8(F.col("text")).alias("t")).mapInArrow(tally, schema).repartition("key").sortWithinPartitions("key")
+    dealt = bounded(docs.select(utf8(F.col("text")).alias("t"))).mapInArrow(tally, schema).repartition("key").sortWithinPartitions("key")
     counts = stored(by_list(dealt, add, schema), "counts")
     sizes = counts.mapInArrow(histogram, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
     least, left = 0, head
