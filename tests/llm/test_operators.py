@@ -217,6 +217,20 @@ def test_ngram_tiles_of_unequal_bitmaps():
     assert ngram_join.possible_rows(table, 85, 100).to_pylist() == [{"class": 10 + k, "root": k, "rep": 0} for k in range(5)]
 
 
+def test_ngram_meetings_over_batches(spark):
+    """A key's classes may lie in several batches; keys of one class meet nothing."""
+    rng = random.Random(3)
+    rows = [(c, sorted(rng.sample(range(30), 4)) + [1000 + c]) for c in range(-40, 40)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    got = sorted(map(tuple, ngram_join.meetings(spark.createDataFrame(rows, "class long, keys array<long>")).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = collections.defaultdict(list)
+    for c, keys in rows:
+        for k in keys:
+            by[k].append(c)
+    assert got == sorted((k, c, min(own)) for k, own in by.items() if len(own) > 1 for c in own)
+
+
 def test_ngram_join_unsettled_meetings(spark, monkeypatch):
     """Near copies that link neither the first nor the sampled ones of their meetings, over several tiles."""
     monkeypatch.setattr(ngram_join, "TILE_ROWS", 8)
