@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from holosna.llm.common import Overlaps, by_batch, by_list, dropped, mix, shingle_sets, small, stored, utf8
 from holosna.llm.components import components
 
-BAND, TILE_ROWS = 1.6, 512
+BAND, TILE_ROWS = 1.6, 4096
 #: Classes of a group that a tile holds with their arrays.
 GROUP_ROWS = 2048
 #: 64-bit words of the bitmaps that tiles of meetings compare, at least (they grow with the set, see narrow_width), of
@@ -171,6 +171,37 @@ def by_class(texts: DataFrame, width: int) -> DataFrame:
     return by_batch(texts.select("class", F.col("t").alias("text_utf8")), look, "class long, t binary").dropDuplicates(["class"])
 
 
+def meetings(classes: DataFrame) -> DataFrame:
+    """key, class and rep (the least class) of the classes of each key that several have.
+
+    One exchange, sorted; a task looks at a row and the ones beside it, so it holds a batch however many classes a key has.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        held, rep, inside = None, None, False  # the last row so far, its rep, and whether the row before is of its key
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, cls = batch.column("key").to_numpy(), batch.column("class").to_numpy()
+            if held is not None:
+                key, cls = np.append(held[0], key), np.append(held[1], cls)
+            new = np.append(held is None or not inside, key[1:] != key[:-1])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            reps = cls[start]
+            if not new[0]:
+                reps[start == 0] = rep
+            shared = ~new | np.append(key[1:] == key[:-1], False)
+            keep = shared[:-1]
+            yield pa.RecordBatch.from_pydict({"key": key[:-1][keep], "class": cls[:-1][keep], "rep": reps[:-1][keep]})
+            held, rep, inside = (key[-1:], cls[-1:]), reps[-1], not new[-1]
+        if held is not None and inside:
+            yield pa.RecordBatch.from_pydict({"key": held[0], "class": held[1], "rep": np.array([rep])})
+
+    meet = classes.select(F.explode("keys").alias("key"), "class")
+    return meet.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "key long, class long, rep long")
+
+
 def placed_in(met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The meetings' classes with their components' roots, and the meetings of three or more that span components."""
     placed = met.join(roots, met["class"] == roots["node"], "left").select("key", "class", F.coalesce("root", "class").alias("root"))
@@ -317,10 +348,7 @@ def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFra
     classes = stored(every.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("narrow").alias("narrow"), F.first("wide").alias("wide"), F.count("*").alias("n_docs")), "classes")
     member = stored(every.select("doc_id", "n_shingles", "class"), "member")
     dropped(every)
-    meet = classes.select(F.explode("keys").alias("key"), "class")
-    # a key of many classes is summed before its shuffle; the join's other side Spark can split
-    groups = meet.groupBy("key").agg(F.min("class").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    met = stored(meet.join(groups.select("key", "rep"), "key"), "met")
+    met = stored(meetings(classes), "met")
     star = met.where("class <> rep").select(F.col("rep").alias("a"), F.col("class").alias("b")).distinct()
     links = verified(star, classes, docs, width, num, den)
     roots = stored(components(links), "roots")
