@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from holosna.llm.common import CHUNK_BYTES, SPACED, Overlaps, bounded, by_batch, by_list, dropped, mix, small, steps, stored, utf8, words
 
-HEAD = 1 << 20
+HEAD = 1 << 19
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 1 << 20
 #: Postings of a word that are compared at a time; longer lists are cut into blocks, which meet two by two.
