@@ -14,7 +14,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; a longer single text is a step of its own.
@@ -98,6 +98,25 @@ def small(df: DataFrame, *arrays: str) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
+def ranked(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """df with at, each row's place (from 0) in its group by order, and n, the rows of its group. Columns of group have no nulls.
+
+    Rows are dealt by ranges of group and order, and sorted there; so a large group takes as many tasks as it needs, and
+    rows equal in all of these are dealt by where they were read. A task's rows of a group begin where those of the tasks
+    before end: a table of one row a task and group.
+    """
+    keys = [*group, *order, F.col("__read")]
+    spread = df.withColumn("__read", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = stored(spread.drop("__read").withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__at", 33).alias("__part")
+    pieces = rows.groupBy(*group, part).agg(F.min("__at").alias("__low"), F.count("*").alias("__n"))
+    own = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("__n").over(own.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = stored(pieces.select(*group, "__part", (before - F.col("__low")).alias("__shift"), F.sum("__n").over(own).alias("n")), "pieces")
+    placed = rows.withColumn("__part", part).join(small(pieces), [*group, "__part"])
+    return placed.withColumn("at", F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 5, is 0. A null id is never held out, nor learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

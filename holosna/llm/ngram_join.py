@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -100,38 +101,57 @@ def class_of(x: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+@dataclass(frozen=True)
+class Bands:
+    """How sets meet, and what is known of a pair before the sets are read: here by equal parts, and by bitmaps that bound the overlap."""
+
+    num: int
+    den: int
+
+    def features(self, own: list[np.ndarray]) -> dict[str, list]:
+        """keys (meetings), narrow and wide (bitmaps as 64-bit words, for tiles of meetings and for pairs) of sets that aren't empty."""
+        return {
+            "keys": [keys(x, self.num, self.den).view(np.int64) for x in own],
+            "narrow": [signature(x, narrow_width(len(x))) for x in own],
+            "wide": [signature(x, WIDE) for x in own],
+        }
+
+    def may_link(self, na, nb, differ):
+        """Whether sets of these sizes whose bitmaps differ in so many bits may link, for columns and arrays alike: 2 * overlap <= na + nb - differ."""
+        most = (na + nb - differ) / 2
+        return most * self.den >= self.num * (na + nb - most)
+
+
+def sets(docs: DataFrame, width: int, scheme: Bands) -> DataFrame:
     """doc_id, row (hash of id and text), n_shingles, class (hash of the set; null if empty), keys and bitmaps of every row."""
 
     def look(texts: list[bytes], more: dict) -> dict:
         own = shingle_sets(texts, width)
+        made = scheme.features([x for x in own if len(x)])
+        made = {k: iter(v) for k, v in made.items()}
         return {
             "doc_id": more["doc_id"],
             "row": more["row"],
             "n_shingles": [len(x) for x in own],
             "class": [class_of(x) if len(x) else None for x in own],
-            "keys": [keys(x, num, den).view(np.int64) if len(x) else [] for x in own],
-            "narrow": [signature(x, narrow_width(len(x))) if len(x) else [] for x in own],
-            "wide": [signature(x, WIDE) if len(x) else [] for x in own],
-        }
+        } | {k: [next(v) if len(x) else [] for x in own] for k, v in made.items()}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), utf8(F.col("text")).alias("text_utf8"))
     return by_batch(texts, look, "doc_id long, row long, n_shingles long, class long, keys array<long>, narrow array<long>, wide array<long>")
 
 
-def possible(num: int, den: int):
-    """Whether the bitmaps let a pair with columns na, nb, sa, sb overlap enough: 2 * overlap <= na + nb - differing bits."""
+def possible(scheme: Bands) -> Column:
+    """Whether sizes and bitmaps let a pair with columns na, nb, sa, sb link."""
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    most = (F.col("na") + F.col("nb") - differ) / 2
-    return (most * den >= num * (F.col("na") + F.col("nb") - most)) & (F.least("na", "nb") * den >= num * F.greatest("na", "nb"))
+    return scheme.may_link(F.col("na"), F.col("nb"), differ) & (F.least("na", "nb") * scheme.den >= scheme.num * F.greatest("na", "nb"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, scheme: Bands) -> DataFrame:
     """The pairs (a, b of classes) whose sets do link: bitmaps first, then the sorted arrays of the texts."""
     short = classes.select("class", "n_shingles", "wide", "row")
     side = lambda x: short.select(F.col("class").alias(x), F.col("n_shingles").alias("n" + x), F.col("wide").alias("s" + x), F.col("row").alias("f" + x))
     # the shuffle moves texts, which are half the size of their arrays, and only those of classes in a possible pair
-    likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(possible(num, den)).select("a", "b", "fa", "fb"), "likely")
+    likely = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(possible(scheme)).select("a", "b", "fa", "fb"), "likely")
     need = stored(likely.select(F.col("a").alias("class"), F.col("fa").alias("id")).unionByName(likely.select(F.col("b").alias("class"), F.col("fb").alias("id"))).distinct(), "need")
     texts = docs.select(row_key().alias("id"), utf8(F.col("text")).alias("t")).join(small(need), "id").select("class", "t")
     texts = stored(by_class(texts, width), "texts")
@@ -145,7 +165,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
         for p, q in zip(first, found, strict=True):
             x, y = own[kinds[p]], own[kinds[q]]
             both_ = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(den * both_ >= num * (len(x) + len(y) - both_))
+            keep.append(scheme.den * both_ >= scheme.num * (len(x) + len(y) - both_))
         return {"a": more["a"].filter(pa_mask(keep)), "b": more["b"].filter(pa_mask(keep))}
 
     out = stored(by_batch(both, look, "a long, b long"), "verified")
@@ -252,7 +272,7 @@ def by_tile(rows: DataFrame, f, schema: str) -> DataFrame:
     return by_list(rows.repartition("key").sortWithinPartitions("key"), look, schema)
 
 
-def crossing(met: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def crossing(met: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, width: int, scheme: Bands) -> DataFrame:
     """Links between classes that meet and lie in different components, enough of them to join all such components."""
     import pyarrow as pa
 
@@ -260,14 +280,14 @@ def crossing(met: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFra
     # meetings of the same members are looked at once
     size = stored(open_.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n"), "open")
     rows = blocked(placed.join(size.select("key"), "key", "left_semi"), size, TILE_ROWS).join(classes.select("class", "n_shingles", F.col("narrow").alias("signature")), "class")
-    near = stored(by_tile(rows, lambda t: possible_rows(t, num, den), "class long, root long, rep long").distinct(), "near")
+    near = stored(by_tile(rows, lambda t: possible_rows(t, scheme), "class long, root long, rep long").distinct(), "near")
     groups = stored(components(near.select(F.col("root").alias("a"), F.col("rep").alias("b"))).toDF("root", "key"), "groups")
     inside = stored(near.select("class", "root").distinct().join(groups, "root"), "inside")
     sizes = stored(inside.groupBy("key").agg(F.count("*").alias("n")), "sizes")
     sets_ = arrays(inside.select("class"), classes, docs, width)
 
     def look(t):
-        links = tile(t, num, den)
+        links = tile(t, scheme.num, scheme.den)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     out = stored(by_tile(blocked(inside, sizes, GROUP_ROWS).join(sets_, "class"), look, "a long, b long"), "crossing")
@@ -275,7 +295,7 @@ def crossing(met: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFra
     return out
 
 
-def possible_rows(table, num: int, den: int):
+def possible_rows(table, scheme: Bands):
     """class, root and rep of the rows of a tile that size and bitmap let link to one of another component; rep is the least root of those held together."""
     import pyarrow as pa
 
@@ -288,15 +308,14 @@ def possible_rows(table, num: int, den: int):
     least = int(np.diff(at).min())
     bits = flat.reshape(-1, least)
     bits = bits if len(bits) == len(cls) else np.bitwise_or.reduceat(bits, at[:-1] // least)
-    own, used = np.unique(root, return_inverse=True)[1], np.zeros(len(cls), bool)
+    own, used, num, den = np.unique(root, return_inverse=True)[1], np.zeros(len(cls), bool), scheme.num, scheme.den
     low = np.unique(root)
     for x in range(len(cls) - 1):
         y = np.arange(x + 1, len(cls))
         y = y[(root[y] != root[x]) & ((block[y] != block[x]) | (not two)) & (np.minimum(n[y], n[x]) * den >= num * np.maximum(n[y], n[x]))]
         if not len(y):
             continue
-        most = (n[y] + n[x] - np.bitwise_count(bits[y] ^ bits[x]).sum(1).astype(np.int64)) / 2
-        y = y[most * den >= num * (n[y] + n[x] - most)]
+        y = y[scheme.may_link(n[y], n[x], np.bitwise_count(bits[y] ^ bits[x]).sum(1).astype(np.int64))]
         if len(y):
             used[x] = used[y] = True
             join = np.unique(np.append(own[y], own[x]))
@@ -338,25 +357,30 @@ def tile(table, num: int, den: int) -> list[tuple[int, int]]:
 
 
 def link(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest doc_id that links of Jaccard >= num / den reach.
+    """doc_id, n_shingles, component_id of every row, by equal parts and bitmaps; see linked."""
+    return linked(docs, width, Bands(num, den))
+
+
+def linked(docs: DataFrame, width: int, scheme: Bands) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the smallest doc_id that links of Jaccard >= num / den (of the scheme) reach.
 
     Texts without words have no shingles and no links. Rows with equal sets link; so do repeated rows. A null doc_id
     links as any other, but never names a component unless all of it are null. Other columns are ignored. Empty docs:
     no rows.
     """
-    every = stored(sets(docs, width, num, den), "sets")
+    every = stored(sets(docs, width, scheme), "sets")
     classes = stored(every.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("narrow").alias("narrow"), F.first("wide").alias("wide"), F.count("*").alias("n_docs")), "classes")
     member = stored(every.select("doc_id", "n_shingles", "class"), "member")
     dropped(every)
     met = stored(meetings(classes), "met")
     star = met.where("class <> rep").select(F.col("rep").alias("a"), F.col("class").alias("b")).distinct()
-    links = verified(star, classes, docs, width, num, den)
+    links = verified(star, classes, docs, width, scheme)
     roots = stored(components(links), "roots")
     more = stored(more_stars(met.select("key", "class"), roots), "more")
     if not more.isEmpty():
-        links = links.unionByName(verified(more, classes, docs, width, num, den))
+        links = links.unionByName(verified(more, classes, docs, width, scheme))
         roots = stored(components(links), "roots")
-    found = crossing(met.select("key", "class"), roots, classes, docs, width, num, den)
+    found = crossing(met.select("key", "class"), roots, classes, docs, width, scheme)
     if not found.isEmpty():
         roots = stored(components(links.unionByName(found)), "roots")
     dropped(more)

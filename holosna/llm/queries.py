@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holosna.llm import chat, decontamination, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity
+from holosna.llm import chat, decontamination, language_id, line_dedup, manifest, ngram_join, odd_sketch, packing, quality_classifier, quality_rules, resampling, sharding, toxicity
 from holosna.llm.common import held_out, table_path
 
 
@@ -72,4 +72,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.predict(docs, quality_classifier.train(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_chat_formatting, op4_language_id, op5_packing, op6_sharding, op7_ngram_join, op8_line_dedup, op9_toxicity, op10_quality_classifier)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
+def op12_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, num=85, den=100)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, columns = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    n_chars = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    tampered = manifest.digest([n_chars if c == "n_chars" else F.col(c) for c in columns])
+    path = F.concat("own_path", "top_path")
+    made = manifest.manifest(docs, columns, "lang", ["doc_id"], F.col("doc_id"), tampered.alias("read"))
+    folded = manifest.folded(manifest.folded(F.col("read"), F.col("own_at"), F.col("own_path")), F.col("top_at"), F.col("top_path"))
+    made = made.select("doc_id", "leaf", "subroot", "root", manifest.proof(path).alias("proof_sha256"), folded.alias("folded_root"))
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_chat_formatting, op4_language_id, op5_packing, op6_sharding, op7_ngram_join, op8_line_dedup, op9_toxicity, op10_quality_classifier, op11_importance_resampling, op12_odd_sketches, op13_merkle_manifest)}
