@@ -5,7 +5,7 @@ bands that they share, and of two sets of similarity j all of 32 bands of 5 diff
 under 1e-8 at 0.85. The samples are also folded into a bitmap: each value, with its number, flips one bit, so a value
 that two sets share flips the same bit in both and leaves no trace in their difference (Mitzenmacher, Pagh and Pham,
 2014). The bits that differ thus count samples that differ, by parity, which tells similarities apart best where they
-are high: ``limit`` is the count that a pair at the threshold passes with a chance of some 1e-9. Pairs under it are
+are high: ``limit`` is the count that a pair at the threshold exceeds with a chance of some 1e-9. Pairs under it are
 compared with their whole sets. What meets in a band is compared, joined and cut into tiles as the n-gram join does it.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from holosna.llm import ngram_join
 from holosna.llm.common import mix
 
-ROWS, SAMPLES, SKETCH_BITS = 5, 160, 256
-#: Standard deviations that a pair at the threshold is given, in samples that differ and in the bits that these flip.
+ROWS, SAMPLES, SKETCH_BITS = 5, 160, 512
+#: Standard deviations that a pair at the threshold is given.
 SLACK = 6.0
 #: Shingles that are hashed at once: samples times so many numbers stay in a core's cache.
 AT_ONCE = 1024
@@ -88,11 +88,15 @@ class OddSketches(ngram_join.Bands):
         return {"keys": list(bands(values, self.rows).view(np.int64)), "narrow": sketch, "wide": sketch}
 
     def limit(self) -> int:
-        """Bits in which sketches of a pair at the threshold differ at most, but for SLACK standard deviations of either kind."""
+        """Bits in which sketches of a pair at the threshold differ at most, but for SLACK standard deviations.
+
+        These are of the samples that differ, of which each flips two bits, and of where the flips fall.
+        """
         apart = 1 - self.num / self.den
-        flips = 2 * (self.samples * apart + SLACK * math.sqrt(self.samples * apart * (1 - apart)))
-        spread = math.sqrt(self.bits / 4 * (1 - math.exp(-4 * flips / self.bits)))
-        return min(self.bits, math.ceil(differing(flips, self.bits) + SLACK / 2 * spread))
+        flips = 2 * self.samples * apart
+        of_samples = 2 * math.sqrt(self.samples * apart * (1 - apart)) * math.exp(-2 * flips / self.bits)
+        of_places = math.sqrt(self.bits / 4 * (1 - math.exp(-4 * flips / self.bits)))
+        return min(self.bits, math.ceil(differing(flips, self.bits) + SLACK * math.hypot(of_samples, of_places)))
 
     def may_link(self, na, nb, differ):
         return differ <= self.limit()

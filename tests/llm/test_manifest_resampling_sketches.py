@@ -177,14 +177,14 @@ def test_sketches_estimate_high_similarities():
             both, apart = round(n * j), n - round(n * j)
             x = rng.integers(0, 1 << 63, both + apart, dtype=np.uint64)
             a, b = np.sort(x[: both + apart // 2]), np.sort(np.concatenate([x[:both], x[both + apart // 2 :]]))
-            s = odd_sketch.sketches(odd_sketch.samples_of([a, b], 160), 256)
+            s = odd_sketch.sketches(odd_sketch.samples_of([a, b], 160), 512).view(np.uint64)
             differ = int(np.bitwise_count(s[0] ^ s[1]).sum())
             errors.append(abs(odd_sketch.estimate(differ) - j))
             over += not scheme.may_link(len(a), len(b), differ)
         assert np.mean(errors) < most and over == 0
     # sets that share little are told apart by the sketch alone
     x = [np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(60)]
-    s = odd_sketch.sketches(odd_sketch.samples_of(x, 160), 256).view(np.uint64)
+    s = odd_sketch.sketches(odd_sketch.samples_of(x, 160), 512).view(np.uint64)
     assert all(not scheme.may_link(300, 300, np.bitwise_count(s[i] ^ s[j]).sum()) for i in range(60) for j in range(i))
 
 
