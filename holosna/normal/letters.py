@@ -32,6 +32,11 @@ _KEYS = list(L.ABBREVIATIONS.items())
 _ABBREVIATION = pattern("|".join(_loose(key) for key, _ in _KEYS))
 
 
+def abbreviation_patterns() -> list[str]:
+    """A pattern for each abbreviation."""
+    return [_loose(key) for key, _ in _KEYS]
+
+
 def abbreviations(text: str) -> str:
     """Abbreviations in full, capital if they were. The point of one that ends the text ends the sentence too."""
 

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holosna.operators.gating import normalized_rows
 from holosna.operators.normalization import exploded_spans, normalized, normalized_once
 from holosna.plans.queries import _case, _counted, _ordinal, _plural, _q, _t, _words
 
 
 def ua_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents under the defaults."""
-    return _t(spark, sf_dir, "documents").select("doc_id", normalized(F.col("text")).alias("spoken"))
+    return normalized_rows(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", "spoken").drop("text")
 
 
 def ua_normalize_tts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole turns of conversations as speech wants them."""
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", normalized(F.col("text"), "tts_friendly").alias("spoken"))
+    return normalized_rows(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", "spoken", "tts_friendly").drop("text")
 
 
 def ua_read_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
