@@ -6,6 +6,7 @@ read digit by digit, however long the numeral is; null, a negative number, and a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -41,23 +42,56 @@ def digit_words(text: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("[0-9]"), F.lit(0)), lambda d: F.get(names, d.cast("int"))), " ")
 
 
-def number_words(n: Column, gender: str = "m") -> Column:
-    """Cardinal words; the last word agrees with the gender m, f or n."""
-    whole = _whole(n)
-    k = F.when(whole <= T.MAX_SPELLED_NUMBER, whole).cast("long")
-    three = _list([T.below_thousand(i) for i in range(1000)])
-    thousands = _list(["" if i == 1 else T.agreed(T.below_thousand(i), "f") for i in range(1000)])
+def _scales(k: Column, form: Callable[[str], str] = str) -> list[Column]:
+    """Words of the thousands and up of a long, each part null where there are none; form changes single words."""
+    each = lambda words: " ".join(map(form, words.split()))
+    three = _list([each(T.below_thousand(i)) + " " for i in range(1000)])
+    # one thousand goes without its number
+    thousands = _list(["" if i == 1 else each(T.agreed(T.below_thousand(i), "f")) + " " for i in range(1000)])
     parts = []
-    for value, (one, few, many) in T.SCALES.items():
+    for value, forms in T.SCALES.items():
         count = _div(k, value) % 1000
-        words = F.get(thousands if value == 1000 else three, count.cast("int"))
-        parts.append(F.when(count > 0, F.trim(F.concat_ws(" ", words, plural_of(count, one, few, many)))))
+        parts.append(F.when(count > 0, F.concat(F.get(thousands if value == 1000 else three, count.cast("int")), plural_of(count, *map(form, forms)))))
+    return parts
+
+
+def _below(k: Column, table: Callable[[int], str]) -> Column:
+    """By a table of the last three digits; null where they are zeros."""
     low = k % 1000
-    parts.append(F.when(low > 0, F.get(three, low.cast("int"))))
-    spelled = F.when(k == 0, F.lit(T.ZERO)).otherwise(F.concat_ws(" ", *parts))
-    digits = n.cast("string")
-    long = F.when(digits.rlike(r"\A[0-9]{21,}\z"), in_gender(digit_words(digits), gender))
-    return F.when(whole > T.MAX_SPELLED_NUMBER, in_gender(digit_words(whole.cast("string")), gender)).when(whole.isNotNull(), in_gender(spelled, gender)).otherwise(long)
+    return F.when(low > 0, F.get(_list([table(i) for i in range(1000)]), low.cast("int")))
+
+
+def _by_path(n: Column, integral: bool, spelled: Callable[[Column], Column], digits: Callable[[Column], Column]) -> Column:
+    """spelled of n as a long, or digits of its numeral if it is over MAX_SPELLED_NUMBER. An integral column needs no casts."""
+    if integral:
+        return F.when(n.between(0, T.MAX_SPELLED_NUMBER), spelled(n.cast("long"))).when(n > T.MAX_SPELLED_NUMBER, digits(n.cast("string")))
+    whole, numeral = _whole(n), n.cast("string")
+    k = F.when(whole <= T.MAX_SPELLED_NUMBER, whole).cast("long")
+    return F.when(k.isNotNull(), spelled(k)).when(whole.isNotNull(), digits(whole.cast("string"))).when(numeral.rlike(r"\A[0-9]{21,}\z"), digits(numeral))
+
+
+def _in_row_gender(gender: str | Column, of: Callable[[str], Column]) -> Column:
+    if isinstance(gender, str):
+        return of(gender)
+    return F.when(gender == "f", of("f")).when(gender == "n", of("n")).otherwise(of("m"))
+
+
+def below_thousand_words(n: Column, gender: str | Column = "m") -> Column:
+    """Cardinal words of a whole number from 0 to 999, by one look into a table."""
+    return _in_row_gender(gender, lambda g: F.get(_list([T.agreed(T.below_thousand(i), g) or T.ZERO for i in range(1000)]), n.cast("int")))
+
+
+def number_words(n: Column, gender: str | Column = "m", integral: bool = False) -> Column:
+    """Cardinal words; the last word agrees with the gender m, f or n, of all rows or (a column) of each.
+
+    integral: n is of a whole-number type, which spares casts and the reading of longer numerals.
+    """
+
+    def spelled(k: Column) -> Column:
+        low = _in_row_gender(gender, lambda g: _below(k, lambda i: T.agreed(T.below_thousand(i), g)))
+        return F.when(k == 0, F.lit(T.ZERO)).otherwise(F.concat_ws(" ", *_scales(k), low))
+
+    return _by_path(n, integral, spelled, lambda numeral: _in_row_gender(gender, lambda g: in_gender(digit_words(numeral), g)))
 
 
 def _div(k: Column, value: int) -> Column:
@@ -72,22 +106,44 @@ def in_gender(words: Column, gender: str) -> Column:
     return F.regexp_replace(words, r"(^| )один\z", "$1одне") if gender == "n" else words
 
 
-def case_words(n: Column, case: str, gender: str = "m") -> Column:
+def case_words(n: Column, case: str, gender: str = "m", integral: bool = False) -> Column:
     """Cardinal words in the case gen, dat, instr or prep; words without case forms stay as they are."""
-    forms = _map({w: f[T.CASES.index(case)] for w, f in T.case_forms().items()})
-    return F.array_join(F.transform(F.split(number_words(n, gender), " "), lambda w: F.coalesce(F.try_element_at(forms, w), w)), " ")
+    forms = {w: f[T.CASES.index(case)] for w, f in T.case_forms().items()}
+    form = lambda w: forms.get(w, w)
+
+    def spelled(k: Column) -> Column:
+        low = _below(k, lambda i: " ".join(map(form, T.agreed(T.below_thousand(i), gender).split())))
+        return F.when(k == 0, F.lit(form(T.ZERO))).otherwise(F.concat_ws(" ", *_scales(k, form), low))
 
+    table = _map(forms)
+    one_by_one = lambda numeral: F.array_join(F.transform(F.split(in_gender(digit_words(numeral), gender), " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
+    return _by_path(n, integral, spelled, one_by_one)
 
-def ordinal_words(n: Column, form: str = "nom_m") -> Column:
+
+def ordinal_words(n: Column, form: str = "nom_m", integral: bool = False) -> Column:
     """Ordinal words in one of the forms of tables.HARD_ENDINGS, or nom_m."""
-    whole = _whole(n)
-    words = F.split(number_words(n), " ")
-    stems = _map({w: T.inflected(s, form) for w, s in T.ORDINAL_STEMS.items()})
-    last = F.element_at(words, -1)
-    changed = F.coalesce(F.try_element_at(stems, last), F.concat(last, F.lit(T.HARD_ENDINGS.get(form, ""))))
-    usual = F.array_join(F.concat(F.slice(words, 1, F.size(words) - 1), F.array(changed)), " ")
+    stems = {w: T.inflected(s, form) for w, s in T.ORDINAL_STEMS.items()}
+    ending = T.HARD_ENDINGS.get(form, "")
     round_ = _map({str(k * 1000): T.inflected(p + "тисячний", form) for k, p in T.ROUND_THOUSANDS.items()})
-    return F.when(whole.isNotNull(), F.coalesce(F.try_element_at(round_, whole.cast("string")), usual))
+
+    def last_changed(words: Column) -> Column:
+        parts = F.split(words, " ")
+        last = F.element_at(parts, -1)
+        changed = F.coalesce(F.try_element_at(_map(stems), last), F.concat(last, F.lit(ending)))
+        return F.array_join(F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(changed)), " ")
+
+    def below(i: int) -> str:
+        *head, last = T.below_thousand(i).split() or [T.ZERO]
+        return " ".join([*head, stems.get(last, last + ending)])
+
+    def spelled(k: Column) -> Column:
+        rest = F.concat_ws(" ", *_scales(k))
+        whole_thousands = F.coalesce(F.try_element_at(round_, k.cast("string")), last_changed(rest))
+        return F.when(k == 0, F.lit(stems[T.ZERO])).when(k % 1000 > 0, F.concat_ws(" ", *_scales(k), _below(k, below))).otherwise(whole_thousands)
+
+    digits = lambda numeral: last_changed(digit_words(numeral))
+    # a numeral beyond 20 digits has no ordinal
+    return _by_path(n, integral, spelled, digits) if integral else F.when(_whole(n).isNotNull(), _by_path(n, integral, spelled, digits))
 
 
 def decimal_words(whole: Column, fraction: Column) -> Column:
@@ -110,17 +166,17 @@ def fraction_words(numerator: Column, denominator: Column) -> Column:
     return F.concat_ws(" ", number_words(numerator, "f"), F.when(single, ordinal_words(denominator, "nom_f")).otherwise(ordinal_words(denominator, "pl")))
 
 
-def counted(n: Column, one: str, few: str, many: str, gender: str = "m") -> Column:
+def counted(n: Column, one: str, few: str, many: str, gender: str = "m", integral: bool = False) -> Column:
     """A number with its noun, both agreeing."""
-    return F.concat_ws(" ", number_words(n, gender), plural_of(_whole(n), one, few, many))
+    return F.concat_ws(" ", number_words(n, gender, integral), plural_of(n if integral else _whole(n), one, few, many))
 
 
-def hours_words(hour: Column) -> Column:
-    return counted(hour, "година", "години", "годин", "f")
+def hours_words(hour: Column, integral: bool = False) -> Column:
+    return counted(hour, "година", "години", "годин", "f", integral)
 
 
-def minutes_words(minute: Column) -> Column:
-    return counted(minute, "хвилина", "хвилини", "хвилин", "f")
+def minutes_words(minute: Column, integral: bool = False) -> Column:
+    return counted(minute, "хвилина", "хвилини", "хвилин", "f", integral)
 
 
 def identifier_number(digits: Column) -> Column:

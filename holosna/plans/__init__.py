@@ -1,8 +1,8 @@
 """Registered queries over the library's own operators, and their SQL where SQL can express them."""
 
-from holosna.plans import queries, reading
+from holosna.plans import queries, reading, typed
 
-QUERIES = queries.QUERIES | reading.QUERIES
-ORACLE_SQL = queries.ORACLE_SQL | reading.ORACLE_SQL
+QUERIES = queries.QUERIES | reading.QUERIES | typed.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | reading.ORACLE_SQL | typed.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

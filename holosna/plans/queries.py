@@ -18,22 +18,22 @@ def ua_number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cardinals of order keys and of prices in kopiykas, in three genders."""
     n = F.round(F.col("o_totalprice") * 100).cast("long")
     return _t(spark, sf_dir, "orders").select(
-        "o_orderkey", numbers.number_words(F.col("o_orderkey")).alias("key_words"), numbers.number_words(n, "f").alias("price_words"), numbers.number_words(F.col("o_custkey"), "n").alias("customer_words")
+        "o_orderkey", numbers.number_words(F.col("o_orderkey"), integral=True).alias("key_words"), numbers.number_words(n, "f", integral=True).alias("price_words"), numbers.number_words(F.col("o_custkey"), "n", integral=True).alias("customer_words")
     )
 
 
 def ua_ordinal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
-    return _t(spark, sf_dir, "customer").select("c_custkey", *(numbers.ordinal_words(c, f).alias(f"o_{f}") for f in ("nom_m", "gen_f", "ins_pl", "loc_f")))
+    return _t(spark, sf_dir, "customer").select("c_custkey", *(numbers.ordinal_words(c, f, integral=True).alias(f"o_{f}") for f in ("nom_m", "gen_f", "ins_pl", "loc_f")))
 
 
 def ua_case_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "orders").select("o_orderkey", *(numbers.case_words(F.col("o_orderkey"), c).alias(f"c_{c}") for c in T.CASES))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", *(numbers.case_words(F.col("o_orderkey"), c, integral=True).alias(f"c_{c}") for c in T.CASES))
 
 
 def ua_counted_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("long")
-    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.hours_words(q).alias("hours"), numbers.minutes_words(q).alias("minutes"), numbers.counted(q, "документ", "документи", "документів").alias("papers"))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.hours_words(q, True).alias("hours"), numbers.minutes_words(q, True).alias("minutes"), numbers.counted(q, "документ", "документи", "документів", integral=True).alias("papers"))
 
 
 def ua_decimal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
