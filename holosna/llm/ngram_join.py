@@ -32,8 +32,8 @@ from holosna.llm.common import Overlaps, by_batch, by_list, dropped, mix, shingl
 from holosna.llm.components import components
 
 BAND, TILE_ROWS = 1.6, 4096
-#: Classes of a group that a tile holds with their arrays.
-GROUP_ROWS = 2048
+#: Classes of a group that a tile holds with their arrays, if these have so many shingles each on average; of longer ones fewer.
+GROUP_ROWS, GROUP_SHINGLES = 2048, 512
 #: 64-bit words of the bitmaps that tiles of meetings compare, at least (they grow with the set, see narrow_width), of
 #: those that pairs are held against before their texts are read; bits a shingle, at least, in tiles of groups.
 NARROW, WIDE, TILE_BITS = 16, 96, 8
@@ -280,10 +280,13 @@ def crossing(met: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFra
     # meetings of the same members are looked at once
     size = stored(open_.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n"), "open")
     rows = blocked(placed.join(size.select("key"), "key", "left_semi"), size, TILE_ROWS).join(classes.select("class", "n_shingles", F.col("narrow").alias("signature")), "class")
-    near = stored(by_tile(rows, lambda t: possible_rows(t, scheme), "class long, root long, rep long").distinct(), "near")
+    near = stored(by_tile(rows, lambda t: possible_rows(t, scheme), "class long, root long, rep long, n_shingles long").distinct(), "near")
     groups = stored(components(near.select(F.col("root").alias("a"), F.col("rep").alias("b"))).toDF("root", "key"), "groups")
-    inside = stored(near.select("class", "root").distinct().join(groups, "root"), "inside")
-    sizes = stored(inside.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+    inside = stored(near.select("class", "root", "n_shingles").distinct().join(groups, "root"), "inside")
+    # a tile is bounded by what its arrays hold, so a group of long sets counts as one of more rows
+    weight = F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") / GROUP_SHINGLES))
+    sizes = stored(inside.groupBy("key").agg(weight.alias("n")), "sizes")
+    inside = inside.drop("n_shingles")
     sets_ = arrays(inside.select("class"), classes, docs, width)
 
     def look(t):
@@ -296,7 +299,7 @@ def crossing(met: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFra
 
 
 def possible_rows(table, scheme: Bands):
-    """class, root and rep of the rows of a tile that size and bitmap let link to one of another component; rep is the least root of those held together."""
+    """class, root, rep and n_shingles of the rows of a tile that size and bitmap let link to one of another component; rep is the least root of those held together."""
     import pyarrow as pa
 
     cls, root, n, block = (table.column(c).to_numpy() for c in ("class", "root", "n_shingles", "block"))
@@ -321,7 +324,7 @@ def possible_rows(table, scheme: Bands):
             join = np.unique(np.append(own[y], own[x]))
             if len(join) > 1:
                 own[np.isin(own, join)] = join[0]
-    return pa.table({"class": cls[used], "root": root[used], "rep": low[own[used]]})
+    return pa.table({"class": cls[used], "root": root[used], "rep": low[own[used]], "n_shingles": n[used]})
 
 
 def runs(key: np.ndarray) -> list[tuple[int, int]]:
