@@ -1,6 +1,8 @@
 """Normalisation and uncertainty: expected readings and spans, awkward inputs, columns, SQL functions, streams."""
 
 import json
+import random
+import time
 from pathlib import Path
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from holosna.normal import words as W
 from holosna.normal.pipeline import normalized
-from holosna.normal.uncertainty import uncertain_spans
+from holosna.normal.uncertainty import Inside, uncertain_spans
 from holosna.operators import normalization as N
 from holosna.options import PRESETS, Options
 
@@ -107,3 +109,37 @@ def test_stream_reads_as_batch(spark, tmp_path):
     step = lambda d: d.withColumn("text", N.normalized(F.col("text")))
     started(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state", step, once=True).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, step(df).collect()))
+
+
+@pytest.mark.parametrize("preset", PRESETS)
+def test_any_number_of_kept_spans(preset):
+    speech = Options.preset(preset)
+    n = 50_000
+    got = normalized("<b>слово</b> текст. " * n, speech)
+    assert got == ("<b>слово</b> текст. " * n).strip() and got.count("<b>") == n
+    links = "[ім'я](http://a.b/c(d)) " * 20_000
+    assert normalized(links, speech).count("(http://a.b/c(d))") == 20_000
+
+
+def test_private_use_characters_are_text():
+    for mark in ("\ue000", "\ue001", "\ue000\ue100\ue001", "\uf8ff", "\ue100\ue8ff"):
+        text = f"<b>слово</b> {mark} <i>і {mark}</i>"
+        for preset in PRESETS:
+            assert normalized(text, Options.preset(preset)) == text
+
+
+def test_containment_is_as_by_all_pairs():
+    rng = random.Random(2)
+    for _ in range(200):
+        spans = [(a, a + rng.randint(0, 9)) for a in (rng.randrange(40) for _ in range(rng.randint(0, 12)))]
+        inside = Inside(spans)
+        for a in range(45):
+            for b in range(a, a + 12):
+                assert inside.has(a, b) == any(x <= a and b <= y for x, y in spans)
+                assert inside.has(a, b, proper=True) == any(x <= a and b <= y and (x, y) != (a, b) for x, y in spans)
+
+
+def test_many_spans_take_linear_time():
+    began = time.process_time()
+    assert len(uncertain_spans("12/05/2024 10.0.0.1 25:61 слово7 " * 8_000)) > 8_000
+    assert time.process_time() - began < 30
