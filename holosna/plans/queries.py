@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from holosna.functions import letters, numbers, structural, validation
 from holosna.functions import tables as T
-from holosna.operators import segmentation
+from holosna.operators import segmentation, token_rows
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,8 +98,8 @@ def ua_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ua_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return segmentation.exploded(docs, segmentation.tokens(F.col("text"))).drop("text")
+    """Tokens of whole turns, by built-in functions."""
+    return token_rows.token_rows(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", "conv_id", "turn")
 
 
 def ua_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,3 +262,42 @@ SELECT c_custkey, CAST('32142829' || lpad(CAST(c_custkey AS VARCHAR), 14, '0') |
   regexp_full_match({_ROMAN3}, 'M{{0,4}}(CM|CD|D?C{{0,3}})(XC|XL|L?X{{0,3}})(IX|IV|V?I{{0,3}})') AS roman,
   list_transform([lpad(CAST(c_custkey AS VARCHAR), 4, '0')], lambda s: {_SAID})[1] AS padded, list_transform([CAST(c_custkey AS VARCHAR)], lambda s: {_SAID})[1] AS plain, 'альфа = ' || c_custkey AS variable
 FROM (SELECT *, {_VIN} AS v FROM customer)"""
+
+
+def _re2(chars: str) -> str:
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):04x}}}" for c in chars)
+
+
+_BLANK, _UK = _re2(segmentation.SPACE), segmentation.UK
+_L = f"A-Za-z{_UK}"
+# an address that a full stop alone follows would need a look ahead; no turn has one
+_ATOM = (
+    f"№-?[{_L}0-9/-]+|https?://(?:[^{_BLANK}<>\"«»“”()\\[\\]{{}}]*[^{_BLANK}<>\"«»“”()\\[\\]{{}}.,;:!?])?|[@#][{_L}0-9_-]+|[{_L}0-9][{_L}0-9_.-]*@[{_L}0-9_-]*\\.(?:[{_L}0-9_.-]*[{_L}0-9_-])?"
+    f"|[{_UK}]+(?:['’ʼ`][{_UK}]+)*|[A-Za-z]+|[0-9]+|[^{_BLANK}]"
+).replace("'", "''")
+_MARKS = lambda c, chars: f"regexp_matches({c}, '^[{_re2(chars)}]')"
+_BESIDE = lambda marks, fits: (
+    f"(x2 IS NOT NULL AND {_MARKS('x1', marks)} AND {fits('k2', 'kind')} OR y IS NOT NULL AND {_MARKS('x', marks)} AND NOT (x2 IS NOT NULL AND x1[1] = x[1]) AND {fits('k1', 'ky')})"
+)
+_ORDERED = "OVER (PARTITION BY conv_id, turn ORDER BY i)"
+ORACLE_SQL["ua_tokens"] = f"""
+WITH p AS (SELECT conv_id, turn, generate_subscripts(a, 1) AS i, unnest(a) AS x FROM (SELECT conv_id, turn, regexp_extract_all(text, '[{_BLANK}]+|{_ATOM}') AS a FROM conversations)),
+o AS (SELECT *, sum(strlen(x)) {_ORDERED} AS stop FROM p),
+k AS (
+  SELECT *, stop - strlen(x) AS start, CASE WHEN length(x) > 1 AND (regexp_matches(x, '^[№@#]') OR contains(x, '@') OR regexp_matches(x, '^https?://')) THEN 'other' WHEN regexp_matches(x, '^[{_UK}]') THEN 'uk'
+    WHEN regexp_matches(x, '^[A-Za-z]') THEN 'lat' WHEN regexp_matches(x, '^[0-9]') THEN 'int' WHEN {_MARKS('x', segmentation.TOKEN_PUNCT)} THEN 'punct' ELSE 'other' END AS kind
+  FROM o WHERE NOT regexp_matches(x, '^[{_BLANK}]')),
+w AS (
+  SELECT *, {', '.join(f'lag({c}, {n}) {_ORDERED} AS {a}{n}' for n in (1, 2, 3) for c, a in (('x', 'x'), ('kind', 'k'), ('start', 'start'), ('stop', 'stop')))}, lead(x) {_ORDERED} AS y, lead(kind) {_ORDERED} AS ky FROM k),
+j AS (
+  SELECT *, stop1 = start AND (
+    {_BESIDE(segmentation.DASHES + "_", lambda a, b: f"{a} <> 'punct' AND {b} <> 'punct'")} OR {_BESIDE(".,/" + chr(92), lambda a, b: f"{a} = 'int' AND {b} = 'int'")}
+    OR k1 = 'punct' AND kind = 'punct' AND (
+      x IN ('(', ')') AND (x1 IN ('=', ':', ';') OR x1 IN ('(', ')') AND stop2 = start1 AND (x2 IN ('=', ':', ';') OR x2 IN ('(', ')') AND stop3 = start2 AND x3 IN ('=', ':', ';')))
+      OR {_MARKS('x1', segmentation.ENDINGS)} AND {_MARKS('x', segmentation.ENDINGS)} OR x1 = x AND x IN ('-', '*'))
+    OR 'other' IN (k1, kind) AND k1 IN ('uk', 'lat', 'other') AND kind IN ('uk', 'lat', 'other')
+    OR k1 = 'int' AND kind IN ('uk', 'lat') AND lower(x) IN ({', '.join(_q(k) for k in sorted(segmentation.KNOWN))}) OR x = '!' AND lower(x1) = 'yahoo') AS fit
+  FROM w),
+t AS (SELECT *, sum(CASE WHEN fit THEN 0 ELSE 1 END) {_ORDERED} AS n FROM j)
+SELECT conv_id, turn, CAST(n - 1 AS INT) AS place, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop, string_agg(x, '' ORDER BY i) AS piece FROM t GROUP BY conv_id, turn, n
+"""
