@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct hashed n-grams of its lower-case bytes, over the whole text. Each is scaled by the
+A text's features are the distinct hashed n-grams of its lower-case characters (code points), over the whole text. Each is scaled by the
 log ratio of its smoothed share in toxic and in clean training texts; a logistic model is fitted on the scaled
 features. Features seen in few training texts, or with a small ratio, have weight 0 and are never looked at again.
 """
@@ -13,12 +13,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holosna.llm.common import by_batch, dropped, small, stored, utf8
+from holosna.llm.common import by_batch, dropped, mix, small, stored, utf8
 
 ORDERS, BITS, LEAST_TEXTS, LEAST_RATIO, RIDGE, ROUNDS = (5, 7), 20, 6, 0.7, 1e-4, 200
 #: Learnt from at most about so many clean and toxic labelled documents, dealt by a hash of the id.
 SAMPLE_PER_CLASS = (3500, 1500)
-LOWER = np.array([b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\v\f\r" else b for b in range(256)], np.uint8)
 
 
 @dataclass
@@ -28,18 +27,20 @@ class Model:
 
 
 def gram_buckets(texts: list[bytes], orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and bucket of every n-gram of every text, which a space is put before and behind."""
-    raw = LOWER[np.frombuffer(b" " + b"  ".join(texts) + b" " * (1 + max(orders)), np.uint8)].astype(np.uint64)
-    length = np.fromiter((len(x) + 2 for x in texts), np.int64, len(texts))
+    """Text number and bucket of every character n-gram of every text (UTF-8), which a space is put before and behind."""
+    low = [f" {t.decode('utf-8', 'replace').lower()} " for t in texts]
+    raw = np.frombuffer(("".join(low) + " " * max(orders)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    raw[(raw >= 9) & (raw <= 13)] = 32
+    length = np.fromiter(map(len, low), np.int64, len(low))
     end, doc = np.cumsum(length), np.repeat(np.arange(len(texts)), length)
     docs, out = [], []
     for k in orders:
-        v = raw[: len(doc)].copy()
-        for j in range(1, k):
-            v |= raw[j : j + len(doc)] << np.uint64(8 * j)
+        v = np.full(len(doc), k, np.uint64)
+        for j in range(k):
+            v = v * np.uint64(0xD6E8FEB86659FD93) + raw[j : j + len(doc)]
         own = np.arange(len(doc)) + k <= end[doc]
         docs.append(doc[own])
-        out.append((((v[own] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64))
+        out.append((mix(v[own]) >> np.uint64(64 - bits)).astype(np.int64))
     return np.concatenate(docs), np.concatenate(out)
 
 
