@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from holosna.functions import letters, structural
 from holosna.functions import tables as T
-from holosna.operators.normalization import normalized, options_of
+from holosna.operators.normalization import exploded_spans, normalized, options_of
+from holosna.operators.relations import exploded_matches, folded
 from holosna.options import Options
 
 #: Signs that no pass reads where no digit, Cyrillic letter or point inside a word stands beside them.
@@ -82,6 +83,31 @@ def plain_reading(text: Column, options: Options | str | None = None) -> Column:
     return structural.output_spacing(letters.trimmed(out))
 
 
+#: What the detectors know besides words, of texts without figures and Cyrillic letters.
+_FLAGGED = rf"\.[^ \n\t,.!?;()\"'«»]|(?<!{_EDGE})[MDCLXVI]{{2,}}(?!{_EDGE})|(?i)(?<!{_EDGE})(?:isbn|issn|vin|swift|bic|www)(?!{_EDGE})|[a-f]{{32}}"
+
+
+def words_only(text: Column) -> Column:
+    """Whether of the detectors only that of foreign words can find something in a text. A null text is such."""
+    return text.isNull() | ~text.rlike(f"[^A-Za-z{''.join(T.DIACRITICS)}{_signs()}]|{_FLAGGED}")
+
+
+def uncertain_rows(df: DataFrame, text: str, *keys: str, options: Options | str | None = None) -> DataFrame:
+    """keys and the uncertain spans of text, a row each: those of texts of Latin words alone by built-in functions, the rest by the kernel.
+
+    Equal to ``exploded_spans`` of the keys. keys tell rows apart; rows that share them must have equal texts.
+    """
+    from holosna.normal.lexicon import LATIN_WORDS
+
+    only, df = words_only(F.col(text)), spread(df.select(*keys, text))
+    words = exploded_matches(df.where(only), text, "[A-Za-z']+", *keys)
+    known = {*LATIN_WORDS, *(() if options is None else options_of(options).vocabulary)}
+    words = words.where(F.col("match").rlike("^[A-Za-z]") & ~F.col("match").rlike("^[A-Z]{2,6}$") & ~folded(F.col("match")).isin(*sorted(known)))
+    said = [F.lit(v).alias(k) for k, v in (("reason", "foreign word (transliteration is approximate)"), ("category", "foreign_word"), ("severity", "info"))]
+    others = exploded_spans(df.where(~only).select(*keys, F.col(text).alias("text")), "text", options)
+    return words.select(*keys, "start", "stop", F.col("match").alias("text"), *said).unionByName(others)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt anew where a scan has fewer splits than the session has cores: the kernel's time a row is far above a shuffle's."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holosna.operators.gating import normalized_rows
+from holosna.operators.gating import normalized_rows, spread, uncertain_rows
 from holosna.operators.normalization import exploded_spans, normalized, normalized_once
 from holosna.plans.queries import _case, _counted, _ordinal, _plural, _q, _t, _words
 
@@ -24,13 +24,13 @@ def ua_read_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates with points, in ISO form, and as a month of a year."""
     at = F.col("o_orderdate")
     text = lambda form: normalized(F.concat(F.lit("Подія "), F.date_format(at, form), F.lit(".")))
-    return _t(spark, sf_dir, "orders").select("o_orderkey", text("dd.MM.yyyy").alias("dotted"), text("yyyy-MM-dd").alias("iso"), text("yyyy-MM").alias("month"))
+    return spread(_t(spark, sf_dir, "orders")).select("o_orderkey", text("dd.MM.yyyy").alias("dotted"), text("yyyy-MM-dd").alias("iso"), text("yyyy-MM").alias("month"))
 
 
 def ua_read_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order prices in hryvnias by word, in dollars by sign, in euros by code."""
     price = F.format_string("%.2f", "o_totalprice")
-    return _t(spark, sf_dir, "orders").select(
+    return spread(_t(spark, sf_dir, "orders")).select(
         "o_orderkey",
         normalized(F.concat(F.lit("Сума "), F.translate(price, ".", ","), F.lit(" грн"))).alias("uah"),
         normalized(F.concat(F.lit("Сума $"), price)).alias("usd"),
@@ -50,7 +50,7 @@ def ua_read_percents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ua_read_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").select("event_id", normalized(F.concat(F.lit("Початок о "), F.date_format("ts", "HH:mm"))).alias("spoken"))
+    return spread(_t(spark, sf_dir, "events")).select("event_id", normalized(F.concat(F.lit("Початок о "), F.date_format("ts", "HH:mm"))).alias("spoken"))
 
 
 def ua_read_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def ua_read_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ua_read_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counted nouns, alone and after a preposition that takes the instrumental."""
     n = (F.col("o_custkey") % 900 + 2).cast("string")
-    return _t(spark, sf_dir, "orders").select(
+    return spread(_t(spark, sf_dir, "orders")).select(
         "o_orderkey", normalized(F.concat(F.lit("Є "), n, F.lit(" книг"))).alias("counted"), normalized(F.concat(F.lit("Разом з "), n, F.lit(" документами"))).alias("governed")
     )
 
@@ -82,7 +82,7 @@ def ua_uncertain_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ua_uncertain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uncertain spans of whole documents."""
-    return exploded_spans(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return uncertain_rows(_t(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (

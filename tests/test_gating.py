@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from holosna.normal.lexicon import ABBREVIATIONS, ACRONYMS, LATIN_WORDS
 from holosna.operators import gating
-from holosna.operators.normalization import normalized
+from holosna.operators.normalization import exploded_spans, normalized
+from holosna.options import Options
 
 DATA = Path(__file__).parent / "data"
 
@@ -65,3 +66,17 @@ def test_odd_tables(spark):
     assert gating.normalized_rows(empty, "text", "spoken").count() == 0
     clash = spark.createDataFrame([("7", 1), ("so", 2), (None, 3)], "text string, spoken long")
     assert {(r.text, r.spoken) for r in gating.normalized_rows(clash, "text", "spoken").collect()} == {("7", "сім"), ("so", "со"), (None, None)}
+
+
+def test_spans_alike(spark):
+    rng = random.Random(3)
+    parts = ["The", "USA", "LINUX", "linux", "don't", "'tis", "Étion", "vin", "VIN", "bic", "www.", "sh", "XIV", "I", "abcdef" * 6, "a.b", ".", ",", "!", "\n", "(so)", "«x»", "7", "слово", "м", "p.m.", "isbn rouge blanc", "x" * 40, "—", "@"]
+    made = [" ".join(rng.choices(parts[:-8] if i % 2 else parts, k=rng.randint(1, 9))) for i in range(2500)]
+    rows = list(enumerate([*made, "", None, "word. " * 20_000]))
+    df = spark.createDataFrame(rows, "i long, text string").repartition(4)
+    got = sorted(map(repr, gating.uncertain_rows(df, "text", "i").collect()))
+    assert got == sorted(map(repr, exploded_spans(df, "text").collect()))
+    assert 400 < df.where(gating.words_only(F.col("text"))).count() < 2200
+    vocabulary = Options(vocabulary={"the": "зе"})
+    got = sorted(map(repr, gating.uncertain_rows(df, "text", "i", options=vocabulary).collect()))
+    assert got == sorted(map(repr, exploded_spans(df, "text", vocabulary).collect()))
