@@ -9,6 +9,8 @@ from holosna.functions.structural import ENGLISH_WORD
 from holosna.normal.lexicon import BRANDS, ENGLISH
 from holosna.operators import relations
 from holosna.plans.queries import _q, _t
+from holosna.sources import lexicons, texts
+from holosna.sources.shared import new_path
 
 TAG, WORD = "<[^>]*>", "[A-Za-z0-9]+"
 
@@ -41,7 +43,15 @@ def ua_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.with_readings(docs, "text", "spoken", vocabulary, ENGLISH_WORD, "doc_id").drop("text")
 
 
-QUERIES = {f.__name__: f for f in (ua_matches, ua_outer_spans, ua_lexicon, ua_vocabulary)}
+def ua_lexicon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of part names, written as lexicon files and read back, with the letters of each by name."""
+    words = _t(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("latin")).groupBy(F.lower("latin").alias("latin")).agg(F.count("*").alias("n"))
+    path = new_path(spark, "lexicon")
+    texts.write(words.select("latin", F.concat(F.lit("слово "), F.col("n").cast("string")).alias("cyrillic")), path, "tsv")
+    return lexicons.vocabulary(spark, f"{path}/*.csv")
+
+
+QUERIES = {f.__name__: f for f in (ua_matches, ua_outer_spans, ua_lexicon, ua_vocabulary, ua_lexicon_files)}
 
 # ---- SQL ---------------------------------------------------------------------------------------------------------
 
@@ -66,6 +76,7 @@ WITH l AS (
   SELECT word, 'слово ' || count(*) AS reading, 0 AS rank FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) GROUP BY word
   UNION ALL SELECT *, 1 FROM (VALUES {_ENTRIES(BRANDS)}) UNION ALL SELECT *, 2 FROM (VALUES {_ENTRIES(ENGLISH)}))
 SELECT word, arg_min(reading, rank) AS reading, CAST(min(rank) AS INT) AS rank FROM l GROUP BY word""",
+    "ua_lexicon_files": "SELECT word, 'слово ' || count(*) AS reading FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) GROUP BY word",
     "ua_vocabulary": rf"""
 WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{_LATIN_WORD}')) AS word FROM benchmark),
 p AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS s FROM (SELECT doc_id, regexp_extract_all(text, '(?s){_LATIN_WORD}|[0-9A-Za-z_]+|.') AS x FROM documents))
