@@ -40,13 +40,13 @@ SYMBOLS = {
 VARIABLES = {"ρh": " ро аш", "з α =": "з альфою, що дорівнює", "З α =": "З альфою, що дорівнює", "α =": "альфа ="}
 # --- fixed values: patterns -------------------------------------------------------------------------------------------
 BEFORE_PUNCTUATION = r"[ \t]+(\.(?=[0-9]|[.,;:!?]|\z)|[,;:!?])"
-SLASHED_UNIT = r"(км|м|см³|см3|кбіт|Кбіт|мбіт|Мбіт|гбіт|Гбіт)[ \t]*/[ \t]*(?:(год|с[²2]?)|c([²2]?))(?![A-Za-z])"
+SLASHED_UNIT = r"(км|м|см³|см3|кбіт|Кбіт|мбіт|Мбіт|гбіт|Гбіт)[ \t]*/[ \t]*(?:(год|с[²2]?)|(c)([²2]?))(?![A-Za-z])"
 SLASHED_LETTERS = r"([A-Za-z])[ \t]*/[ \t]*([A-Za-z])"
 DIMENSION = r"([0-9])[ \t\n\r\x0B\x0C]+[хХ][ \t\n\r\x0B\x0C]+([0-9])"
 BARE_DECIMAL = r"(^|[ \t\n\r\x0B\x0C(\[{=:;])([+\-]?)([.,])([0-9]+)(?![0-9.,])"
-SPACE_GROUPS = r"(?<![0-9A-Za-z_])[0-9]{1,3}(?: [0-9]{3})+(?![0-9A-Za-z_])"
+BETWEEN_SPACE_GROUPS = r"(?<=(?<![0-9A-Za-z_])[0-9]{1,3}) (?=[0-9]{3}(?![0-9A-Za-z_]))"
 COMMA_GROUPS = r"(?<![0-9.,])[0-9]{1,3}(?:,[0-9]{3}){2,}(?![0-9])"
-DOT_GROUPS = r"(?<![0-9.,])[0-9]{1,3}(?:\.[0-9]{3}){2}(?!\.?[0-9])"
+DOT_GROUPS = r"(?<![0-9.,])([0-9]{1,3})\.([0-9]{3})\.([0-9]{3})(?!\.?[0-9])"
 HEADING = r"(?dm)^[ \t\r]*(={2,6})(?!=)[ \t]*([^ \t\n](?:[^\n]*[^ \t\n])?)[ \t]*(?<!=)\1[ \t\r]*$"
 ENGLISH_WORD = r"(?<![0-9A-Za-z_])[A-Za-z](?:[A-Za-z'’-]*[A-Za-z])?(?![0-9A-Za-z_])"
 
@@ -76,7 +76,7 @@ def typography(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?<!\*)\*\*(?!\*)", "")
     text = F.regexp_replace(text, r"(?<!_)__(?!_)", "")
     text = F.regexp_replace(F.translate(text, "’`", "'"), BEFORE_PUNCTUATION, "$1")
-    tight = F.regexp_replace(text, SLASHED_UNIT.replace("c(", "(c)("), "$1/$2$3$4")
+    tight = F.regexp_replace(text, SLASHED_UNIT, "$1/$2$3$4")
     # a Latin c after the slash stands for the Cyrillic letter
     tight = F.regexp_replace(tight, r"((?:км|м|см³|см3|[кКмМгГ]біт)/)c([²2]?)(?![A-Za-z])", "$1с$2")
     return F.regexp_replace(F.regexp_replace(tight, SLASHED_LETTERS, "$1/$2"), DIMENSION, "$1 × $2")
@@ -97,9 +97,12 @@ def homoglyphs(text: Column) -> Column:
 
 def number_groups(text: Column, thousand_separators: bool = True) -> Column:
     """A zero before a bare decimal point; digits that spaces, and if asked two or more commas or two dots, group are joined."""
-    text = replaced(F.regexp_replace(text, BARE_DECIMAL, "$1$20$3$4"), SPACE_GROUPS, lambda x: F.translate(x, " ", ""))
+    # a blank joins digit groups if a whole group stands on either side, whatever stands further off
+    text = F.regexp_replace(F.regexp_replace(text, BARE_DECIMAL, "$1$20$3$4"), BETWEEN_SPACE_GROUPS, "")
     if thousand_separators:
-        text = replaced(replaced(text, COMMA_GROUPS, lambda x: F.translate(x, ",", "")), DOT_GROUPS, lambda x: F.translate(x, ".", ""))
+        joined = replaced(text, COMMA_GROUPS, lambda x: F.translate(x, ",", ""))
+        text = F.when(F.contains(text, F.lit(",")), joined).otherwise(text)
+        text = F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, DOT_GROUPS, "$1$2$3")).otherwise(text)
     return text
 
 

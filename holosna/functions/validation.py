@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,18 @@ def _weighted(values: Column, weights: list[int]) -> Column:
     return F.aggregate(F.zip_with(values, F.array(*map(F.lit, weights)), lambda v, w: v * w), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
 
 
+def _digit(c: Column, at: int | Column) -> Column:
+    """The digit at a place (from 1), an X as ten; text of digits only, else any number."""
+    code = F.ascii(F.substring(c, F.lit(at) if isinstance(at, int) else at, F.lit(1)))
+    return F.when(code == 88, 10).otherwise(code - 48)
+
+
+def _weighted_digits(c: Column, weights: list[int]) -> Column:
+    """A sum written out as terms, which compile; for texts of as many digits as there are weights."""
+    terms = [_digit(c, i) * w for i, w in enumerate(weights, 1)]
+    return reduce(lambda a, b: a + b, terms)
+
+
 def roman_value(text: Column) -> Column:
     """The value of a Roman numeral; other characters count as zero, and a negative sum as none."""
     value = lambda c: F.when(c == "I", 1).when(c == "V", 5).when(c == "X", 10).when(c == "L", 50).when(c == "C", 100).when(c == "D", 500).when(c == "M", 1000).otherwise(0)
@@ -52,14 +66,14 @@ def valid_iso_week(year: Column, week: Column) -> Column:
 
 def valid_isbn(text: Column) -> Column:
     c = compact(text)
-    ten = c.rlike(r"\A[0-9]{9}[0-9X]\z") & (_weighted(_values(c, "0123456789X"), list(range(10, 0, -1))) % 11 == 0)
-    thirteen = c.rlike(r"\A97[89][0-9]{10}\z") & (_weighted(_values(c, "0123456789"), [1, 3] * 6 + [1]) % 10 == 0)
+    ten = c.rlike(r"\A[0-9]{9}[0-9X]\z") & (_weighted_digits(c, list(range(10, 0, -1))) % 11 == 0)
+    thirteen = c.rlike(r"\A97[89][0-9]{10}\z") & (_weighted_digits(c, [1, 3] * 6 + [1]) % 10 == 0)
     return ten | thirteen
 
 
 def valid_issn(text: Column) -> Column:
     c = compact(text)
-    return c.rlike(r"\A[0-9]{7}[0-9X]\z") & (_weighted(_values(c, "0123456789X"), list(range(8, 0, -1))) % 11 == 0)
+    return c.rlike(r"\A[0-9]{7}[0-9X]\z") & (_weighted_digits(c, list(range(8, 0, -1))) % 11 == 0)
 
 
 def valid_iban(text: Column) -> Column:
@@ -74,10 +88,15 @@ def valid_iban(text: Column) -> Column:
 
 def valid_luhn(text: Column) -> Column:
     """Digits, spaces and hyphens only, 12 to 19 digits, and their Luhn sum."""
-    digits = F.reverse(F.regexp_replace(text, "[ -]", ""))
-    doubled = lambda d, i: F.when(i % 2 == 0, d).otherwise(F.when(d > 4, d * 2 - 9).otherwise(d * 2))
-    total = F.aggregate(F.transform(_values(digits, "0123456789"), doubled), F.lit(0), lambda s, x: s + x)
-    return text.rlike(r"\A[0-9 -]*\z") & F.length(digits).between(12, 19) & (total % 10 == 0)
+    digits = F.translate(text, " -", "")
+    size = F.length(digits)
+
+    def from_right(i: int) -> Column:
+        d = _digit(digits, size - i)
+        return F.when(size > i, d if i % 2 == 0 else F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(0)
+
+    total = reduce(lambda a, b: a + b, map(from_right, range(19)))
+    return text.rlike(r"\A[0-9 -]*\z") & size.between(12, 19) & (total % 10 == 0)
 
 
 def valid_vin(text: Column) -> Column:
