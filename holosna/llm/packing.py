@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holosna.llm.common import bounded, stored, utf8
+from holosna.llm.common import bounded, small, stored, utf8
 
 CAPACITY, OPEN_BINS, END_ID = 2048, 512, 0
 #: Pieces that a group of tasks' open bins has at most, but for a single task with more (at most OPEN_BINS * CAPACITY).
@@ -44,6 +44,10 @@ class Bins:
         return bin_
 
     def put(self, length: int) -> tuple[int, int]:
+        if length == self.capacity:  # a full piece needs no open bin, so none closes for it
+            self.made += 1
+            self.done.append(self.made - 1)
+            return self.made - 1, 0
         fits = self.bits >> length
         if fits:
             free = (fits & -fits).bit_length() - 1 + length
@@ -151,7 +155,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, capacit
 
 def _again(pieces: DataFrame, capacity: int, open_bins: int) -> DataFrame:
     """Packs the pieces of the bins left open at the ends of tasks once more by the same rule, in their order in the bins, in groups of tasks."""
-    # one row per task reaches the driver; a group's number is that of its first task
+    # one row per task reaches the driver; a group's number is that of its first task, and the table of groups is broadcast if it is small
     group, size = [], GROUP_PIECES
     for r in pieces.where("left").groupBy("part").count().orderBy("part").collect():
         if size + r["count"] > GROUP_PIECES:
@@ -171,7 +175,7 @@ def _again(pieces: DataFrame, capacity: int, open_bins: int) -> DataFrame:
         frame["part"] = frame["first"]
         return frame.drop(columns="first")
 
-    left = pieces.where("left").join(F.broadcast(groups), "part").select(*pieces.columns, "first").groupBy("first").applyInPandas(repack, PIECES)
+    left = pieces.where("left").join(small(groups), "part").select(*pieces.columns, "first").groupBy("first").applyInPandas(repack, PIECES)
     number = F.shiftleft(F.col("part").cast("long"), 32) + F.col("bin")
     return (
         pieces.where("NOT left").withColumn("sequence_id", number).unionByName(left.withColumn("sequence_id", -1 - number))

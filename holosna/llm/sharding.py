@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
-Records hash by doc_id into ``n_slots`` slots, which never change. Rows and bytes are summed per slot (a few thousand
+Records hash by doc_id and text into ``n_slots`` slots, which never change, so that null or shared ids spread over many. Rows and bytes are summed per slot (a few thousand
 rows at any size of input); the map from slots to shards gives the slots, largest first, to the shard with the fewest
 bytes. Rebalancing edits the map and stores a new version; records are never hashed anew.
 """
@@ -9,21 +9,26 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 N_SLOTS = 8192
 MAP_SCHEMA = "version int, vslot int, shard int, n_rows long, bytes long, first long"
 
 
+def text_crc32(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def slot_of(doc_id: Column, crc32: Column, n_slots: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id, crc32), F.lit(n_slots)).cast("int")
+
+
 def with_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot of every row. Null text: size 16, crc 0. Null ids share one slot."""
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    """doc_id, size, text_crc32, vslot of every row. Null text: size 16, crc 0. Rows that share id and text share a slot."""
+    crc32 = text_crc32(F.col("text"))
     return docs.select(
-        "doc_id",
-        (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_slots)).cast("int").alias("vslot"),
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), crc32.alias("text_crc32"), slot_of(F.col("doc_id"), crc32, n_slots).alias("vslot")
     )
 
 
@@ -123,7 +128,7 @@ def shard(docs: DataFrame, map_path: str, n_shards: int, n_slots: int = N_SLOTS)
 
 def write_shards(docs: DataFrame, slots: DataFrame, path: str, n_slots: int = N_SLOTS) -> None:
     """Writes the documents' files, a folder per shard; each task writes one virtual slot's rows or several's, never a whole shard."""
-    key = F.pmod(F.xxhash64("doc_id"), F.lit(n_slots)).cast("int")
+    key = slot_of(F.col("doc_id"), text_crc32(F.col("text")), n_slots)
     (
         docs.withColumn("__vslot", key)
         .join(F.broadcast(slots.select(F.col("vslot").alias("__vslot"), F.col("shard").alias("__shard"))), "__vslot")
