@@ -21,7 +21,7 @@ from holosna.llm.common import ALNUM, by_batch, stored, utf8, words
 
 WINDOW = 10
 #: Items, and bytes of their texts, that one search holds in memory (their windows are sent to every task).
-BLOCK_ITEMS, BLOCK_BYTES = 20_000, 1 << 23
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 1 << 20
 #: Bytes of text of a segment; a longer text is one of its own.
 SEGMENT_BYTES = 1 << 21
 SEGMENT = "doc_ids array<bigint>, n_words array<int>, terms array<bigint>, counts array<int>, postings binary"

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holosna.llm.common import by_batch, utf8
+from holosna.llm.common import CHUNK_BYTES, by_batch, utf8
 
 BITS, SMOOTHING, ROUNDS, SET_ROUNDS, PENALTY = 13, 0.5, 10, 6, 2.0
 #: Learnt from at most about so many documents of a language, dealt by a hash of the id.
@@ -126,4 +126,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 out["lang_pred"][i], out["score"][i], out["langs"][i] = model.langs[j], float(min(1, max(0, full[i, j]))), [model.langs[x] for x in order]
         return out
 
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text_utf8")), look, "doc_id long, lang_pred string, score double, langs array<string>")
+    # a step's arrays have a row a language, so its bytes of text shrink as there are more
+    step = CHUNK_BYTES * 4 // max(4, len(model.langs))
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text_utf8")), look, "doc_id long, lang_pred string, score double, langs array<string>", per_step=step)
