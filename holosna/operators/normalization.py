@@ -91,7 +91,8 @@ class UncertainSpans:
 
 def register(spark: SparkSession) -> None:
     """SQL functions of the session: ua_normalize, ua_normalize_preset, ua_uncertain, ua_expand_abbreviations, ua_spell_acronyms,
-    ua_transliterate, ua_number, ua_ordinal, ua_case, ua_sentences, ua_tokens; and the table function ua_uncertain_spans.
+    ua_transliterate, ua_number, ua_ordinal, ua_case, ua_digits, ua_sentences, ua_tokens; checks ua_valid_roman, _isbn, _issn, _iban, _luhn,
+    _vin, _uuid of a text, ua_valid_hash of an algorithm and a digest, ua_valid_date of day, month and year; and the table function ua_uncertain_spans.
 
     Workers import what they call, as functions may be sent with all that they name.
     """
@@ -118,6 +119,17 @@ def register(spark: SparkSession) -> None:
         run.__annotations__ = dict.fromkeys(["n", "form", "return"] if form else ["n", "return"], pd.Series)
         spark.udf.register(name, pandas_udf(run, "string"))
 
+    def of_values(name: str, function: str, n: int) -> None:
+        def checked(*values):
+            f = getattr(import_module("holosna.normal.checks"), function)
+            return pd.Series([None if any(pd.isna(v) for v in row) else f(*(v if isinstance(v, str) else int(v) for v in row)) for row in zip(*values, strict=True)], dtype=object)
+
+        two = lambda a, b: checked(a, b)
+        three = lambda a, b, c: checked(a, b, c)
+        run = two if n == 2 else three
+        run.__annotations__ = dict.fromkeys([*"abc"[:n], "return"], pd.Series)
+        spark.udf.register(name, pandas_udf(run, "boolean"))
+
     def preset(texts: pd.Series, names: pd.Series) -> pd.Series:
         read = import_module("holosna.normal.pipeline").normalized
         return pd.Series([read(t, options_of(n)) if isinstance(t, str) else None for t, n in zip(texts, names, strict=True)], dtype=object)
@@ -131,6 +143,11 @@ def register(spark: SparkSession) -> None:
     of_text("ua_transliterate", "holosna.normal.letters", "transliterated")
     of_text("ua_sentences", "holosna.operators.segmentation", "split_sentences", segmentation.SPANS)
     of_text("ua_tokens", "holosna.operators.segmentation", "tokenize", segmentation.SPANS)
+    of_text("ua_digits", "holosna.normal.words", "digit_by_digit")
+    for kind in ("roman", "isbn", "issn", "iban", "luhn", "vin", "uuid"):
+        of_text(f"ua_valid_{kind}", "holosna.normal.checks", f"valid_{kind}", "boolean")
+    of_values("ua_valid_hash", "valid_hash_length", 2)
+    of_values("ua_valid_date", "valid_date", 3)
     of_number("ua_number", "cardinal", False)
     of_number("ua_ordinal", "ordinal", True)
     of_number("ua_case", "cased", True)

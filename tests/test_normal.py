@@ -143,3 +143,11 @@ def test_many_spans_take_linear_time():
     began = time.process_time()
     assert len(uncertain_spans("12/05/2024 10.0.0.1 25:61 слово7 " * 8_000)) > 8_000
     assert time.process_time() - began < 30
+
+
+def test_checks_in_sql(spark):
+    N.register(spark)
+    row = spark.sql("""SELECT ua_digits('a1b20') AS d, ua_valid_roman('XIV') AS a, ua_valid_isbn('978-3-16-148410-0') AS b, ua_valid_issn('2049-3631') AS c, ua_valid_iban('DE89 3704 0044 0532 0130 00') AS e,
+      ua_valid_luhn('4111 1111 1111 1111') AS f, ua_valid_vin('1M8GDM9AXKP042788') AS g, ua_valid_uuid('x') AS h, ua_valid_hash('MD5', 'ab') AS i, ua_valid_date(29, 2, 2000) AS j, ua_valid_date(30, 2, 2000) AS k,
+      ua_valid_isbn(CAST(NULL AS STRING)) AS l, ua_valid_date(NULL, 1, 2) AS m""").first()
+    assert tuple(row) == ("один два нуль", True, True, False, True, True, True, False, False, True, False, None, None)
