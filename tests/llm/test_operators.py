@@ -214,7 +214,7 @@ def test_ngram_tiles_of_unequal_bitmaps():
     assert {ngram_join.narrow_width(len(x)) for x in sets} == {16, 32}
     signatures = pa.array([ngram_join.signature(x, ngram_join.narrow_width(len(x))) for x in sets], pa.list_(pa.int64()))
     table = pa.table({"key": [7] * 6, "two": [False] * 6, "block": [0] * 6, "class": range(10, 16), "root": range(6), "n_shingles": [len(x) for x in sets], "signature": signatures})
-    assert ngram_join.possible_rows(table, 85, 100).to_pylist() == [{"class": 10 + k, "root": k, "rep": 0} for k in range(5)]
+    assert ngram_join.possible_rows(table, ngram_join.Bands(85, 100)).to_pylist() == [{"class": 10 + k, "root": k, "rep": 0, "n_shingles": len(sets[k])} for k in range(5)]
 
 
 def test_ngram_meetings_over_batches(spark):
