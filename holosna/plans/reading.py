@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holosna.functions import tables as T
+from holosna.normal.lexicon import LATIN_WORDS
 from holosna.operators.gating import normalized_rows, spread, uncertain_rows
 from holosna.operators.normalization import exploded_spans, normalized, normalized_once
 from holosna.plans.queries import _case, _counted, _ordinal, _plural, _q, _t, _words
@@ -123,3 +125,14 @@ FROM orders WHERE day(o_orderdate) <= 12
 UNION ALL
 SELECT o_orderkey, 17, 21, strftime(o_orderdate, '%Y'), 'four-digit number (year or cardinal?)', 'bare_number', 'warning' FROM orders""",
 }
+
+# turns hold Latin words, blanks, commas and full stops alone: words of the lexicon, then runs of capitals, then single letters are read
+_KNOWN = f"MAP {{{', '.join(f'{_q(k)}: {_q(v)}' for k, v in LATIN_WORDS.items())}}}"
+_NAMES = f"MAP {{{', '.join(f'{_q(k)}: {_q(v)}' for k, v in T.LATIN_LETTER_NAMES.items())}}}"
+_LETTERS = f"MAP {{{', '.join(f'{_q(k)}: {_q(v)}' for k, v in (T.LATIN | T.DIACRITICS).items())}}}"
+_WORDS = f"""array_to_string(list_transform(regexp_extract_all(text, '(?s)[A-Za-z]+|.'), lambda x: coalesce({_KNOWN}[lower(x)],
+  CASE WHEN regexp_full_match(x, '[A-Z]+') THEN array_to_string(list_transform(string_split(x, ''), lambda c: {_NAMES}[c]), ' ') END, x)), '')"""
+ORACLE_SQL["ua_normalize_tts"] = f"""
+SELECT conv_id, turn, regexp_replace(trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(said, '(?is)sch|{"|".join(k for k in T.LATIN if len(k) == 2)}|.'),
+  lambda x: coalesce({_LETTERS}[CASE WHEN regexp_full_match(x, '[A-Za-z]+') THEN lower(x) ELSE x END], x)), ''), ' +', ' ', 'g'), ' '), '[ \\t]+([,.;:!?])', '\\1', 'g') AS spoken
+FROM (SELECT *, {_WORDS} AS said FROM conversations)"""

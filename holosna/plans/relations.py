@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holosna.functions.structural import ENGLISH_WORD
-from holosna.normal.lexicon import BRANDS, ENGLISH
+from holosna.normal.lexicon import BRANDS, ENGLISH, LATIN_WORDS
 from holosna.operators import relations
+from holosna.operators.gating import uncertain_rows
 from holosna.plans.queries import _q, _t
 from holosna.sources import lexicons, texts
 from holosna.sources.shared import new_path
@@ -51,7 +52,12 @@ def ua_lexicon_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicons.vocabulary(spark, f"{path}/*.csv")
 
 
-QUERIES = {f.__name__: f for f in (ua_matches, ua_outer_spans, ua_lexicon, ua_vocabulary, ua_lexicon_files)}
+def ua_uncertain_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uncertain spans of whole turns: those of Latin words alone by built-in functions, the rest by the kernel."""
+    return uncertain_rows(_t(spark, sf_dir, "conversations"), "text", "conv_id", "turn")
+
+
+QUERIES = {f.__name__: f for f in (ua_uncertain_turns, ua_matches, ua_outer_spans, ua_lexicon, ua_vocabulary, ua_lexicon_files)}
 
 # ---- SQL ---------------------------------------------------------------------------------------------------------
 
@@ -68,6 +74,10 @@ _ENTRIES = lambda table: ", ".join(f"({_q(k)}, {_q(v)})" for k, v in table.items
 _LATIN_WORD = r"\b[A-Za-z](?:[A-Za-z''’-]*[A-Za-z])?\b"
 ORACLE_SQL = {
     "ua_matches": _spans("documents", "doc_id", "text", r"\p{L}+"),
+    # turns hold Latin words, blanks, commas and full stops alone
+    "ua_uncertain_turns": f"""
+SELECT conv_id, turn, start, stop, match AS text, 'foreign word (transliteration is approximate)' AS reason, 'foreign_word' AS category, 'info' AS severity
+FROM ({_spans("conversations", "conv_id, turn", "text", "[A-Za-z]+")}) WHERE NOT regexp_full_match(match, '[A-Z]{{2,6}}') AND lower(match) NOT IN ({", ".join(map(_q, LATIN_WORDS))})""",
     "ua_outer_spans": f"""
 WITH w AS ({_spans("pages", "page_id", "html", WORD)}), t AS ({_spans("pages", "page_id", "html", TAG)})
 SELECT page_id, start, stop, match FROM w WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.page_id = w.page_id AND t.start <= w.start AND w.stop <= t.stop)""",
