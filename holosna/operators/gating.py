@@ -61,7 +61,7 @@ def plain(text: Column, options: Options | str | None = None) -> Column:
     found = [text.rlike(p) for p in triggers(options_of(options))]
     # abbreviations and acronyms are of Cyrillic letters, and Roman digits count beside these: a text without any is done
     *first, last = found
-    held = (text.rlike("[MDCLXVI]") | last) & text.rlike("[А-Яа-яЄєІіЇїҐґ]")
+    held = text.rlike("[А-Яа-яЄєІіЇїҐґ]") & (text.rlike("[MDCLXVI]") | last)
     for f in reversed(first):
         held = f | held
     return text.isNull() | ~held
