@@ -24,6 +24,9 @@ def components(links: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
     now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    n = now.count()
+    if not n:
+        return now.toDF("node", "root")
     for _ in range(MOST_ROUNDS):
         # large star: each larger neighbour of u is linked to the smallest of u and its neighbours
         near = both(now)
@@ -34,7 +37,8 @@ def components(links: DataFrame) -> DataFrame:
         least = smallest(down)
         small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         after = stored(small.where("a <> b").distinct(), "links")
-        done = after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty()
+        before, n = n, after.count()
+        done = n == before and after.join(now, ["a", "b"], "left_anti").isEmpty()
         dropped(now)
         now = after
         if done:

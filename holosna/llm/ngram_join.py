@@ -280,7 +280,8 @@ def crossing(met: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFra
     # meetings of the same members are looked at once
     size = stored(open_.groupBy("n", "members").agg(F.min("key").alias("key")).select("key", "n"), "open")
     rows = blocked(placed.join(size.select("key"), "key", "left_semi"), size, TILE_ROWS).join(classes.select("class", "n_shingles", F.col("narrow").alias("signature")), "class")
-    near = stored(by_tile(rows, lambda t: possible_rows(t, scheme), "class long, root long, rep long, n_shingles long").distinct(), "near")
+    rows = rows.repartition("key").sortWithinPartitions("key")
+    near = stored(by_list(rows, lambda t: possible_rows(t, scheme), "class long, root long, rep long, n_shingles long").distinct(), "near")
     groups = stored(components(near.select(F.col("root").alias("a"), F.col("rep").alias("b"))).toDF("root", "key"), "groups")
     inside = stored(near.select("class", "root", "n_shingles").distinct().join(groups, "root"), "inside")
     # a tile is bounded by what its arrays hold, so a group of long sets counts as one of more rows
@@ -298,33 +299,72 @@ def crossing(met: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFra
     return out
 
 
+def joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Makes one of the sets of a and b, pair by pair; parent names the least of each set, before and after."""
+    while True:
+        a, b = parent[a], parent[b]
+        apart = a != b
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+
+
+def folded(lists, width: np.ndarray, least: int) -> np.ndarray:
+    """Bitmaps (a list array of words) of unequal widths, folded to the least."""
+    at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)
+    out = np.empty((len(width), least), np.uint64)
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        out[rows] = np.bitwise_or.reduce(flat[at[rows][:, None] + np.arange(w)].reshape(len(rows), w // least, least), axis=1)
+    return out
+
+
 def possible_rows(table, scheme: Bands):
-    """class, root, rep and n_shingles of the rows of a tile that size and bitmap let link to one of another component; rep is the least root of those held together."""
+    """class, root, rep and n_shingles of the rows that size and bitmap let link to one of another component of their tile; rep is the least root of those held together.
+
+    The table has whole tiles, rows of a key each. Most have a few rows, so all are looked at together: in order of tile
+    and size, each row is held against the next one, then all against the one after, as long as tile and size allow.
+    """
     import pyarrow as pa
 
-    cls, root, n, block = (table.column(c).to_numpy() for c in ("class", "root", "n_shingles", "block"))
-    two = bool(table.column("two")[0].as_py())
+    key, width = table.column("key").to_numpy(), table.column("signature").combine_chunks().value_lengths().to_numpy()
+    # sizes in a tile differ less than twofold, so the least width of its bitmaps is near to all
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    least = np.repeat(np.minimum.reduceat(width, start), np.diff(np.append(start, len(key))))
+    made = [_possible(table.filter(pa.array(least == w)), int(w), scheme) for w in np.unique(least)]
+    return pa.concat_tables(made)
+
+
+def _possible(table, least: int, scheme: Bands):
+    import pyarrow as pa
+
+    num, den = scheme.num, scheme.den
+    key, n = table.column("key").to_numpy(), table.column("n_shingles").to_numpy()
+    tile_ = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    order = np.lexsort((n, tile_))
     lists = table.column("signature").combine_chunks()
-    at, flat = lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy().view(np.uint64)
-    at = at - at[0]
-    # bitmaps of unequal widths are folded to the least; sizes in a tile differ less than twofold, so it is near
-    least = int(np.diff(at).min())
-    bits = flat.reshape(-1, least)
-    bits = bits if len(bits) == len(cls) else np.bitwise_or.reduceat(bits, at[:-1] // least)
-    own, used, num, den = np.unique(root, return_inverse=True)[1], np.zeros(len(cls), bool), scheme.num, scheme.den
-    low = np.unique(root)
-    for x in range(len(cls) - 1):
-        y = np.arange(x + 1, len(cls))
-        y = y[(root[y] != root[x]) & ((block[y] != block[x]) | (not two)) & (np.minimum(n[y], n[x]) * den >= num * np.maximum(n[y], n[x]))]
-        if not len(y):
-            continue
-        y = y[scheme.may_link(n[y], n[x], np.bitwise_count(bits[y] ^ bits[x]).sum(1).astype(np.int64))]
-        if len(y):
-            used[x] = used[y] = True
-            join = np.unique(np.append(own[y], own[x]))
-            if len(join) > 1:
-                own[np.isin(own, join)] = join[0]
-    return pa.table({"class": cls[used], "root": root[used], "rep": low[own[used]], "n_shingles": n[used]})
+    bits = folded(lists, lists.value_lengths().to_numpy(), least)[order]
+    cls, root, block, two = (table.column(c).to_numpy()[order] for c in ("class", "root", "block", "two"))
+    n, size = n[order], len(order)
+    # components by tile and root, numbered in this order: the least number is the least root
+    by = np.lexsort((root, tile_))
+    new = np.concatenate([[True], (root[by][1:] != root[by][:-1]) | (tile_[by][1:] != tile_[by][:-1])])
+    own, low = np.empty(size, np.int64), root[by][new]
+    own[by] = np.cumsum(new) - 1
+    parent, used = np.arange(len(low)), np.zeros(size, bool)
+    i, d = np.arange(size), 1
+    while len(i := i[i + d < size]):
+        i = i[(tile_[i + d] == tile_[i]) & (n[i] * den >= num * n[i + d])]
+        x = i[(root[i] != root[i + d]) & ((block[i] != block[i + d]) | ~two[i])]
+        x = x[scheme.may_link(n[x + d], n[x], np.bitwise_count(bits[x + d] ^ bits[x]).sum(1).astype(np.int64))]
+        if len(x):
+            used[x] = used[x + d] = True
+            joined(parent, own[x], own[x + d])
+        d += 1
+    return pa.table({"class": cls[used], "root": root[used], "rep": low[parent[own[used]]], "n_shingles": n[used]})
 
 
 def runs(key: np.ndarray) -> list[tuple[int, int]]:

@@ -346,3 +346,16 @@ def test_ngram_join_near_null_ids(spark):
     rows = [(1, " ".join(w)), (None, " ".join(w[:92] + x)), (2, " ".join(w[16:92] + x)), (None, " ".join(v)), (None, " ".join(v[:92] + x)), (3, " ".join(v[::-1]))]
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 3, 4, 5).collect()]
     assert sorted(got, key=repr) == sorted([(1, 98, 1), (None, 98, 1), (2, 82, 1), (None, 98, None), (None, 98, None), (3, 98, 3)], key=repr)
+
+
+def test_ngram_tiles_of_a_task_are_looked_at_together():
+    """Tiles of a table link inside themselves alone, blocks only with the other, and chains of links are one group."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    rows = [(1, False, 0, 10, 5, base[:100]), (1, False, 0, 11, 4, base[:110]), (1, False, 0, 12, 9, base[:121]), (1, False, 0, 13, 2, rng.integers(0, 1 << 63, 100, dtype=np.uint64))]
+    rows += [(2, True, 0, 10, 5, base[:100]), (2, True, 0, 11, 4, base[:110]), (3, True, 0, 10, 5, base[:100]), (3, True, 1, 11, 4, base[:110]), (4, False, 0, 12, 9, base[:121])]
+    key, two, block, cls, root, sets = zip(*rows, strict=True)
+    signatures = pa.array([ngram_join.signature(np.sort(x), ngram_join.narrow_width(len(x))) for x in sets], pa.list_(pa.int64()))
+    table = pa.table({"key": key, "two": two, "block": block, "class": cls, "root": root, "n_shingles": [len(x) for x in sets], "signature": signatures})
+    found = ngram_join.possible_rows(table, ngram_join.Bands(9, 10)).to_pylist()
+    assert [(x["class"], x["root"], x["rep"]) for x in found] == [(10, 5, 4), (11, 4, 4), (12, 9, 4), (10, 5, 4), (11, 4, 4)]
