@@ -60,15 +60,31 @@ def uncertain(text: Column, options: Options | str | None = None) -> Column:
     return flag(text)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df in as many partitions as the session shuffles to, or has cores, however small it is: adaptive plans would join few rows to one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def normalized_by(df: DataFrame, by: Column, texts: dict[str, Column], options: Options | str | None = None) -> DataFrame:
+    """df with the readings of texts that are made of one value: those of each distinct value are read once, however many rows have it.
+
+    texts: by the columns to be made, expressions over a column named value; columns of df of these names are replaced.
+    Costs a shuffle of df's rows, so it is worth it where a value is far cheaper to move than its texts are to read.
+    Null values are values. Rows, repeated ones too, stay as they are.
+    """
+    known = dealt(df.select(by.alias("value")).distinct()).select("value", *(normalized(text, options).alias(f"__{k}") for k, text in texts.items()))
+    known = known.withColumnRenamed("value", "__known")
+    joined = df.withColumn("__value", by).join(known, F.col("__value").eqNullSafe(F.col("__known")), "left")
+    return joined.withColumns({k: F.col(f"__{k}") for k in texts}).drop("__value", "__known", *(f"__{k}" for k in texts))
+
+
 def normalized_once(df: DataFrame, text: str, out: str, options: Options | str | None = None) -> DataFrame:
     """df with column out: every distinct text is normalised once, however many rows have it, and joined back.
 
     Worth its shuffle where texts repeat much over many batches. Rows, repeated ones too, stay as they are.
     """
-    known = df.select(F.col(text).alias("__text")).where("__text IS NOT NULL").distinct()
-    known = known.withColumn("__read", normalized(F.col("__text"), options))
-    joined = df.join(known, F.col(text) == F.col("__text"), "left")
-    return joined.withColumn(out, F.col("__read")).drop("__text", "__read")
+    return normalized_by(df, F.col(text), {out: F.col("value")}, options)
 
 
 def exploded_spans(df: DataFrame, text: str, options: Options | str | None = None) -> DataFrame:

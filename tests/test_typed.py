@@ -72,3 +72,19 @@ def test_digit_groups(spark):
     }
     df = spark.createDataFrame(list(cases.items()), "t string, want string")
     assert [tuple(r) for r in df.select("t", structural.number_groups(F.col("t")).alias("got")).collect()] == list(cases.items())
+
+
+def test_each_value_is_read_once(spark):
+    """Equal to reading every row; of equal values, wherever they lie, one reaches the kernel."""
+    from holosna.operators.normalization import normalized, normalized_by
+
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([5, 7, None, 5, 5, None, 21] * 3)], "k long, n long").repartition(5)
+    text = lambda c: F.concat(F.lit("Є "), F.col(c).cast("string"), F.lit(" книг"))
+    got = normalized_by(rows, F.col("n"), {"said": text("value")})
+    assert got.columns == ["k", "n", "said"]
+    want = rows.withColumn("said", normalized(text("n")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    from holosna.plans.reading import ua_read_money
+
+    plan = ua_read_money(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan[plan.index("ArrowEvalPython") :]
