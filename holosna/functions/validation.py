@@ -30,10 +30,19 @@ def _digit(c: Column, at: int | Column) -> Column:
     return F.when(code == 88, 10).otherwise(code - 48)
 
 
+def _place(n: Column, i: int) -> Column:
+    """The digit of a long that has i digits behind it."""
+    return (F.call_function("div", n, F.lit(10**i)) if i else n) % 10
+
+
 def _weighted_digits(c: Column, weights: list[int]) -> Column:
-    """A sum written out as terms, which compile; for texts of as many digits as there are weights."""
-    terms = [_digit(c, i) * w for i, w in enumerate(weights, 1)]
-    return reduce(lambda a, b: a + b, terms)
+    """A sum of weighted digits, by whole-number division of the text as one number, which compiles; the last may be an X.
+
+    For texts of as many digits as there are weights, 18 at most; null or any number for others.
+    """
+    head, n = F.substring(c, 1, len(weights) - 1).try_cast("long"), len(weights) - 1
+    terms = [_place(head, n - 1 - i) * w for i, w in enumerate(weights[:-1])]
+    return reduce(lambda a, b: a + b, terms) + _digit(c, len(weights)) * weights[-1]
 
 
 def roman_value(text: Column) -> Column:
@@ -89,13 +98,10 @@ def valid_iban(text: Column) -> Column:
 def valid_luhn(text: Column) -> Column:
     """Digits, spaces and hyphens only, 12 to 19 digits, and their Luhn sum."""
     digits = F.translate(text, " -", "")
-    size = F.length(digits)
-
-    def from_right(i: int) -> Column:
-        d = _digit(digits, size - i)
-        return F.when(size > i, d if i % 2 == 0 else F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(0)
-
-    total = reduce(lambda a, b: a + b, map(from_right, range(19)))
+    size, filled = F.length(digits), F.lpad(digits, 20, "0")  # zeros before a number don't change its sum
+    halves = [F.substring(filled, at, 10).try_cast("long") for at in (1, 11)]
+    doubled = lambda d: d * 2 - F.call_function("div", d + 5, F.lit(10)) * 9
+    total = reduce(lambda a, b: a + b, (_place(n, i) if i % 2 == 0 else doubled(_place(n, i)) for n in halves for i in range(10)))
     return text.rlike(r"\A[0-9 -]*\z") & size.between(12, 19) & (total % 10 == 0)
 
 
