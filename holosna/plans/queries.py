@@ -94,7 +94,7 @@ def ua_valid_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ua_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    return segmentation.exploded(docs, segmentation.sentences(F.col("text"))).drop("text")
+    return segmentation.exploded_rows(docs, "text", segmentation.split_sentences)
 
 
 def ua_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,17 @@ def test_numerals_that_do_not_fit(spark):
     said = [r[0] for r in decimals.select(numbers.decimal_words(F.col("w"), F.col("f"))).collect()]
     assert said[:2] == ["нуль кома п'ять", "дві цілих і п'ять десятих"] and said[2].endswith("один кома п'ять") and said[3] is None
     assert said[4] == "один кома один два три чотири п'ять шість сім"
+
+
+def test_sentence_rows_by_steps(spark):
+    """Rows by steps of bounded bytes are those of the column of spans; null and empty texts, nulls and shared keys as well."""
+    from pyspark.sql import functions as F
+
+    from holosna.operators import segmentation
+
+    texts = ["Перше речення. Друге речення!", None, "", "Ціна 5 грн. за кг. Так?", " ", "Одне. " * 50]
+    df = spark.createDataFrame([(i % 4 or None, t) for i, t in enumerate(texts * 3)], "doc_id long, text string")
+    got = segmentation.exploded_rows(df, "text", segmentation.split_sentences)
+    want = segmentation.exploded(df, segmentation.sentences(F.col("text"))).drop("text")
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
