@@ -9,6 +9,7 @@ rows, joined by union: order of rows isn't kept.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from holosna.functions import letters, structural
 from holosna.functions import tables as T
 from holosna.operators.normalization import exploded_spans, normalized, options_of
-from holosna.operators.relations import exploded_matches, folded
+from holosna.operators.segmentation import exploded_rows
 from holosna.options import Options
 
 #: Signs that no pass reads where no digit, Cyrillic letter or point inside a word stands beside them.
@@ -92,17 +93,22 @@ def words_only(text: Column) -> Column:
     return text.isNull() | ~text.rlike(f"[^A-Za-z{''.join(T.DIACRITICS)}{_signs()}]|{_FLAGGED}")
 
 
+def foreign_words(text: str | None, known: frozenset[bytes]) -> list[tuple[int, int, str]]:
+    """Start, stop (UTF-8 bytes) and text of the words of Latin letters that aren't known (in lower case) nor runs of two to six capitals."""
+    found = (m for m in re.finditer(rb"[A-Za-z][A-Za-z']*|'[A-Za-z']*", (text or "").encode()) if m[0][:1] != b"'")
+    return [(m.start(), m.end(), m[0].decode()) for m in found if m[0].lower() not in known and not re.fullmatch(rb"[A-Z]{2,6}", m[0])]
+
+
 def uncertain_rows(df: DataFrame, text: str, *keys: str, options: Options | str | None = None) -> DataFrame:
-    """keys and the uncertain spans of text, a row each: those of texts of Latin words alone by built-in functions, the rest by the kernel.
+    """keys and the uncertain spans of text, a row each: those of texts of Latin words alone by one search for words, the rest by the kernel.
 
-    Equal to ``exploded_spans`` of the keys. keys tell rows apart; rows that share them must have equal texts.
+    Words are found where their text lies, by their bytes, so none are shuffled or sorted for their offsets. Equal to ``exploded_spans`` of the keys. keys tell rows apart; rows that share them must have equal texts.
     """
     from holosna.normal.lexicon import LATIN_WORDS
 
     only, df = words_only(F.col(text)), spread(df.select(*keys, text))
-    words = exploded_matches(df.where(only), text, "[A-Za-z']+", *keys)
-    known = {*LATIN_WORDS, *(() if options is None else options_of(options).vocabulary)}
-    words = words.where(F.col("match").rlike("^[A-Za-z]") & ~F.col("match").rlike("^[A-Z]{2,6}$") & ~folded(F.col("match")).isin(*sorted(known)))
+    known = frozenset(k.encode() for k in {*LATIN_WORDS, *(() if options is None else options_of(options).vocabulary)})
+    words = exploded_rows(df.where(only), text, lambda t: foreign_words(t, known)).withColumnRenamed("piece", "match")
     said = [F.lit(v).alias(k) for k, v in (("reason", "foreign word (transliteration is approximate)"), ("category", "foreign_word"), ("severity", "info"))]
     others = exploded_spans(df.where(~only).select(*keys, F.col(text).alias("text")), "text", options)
     return words.select(*keys, "start", "stop", F.col("match").alias("text"), *said).unionByName(others)

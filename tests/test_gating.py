@@ -80,3 +80,15 @@ def test_spans_alike(spark):
     vocabulary = Options(vocabulary={"the": "зе"})
     got = sorted(map(repr, gating.uncertain_rows(df, "text", "i", options=vocabulary).collect()))
     assert got == sorted(map(repr, exploded_spans(df, "text", vocabulary).collect()))
+
+
+def test_words_of_latin_texts_are_found_without_a_shuffle(spark):
+    """Spans are those of the kernel, by bytes behind letters of two; the plan of plain Latin texts has no window."""
+    from holosna.operators.gating import uncertain_rows
+    from holosna.operators.normalization import exploded_spans
+
+    texts = ["Some 'quoted' words don't stop", "café ñandú the ABC ABCDEFG O'", "''' a'b 'c", None, "", "Слово and word"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    got = uncertain_rows(df, "text", "id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, exploded_spans(df, "text").collect()))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
