@@ -5,12 +5,16 @@ All in DataFrame operations: rows of a text are told by key columns, which may b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from holosna.functions.letters import replaced
-
-#: Rows up to which a vocabulary is broadcast: with a word, a reading and what a row costs, under some 20 MB.
+#: Rows up to which a vocabulary is collected and broadcast: with a word, a reading and what a row costs, under some 20 MB.
 BROADCAST_ROWS = 100_000
 
 
@@ -68,25 +72,72 @@ def folded(word: Column) -> Column:
     return F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+class Readings(dict):
+    """word as written -> its reading, or itself; found by its lower case once, and kept for a bounded number of words."""
+
+    LIMIT = 1 << 16
+
+    def __init__(self, known: dict[str, str]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        low = word.lower() if word.isascii() else word.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        self[word] = found = self.known.get(low, word)
+        return found
+
+
+def _read_by_one(text: Column, pattern: str, shared: Broadcast) -> Column:
+    """text with the words that one vocabulary knows as their readings."""
+
+    @pandas_udf("string")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        word, readings = regex.compile(pattern, regex.ASCII), Readings(shared.value)
+        for texts in batches:
+            yield pd.Series([word.sub(lambda m: readings[m[0]], t) if isinstance(t, str) else None for t in texts], dtype=object)
+
+    return read(text)
+
+
+def _read_by_own(text: Column, pattern: str, words: Column, readings: Column) -> Column:
+    """text with the words that its own arrays know as their readings."""
+
+    @pandas_udf("string")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        word, out = regex.compile(pattern, regex.ASCII), []
+        for columns in batches:
+            out = []
+            for t, a, b in zip(*columns, strict=True):
+                own = None if a is None else Readings(dict(zip(a, b, strict=True)))
+                out.append(t if own is None or t is None else word.sub(lambda m, own=own: own[m[0]], t))
+            yield pd.Series(out, dtype=object)
+
+    return read(text, words, readings)
+
+
 def with_readings(df: DataFrame, text: str, out: str, vocabulary: DataFrame, pattern: str, *keys: str) -> DataFrame:
     """df with column out: text with the words that the vocabulary (word, reading; words in lower case) knows as their readings.
 
-    Words are matches of a Java pattern. Of each text only its distinct words are exploded, and only those that the
-    vocabulary knows come back, as a map by key; the text itself is not shuffled with its words. The vocabulary is
-    broadcast only if it is counted to have at most BROADCAST_ROWS rows; a larger one is joined by word. Rows that share
-    keys share their maps, which leaves each text's reading right. A null text gives null. A column named out is replaced.
+    Words are matches of a pattern that Java and Python (regex, with ASCII classes) read alike. A vocabulary of at most
+    BROADCAST_ROWS rows is sent to the workers, which look words up where their text lies: nothing is shuffled. For a larger
+    one the distinct words of each text are joined by word, and only those that it knows come back, as arrays by key.
+    Either way a word costs one look-up by hash, however many others the text or the vocabulary has. Rows that share keys
+    share their words, which leaves each text's reading right. A null text gives null. A column named out is replaced.
     """
     vocabulary = vocabulary.where("word IS NOT NULL AND reading IS NOT NULL").groupBy("word").agg(F.min("reading").alias("reading"))
-    if vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        vocabulary = F.broadcast(vocabulary)
+    few = vocabulary.limit(BROADCAST_ROWS + 1).collect()
+    if len(few) <= BROADCAST_ROWS:
+        return df.withColumn(out, _read_by_one(F.col(text), pattern, df.sparkSession.sparkContext.broadcast({r.word: r.reading for r in few})))
     words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), folded))
     own = [F.col(k).alias(f"__{i}") for i, k in enumerate(keys)]
     found = df.select(*own, F.explode(words).alias("word")).distinct().join(vocabulary, "word")
-    maps = found.groupBy(*(f"__{i}" for i in range(len(keys)))).agg(F.map_from_entries(F.collect_list(F.struct("word", "reading"))).alias("__known"))
+    arrays = F.collect_list(F.struct("word", "reading")).alias("__known")
+    known = found.groupBy(*(f"__{i}" for i in range(len(keys)))).agg(arrays)
     same = None
     for i, k in enumerate(keys):
         equal = df[k].eqNullSafe(F.col(f"__{i}"))
         same = equal if same is None else same & equal
-    joined = df.join(maps, same, "left")
-    read = F.when(F.col("__known").isNull(), F.col(text)).otherwise(replaced(F.col(text), pattern, lambda x: F.coalesce(F.try_element_at("__known", folded(x)), x)))
-    return joined.withColumn(out, read).drop("__known", *(f"__{i}" for i in range(len(keys))))
+    joined = df.join(known, same, "left")
+    return joined.withColumn(out, _read_by_own(F.col(text), pattern, F.col("__known.word"), F.col("__known.reading"))).drop("__known", *(f"__{i}" for i in range(len(keys))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from holosna.functions.structural import ENGLISH_WORD
 from holosna.normal.lexicon import BRANDS, ENGLISH, LATIN_WORDS
 from holosna.operators import relations
-from holosna.operators.gating import uncertain_rows
+from holosna.operators.gating import spread, uncertain_rows
 from holosna.plans.queries import _q, _t
 from holosna.sources import lexicons, texts
 from holosna.sources.shared import new_path
@@ -40,7 +40,7 @@ def ua_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents, read with a vocabulary of all words of the benchmark."""
     words = F.explode(F.regexp_extract_all(relations.folded(F.col("text")), F.lit(ENGLISH_WORD), F.lit(0)))
     vocabulary = _t(spark, sf_dir, "benchmark").select(words.alias("word")).distinct().withColumn("reading", F.concat(F.lit("«"), "word", F.lit("»")))
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
     return relations.with_readings(docs, "text", "spoken", vocabulary, ENGLISH_WORD, "doc_id").drop("text")
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,17 @@ def test_vocabulary_as_a_table(spark, df, texts, monkeypatch, broadcast):
     want = [(i or None, t and re.sub("[A-Za-z]+", lambda m: known.get(m[0].lower(), m[0]), t)) for i, t in enumerate(texts)]
     found = [(r.i, r.place) for r in got.collect()]
     assert set(map(repr, found)) == set(map(repr, want)) and len(found) == len(want) + 3
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_long_text_of_known_words(spark, monkeypatch, broadcast):
+    """A word costs one look-up, not one a known word of its text; with a small vocabulary nothing is shuffled."""
+    monkeypatch.setattr(relations, "BROADCAST_ROWS", 100_000 if broadcast else 0)
+    words = [chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676) for i in range(8000)]
+    vocabulary = spark.createDataFrame([(w, w.upper() + "!") for w in words], "word string, reading string")
+    texts = spark.createDataFrame([(1, " ".join(words * 20))], "i long, text string")
+    began = time.time()
+    got = relations.with_readings(texts, "text", "out", vocabulary, "[A-Za-z]+", "i")
+    assert got.first().out == " ".join(w.upper() + "!" for w in words * 20)
+    assert time.time() - began < 20
+    assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) != broadcast
