@@ -22,11 +22,11 @@ def replaced(text: Column, pattern: str, f) -> Column:
 
 def transliterated(text: Column) -> Column:
     """Latin letters as Cyrillic ones, the longest sequences first, in lower case."""
-    pairs = {k: v for k, v in T.LATIN.items() if len(k) > 1}
-    singles = {c: v for k, v in T.LATIN.items() if len(k) == 1 for c in (k, k.upper())} | T.DIACRITICS
-    # the case is folded for ASCII alone; only sequences are cut out, as single letters can be translated where they stand
-    fold = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    out = replaced(text, f"(?i){'|'.join(sorted(pairs, key=len, reverse=True))}", lambda x: F.try_element_at(_map(pairs), fold(x)))
+    singles = {k: v for k, v in T.LATIN.items() if len(k) == 1} | T.DIACRITICS
+    # the case is folded for ASCII alone
+    out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for sequence in T.LATIN_SEQUENCES:
+        out = F.replace(out, F.lit(sequence), F.lit(T.LATIN[sequence]))
     plain = {c: v for c, v in singles.items() if len(v) == 1}
     for c, v in singles.items():
         out = out if c in plain else F.replace(out, F.lit(c), F.lit(v))
@@ -48,4 +48,4 @@ def spelled_letters(text: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Runs of spaces as one, and none at the ends; other white space stays."""
-    return F.trim(F.regexp_replace(text, " +", " "))
+    return F.trim(F.regexp_replace(text, " {2,}", " "))

@@ -46,6 +46,8 @@ LATIN = {
     "a": "а", "b": "б", "c": "к", "d": "д", "e": "е", "f": "ф", "g": "г", "h": "г", "i": "і", "j": "дж", "k": "к", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "q": "к", "r": "р", "s": "с", "t": "т",
     "u": "у", "v": "в", "w": "в", "x": "кс", "y": "и", "z": "з", "sh": "ш", "ch": "ч", "zh": "ж", "kh": "х", "ts": "ц", "yu": "ю", "ya": "я", "ye": "є", "yi": "ї", "oo": "у", "ee": "і", "sch": "щ",
 }
+#: Sequences in an order in which each can be replaced in turn: of overlapping ones that which begins first, then the longer one.
+LATIN_SEQUENCES = ("ts", "sch", "sh", "ch", "zh", "kh", "ye", "yu", "ya", "yi", "oo", "ee")
 DIACRITICS = {
     "á": "а", "à": "а", "â": "а", "ã": "а", "å": "а", "ā": "а", "ă": "а", "ą": "а", "Á": "а", "À": "а", "Â": "а", "Ã": "а", "Å": "а", "Ā": "а", "Ă": "а", "Ą": "а",
     "ä": "е", "Ä": "е", "é": "е", "è": "е", "ê": "е", "ë": "е", "ē": "е", "ė": "е", "ę": "е", "É": "е", "È": "е", "Ê": "е", "Ë": "е", "Ē": "е", "Ė": "е", "Ę": "е",

@@ -10,6 +10,7 @@ rows, joined by union: order of rows isn't kept.
 from __future__ import annotations
 
 import re
+import string
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -49,18 +50,21 @@ def triggers(options: Options) -> list[str]:
     letter, word = f"[{LETTERS}]", f"[{LETTERS}A-Za-z0-9]"
     roman = f"(?<!{_EDGE})[MDCLXVI]{{2,}}(?!{_EDGE})"
     scripts = f"[A-Za-z]['’–-]*{letter}|{letter}['’–-]*[A-Za-z]"
-    of_letters = "|".join([r"\.[^ \n\t,.!?;()\"'«»]", roman, scripts, "[А-ЯЄІЇҐ]{2}"])
-    out = [f"[^{LETTERS}A-Za-z{''.join(T.DIACRITICS)}{_signs()}]|{of_letters}"]
+    # one pattern each: alternatives beside a class would be tried at every character
+    # listed one by one, characters below 256 are looked up in a bitmap; only others are held against the whole class
+    short = string.ascii_letters + "".join(c for c in T.DIACRITICS if c < "\u0100") + "".join(c for c in SIGNS if c.isspace())
+    signs = _signs().replace(" ", "").replace("\\n", "").replace("\\t", "")
+    out = [f"[^{short}{signs}](?<=[^{LETTERS}A-Za-z{''.join(T.DIACRITICS)}{_signs()}])", r"\.[^ \n\t,.!?;()\"'«»]", roman]
     if options.normalize_english_words:
         out.append(any_word({*LATIN_WORDS, *options.vocabulary}))
     known = "|".join(map(_escaped, ACRONYMS))
-    return [*out, f"(?<!{letter})(?:{known})(?!{word})|{'|'.join(abbreviation_patterns())}"]
+    return [*out, f"{scripts}|[А-ЯЄІЇҐ]{{2}}|(?<!{letter})(?:{known})(?!{word})|{'|'.join(abbreviation_patterns())}"]
 
 
 def plain(text: Column, options: Options | str | None = None) -> Column:
     """Whether ``plain_reading`` reads a text as the kernel would. A null text is plain."""
     found = [text.rlike(p) for p in triggers(options_of(options))]
-    # abbreviations and acronyms are of Cyrillic letters, and Roman digits count beside these: a text without any is done
+    # mixed words, abbreviations and acronyms have Cyrillic letters, and Roman digits count beside these: a text without any is done
     *first, last = found
     held = text.rlike("[А-Яа-яЄєІіЇїҐґ]") & (text.rlike("[MDCLXVI]") | last)
     for f in reversed(first):
@@ -78,7 +82,8 @@ def plain_reading(text: Column, options: Options | str | None = None) -> Column:
     out = text if chosen.quote_style == "keep" else structural.unicode_forms(text, chosen.quote_style)
     if chosen.normalize_english_words:
         spelled = lambda run: F.array_join(F.transform(F.split(run, "(?<=.)(?=.)"), lambda c: F.try_element_at(names, c)), " ")
-        out = letters.replaced(out, f"(?<!{_EDGE})[A-Z]+(?!{_EDGE})", spelled)
+        run = f"(?<!{_EDGE})[A-Z]+(?!{_EDGE})"
+        out = F.when(out.rlike(run), letters.replaced(out, run, spelled)).otherwise(out)
     if chosen.transliterate_latin:
         out = letters.transliterated(out)
     return structural.output_spacing(letters.trimmed(out))
