@@ -76,11 +76,12 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Deletes the files of tables that stored() made and that no later step reads."""
+def dropped(*tables: DataFrame, release: bool = True) -> None:
+    """Deletes the files of tables that stored() made and that no later step reads; release: and shuffle files, at the cost of a collection."""
     spark = tables[0].sparkSession
     removed(spark, list({f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles() if "/tables/" in f}))
-    released(spark)
+    if release:
+        released(spark)
 
 
 def released(spark: SparkSession) -> None:
@@ -220,12 +221,15 @@ def words(texts: list[bytes], table: np.ndarray, breaks: bytes = b"\n") -> tuple
     """Of all texts at once: where words start and end in the joined bytes, their 64-bit hashes, and each text's first word (one more at the end)."""
     raw = np.frombuffer(breaks.join(texts) + breaks, np.uint8)
     low = table[raw]
-    is_word = low != 0
-    edge = np.flatnonzero(np.diff(is_word.view(np.int8), prepend=np.int8(0)))
+    is_word = np.zeros(len(low) + 1, bool)
+    np.not_equal(low, 0, out=is_word[1:])
+    edge = np.flatnonzero(is_word[1:] != is_word[:-1])
     start, end = edge[::2], edge[1::2]
     up, down = powers(len(low) + 1)
     total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(low * up[: len(low)], out=total[1:])
+    # in place: a second array of eight bytes a character would leave the processor's cache
+    np.multiply(low, up[: len(low)], out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
     for i in np.flatnonzero(end - start > LONG_WORD):
         hashes[i] = int.from_bytes(hashlib.blake2b(low[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")

@@ -18,12 +18,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holosna.llm.common import CHUNK_BYTES, SPACED, Overlaps, bounded, by_batch, by_list, dropped, mix, small, steps, stored, utf8, words
 
 HEAD = 1 << 19
+#: Bytes of text of a step that makes sets: its arrays of eight bytes a character or word stay in the processor's cache.
+SET_BYTES = CHUNK_BYTES >> 1
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 1 << 20
 #: Postings of a word that are compared at a time; longer lists are cut into blocks, which meet two by two.
@@ -94,7 +96,7 @@ def frequent_words(docs: DataFrame, head: int = HEAD) -> tuple[np.ndarray, np.nd
 
     schema = "key long, words binary, n binary"
     dealt = bounded(docs.select(utf8(F.col("text")).alias("t"))).mapInArrow(tally, schema).repartition("key").sortWithinPartitions("key")
-    counts = stored(by_list(dealt, add, schema), "counts")
+    counts = stored(by_list(dealt, add, schema), "counts", "snappy")  # hashes don't compress
     sizes = counts.mapInArrow(histogram, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
     least, left = 0, head
     for r in sizes:
@@ -110,7 +112,7 @@ def frequent_words(docs: DataFrame, head: int = HEAD) -> tuple[np.ndarray, np.nd
             yield pa.RecordBatch.from_arrays([pa.array(word[keep].view(np.int64)), pa.array(n[keep])], names=["word", "n"])
 
     top = counts.mapInArrow(chosen, "word long, n long").toArrow() if sizes and least else pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-    dropped(counts)
+    dropped(counts, release=False)
     word, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.lexsort((word, n))
     return word[order], n[order]
@@ -195,7 +197,7 @@ def line_sets(docs: DataFrame, head: np.ndarray, num: int, den: int) -> DataFram
         }
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("dk"), utf8(F.col("text")).alias("text_utf8"))
-    return by_batch(texts, look, "doc_id long, dk long, line int, class long, n int, b0 long, b1 long, prefix array<long>")
+    return by_batch(texts, look, "doc_id long, dk long, line int, class long, n int, b0 long, b1 long, prefix array<long>", per_step=SET_BYTES)
 
 
 def sets_of(need: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -216,8 +218,8 @@ def sets_of(need: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         return {"ord": kinds, "words": sets}
 
     # rows repeated whole give a class's words more than once
-    out = stored(by_batch(own, look, "ord long, words array<long>").groupBy("ord").agg(F.first("words").alias("words")), "words")
-    dropped(wanted)
+    out = stored(by_batch(own, look, "ord long, words array<long>").groupBy("ord").agg(F.first("words").alias("words")), "words", "snappy")
+    dropped(wanted, release=False)
     return out
 
 
@@ -227,7 +229,7 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, num: int, den
     both = pairs.join(found.select(F.col("ord").alias("a"), F.col("words").alias("x")), "a").join(found.select(F.col("ord").alias("b"), F.col("words").alias("y")), "b")
     overlap = F.size(F.array_intersect("x", "y"))
     out = stored(both.where(overlap * den >= num * (F.size("x") + F.size("y") - overlap)).select("a", "b"), "similar")
-    dropped(found)
+    dropped(found, release=False)
     return out
 
 
@@ -374,17 +376,17 @@ def removed_classes(classes: DataFrame, docs: DataFrame, often: np.ndarray, num:
     c = F.col
     total = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     buckets = total // BUCKET + 8
-    found = stored(met(packed(classes, long_lists(classes, often), buckets), buckets, num, den), "met")
+    found = stored(met(packed(classes, long_lists(classes, often), buckets), buckets, num, den), "met", "snappy")
     pairs = stored(found.where("near IS NOT NULL").select(c("near").alias("a"), c("ord").alias("b")).distinct(), "near")
     gone = stored(similar(pairs, classes, docs, num, den).select(c("b").alias("ord")).distinct(), "gone")
     # a class that its nearest fails is undecided where a list has others
     undecided = stored(found.where("more").join(gone, "ord", "left_anti").select("list", "ord").distinct(), "undecided")
     again = found.drop("near", "more").join(small(undecided.select("list").distinct()), "list", "left_semi")
-    again = stored(again.join(small(undecided.withColumn("open", F.lit(True))), ["list", "ord"], "left").fillna(False, ["open"]), "again")
+    again = stored(again.join(small(undecided.withColumn("open", F.lit(True))), ["list", "ord"], "left").fillna(False, ["open"]), "again", "snappy")
     dropped(found, pairs, undecided)
     sets = sets_of(again.select("ord").distinct(), classes, docs)
     more = stored(settled(again.join(sets, "ord"), num, den).distinct(), "gone")
-    dropped(again, sets)
+    dropped(again, sets, release=False)
     return gone.unionByName(more.select(c("b").alias("ord")))
 
 
@@ -400,10 +402,9 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     # a word outside the head is no more frequent than the head's least; a list is at most that long, or cut into tiles
     often = np.sort(head[counts > TILE])
     lines = stored(line_sets(docs, head, num, den), "lines", "snappy")
-    place = stored(lines.select("doc_id", "dk", "line", "class"), "places")
+    place = lines.select("doc_id", "dk", "line", "class")
     kinds = lines.groupBy("class").agg(F.min(F.struct("doc_id", "dk", "line")).alias("f"), *(F.first(x).alias(x) for x in ("n", "b0", "b1", "prefix")), F.count("*").alias("n_lines"))
     kinds = stored(kinds.select("class", "f.*", "n", "b0", "b1", "prefix", "n_lines"), "kinds", "snappy")
-    dropped(lines)
     # classes are numbered in the order of their first lines: one long is a class's key and its place in time
     classes = stored(kinds.orderBy("doc_id", "dk", "line").withColumn("ord", F.monotonically_increasing_id()), "classes", "snappy")
     dropped(kinds)
@@ -413,15 +414,19 @@ def removed_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     marked = stored(marked.where("gone OR n_lines > 1").drop("ord"), "marked")
     out = place.join(small(marked), "class").where(F.coalesce("gone", F.lit(False)) | ~first)
     out = stored(out.groupBy("doc_id", "dk").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
-    dropped(classes, place, gone, marked)
+    dropped(lines, classes, gone, marked)
     return out
 
 
+def line_count(text: Column) -> Column:
+    """Pieces that \\n parts a text into, counted by bytes; a null text has none."""
+    return F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+
+
 def decisions(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_lines (split at \\n; null text: 0), n_removed and removed (line numbers from 0) of every row."""
     removed = small(removed_lines(docs, num, den), "removed").withColumnRenamed("doc_id", "__id")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__dk"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"), F.col("text").isNull().alias("none"))
-    own = own.withColumn("n_lines", F.when(F.col("none"), 0).otherwise(F.col("n_lines")))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__dk"), line_count(F.col("text")).alias("n_lines"))
     none = F.array().cast("array<int>")
     return own.join(removed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__dk") == F.col("dk")), "left").select("doc_id", "n_lines", F.size(F.coalesce("removed", none)).alias("n_removed"), F.coalesce("removed", none).alias("removed"))
 
