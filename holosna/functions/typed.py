@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from holosna.functions import numbers
 from holosna.functions import tables as T
 from holosna.normal import dates
-from holosna.normal.lexicon import CURRENCIES, UNIT, Unit
+from holosna.normal.lexicon import CURRENCIES, UNIT, Currency, Unit
 from holosna.normal.ranges import PERCENT
 from holosna.normal.temperature import DEGREE, WRITTEN
 
@@ -79,6 +79,13 @@ def amount_words(value: Column, currency: Column) -> Column:
     return F.concat(_sign(value), said)
 
 
+def cents_words(whole: Column, cents: Column, currency: Currency) -> Column:
+    """An amount in whole units (a long) and hundredths (an int), both not negative, of one currency that has hundredths; no cents, none said."""
+    main, sub = currency.main, currency.sub
+    said = F.concat(F.lit(" "), numbers.below_thousand_words(cents, sub.gender), F.lit(" "), numbers.plural_of(cents, sub.one, sub.few, sub.many))
+    return F.concat(numbers.counted(whole, main.one, main.few, main.many, main.gender, integral=True), F.when(cents > 0, said).when(cents == 0, F.lit("")))
+
+
 def with_amounts(df: DataFrame, value: str, code: str, out: str) -> DataFrame:
     """df with column out, the amounts in value in words, each in the currency that its row's code names; unknown codes give null.
 

@@ -17,9 +17,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holosna.functions import letters, structural
+from holosna.functions import letters, structural, typed
 from holosna.functions import tables as T
-from holosna.operators.normalization import exploded_spans, normalized, options_of
+from holosna.normal.lexicon import CURRENCY
+from holosna.operators.normalization import exploded_spans, normalized, normalized_by, options_of
 from holosna.operators.segmentation import exploded_rows
 from holosna.options import Options
 
@@ -134,3 +135,25 @@ def normalized_rows(df: DataFrame, text: str, out: str, options: Options | str |
     is_plain, df = plain(F.col(text), options), spread(df)
     others = df.where(~is_plain).withColumn(out, normalized(F.col(text), options))
     return df.where(is_plain).withColumn(out, plain_reading(F.col(text), options)).unionByName(others)
+
+
+#: Amounts that the kernel reads by their figures alone: of two decimals and under a thousand millions (longer ones may be
+#: telephone numbers), but not those of 802, which with a point name standards.
+AMOUNT = r"\A(?!802\.)(?:0|[1-9][0-9]{0,8})\.[0-9]{2}\z"
+
+
+def amount_rows(df: DataFrame, amount: str, before: str, written: dict[str, tuple[Column, str]]) -> DataFrame:
+    """df with a column for each currency of written, the reading of an amount after the word before: plain amounts by built-in functions, the rest by the kernel.
+
+    written: the text to be read, made of a column named value, and the currency's code, by the columns to be made. amount
+    is a column of texts. before is a word that no pass reads, which ends in a blank. Equal to ``normalized`` of all
+    texts, under the defaults. Time grows with the rows, however many amounts differ; of amounts that aren't plain each
+    is read once. Order of rows isn't kept.
+    """
+    df = spread(df)
+    is_plain = F.coalesce(F.col(amount).rlike(AMOUNT), F.lit(False))
+    whole, cents = F.substring_index(amount, ".", 1).cast("long"), F.substring_index(amount, ".", -1).cast("int")
+    parts = df.where(is_plain).withColumns({"__whole": whole, "__cents": cents})
+    said = parts.withColumns({k: F.concat(F.lit(before), typed.cents_words(F.col("__whole"), F.col("__cents"), CURRENCY[code])) for k, (_, code) in written.items()})
+    others = normalized_by(df.where(~is_plain), F.col(amount), {k: text for k, (text, _) in written.items()})
+    return said.drop("__whole", "__cents").unionByName(others)

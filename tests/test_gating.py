@@ -92,3 +92,27 @@ def test_words_of_latin_texts_are_found_without_a_shuffle(spark):
     got = uncertain_rows(df, "text", "id")
     assert sorted(map(str, got.collect())) == sorted(map(str, exploded_spans(df, "text").collect()))
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_amounts_read_alike(spark):
+    """Amounts at the bounds of the plain ones are read as the kernel reads them, and plain ones, however many differ, don't reach Python."""
+    from holosna.plans.reading import ua_read_money
+
+    rng = random.Random(4)
+    cents = [0, 1, 99, 100, 105, 1201, 3112, 80199, 80200, 80211, 80300, 99999, 100000, 100001, 111111, 202450, 1_000_000, 2_100_021, 10**8, 10**11 - 1, 10**11, 38067123456712]
+    cents += [rng.randrange(10 ** rng.randint(2, 11)) for _ in range(300)]
+    values = [*(f"{c // 100}.{c % 100:02d}" for c in cents), "-5.00", "-0.00", "null", "NaN", "Infinity", "", "1.5", "12.345", None]
+    df = spark.createDataFrame(list(enumerate(values)), "k long, value string").repartition(3)
+    value = F.col("value")
+    texts = {
+        "uah": F.concat(F.lit("Сума "), F.translate(value, ".", ","), F.lit(" грн")),
+        "usd": F.concat(F.lit("Сума $"), value),
+        "eur": F.concat(F.lit("Сума "), value, F.lit(" EUR")),
+    }
+    got = gating.amount_rows(df, "value", "Сума ", {k: (t, k.upper()) for k, t in texts.items()})
+    want = df.select("k", "value", *(normalized(t).alias(k) for k, t in texts.items()))
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    read = ua_read_money(spark, "/root/testdata/sf0.001")
+    assert read.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert python_rows(read) == 0
