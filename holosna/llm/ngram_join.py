@@ -4,8 +4,9 @@ Sets of equal shingles are one class. Class sizes fall into bands; a tile holds
 small enough below it to link into it. In a tile two linked sets differ in at most k shingles, k from the tile's
 largest size, so if the hash range is cut into more than k parts, some part is equal in both: classes meet by
 (tile, part, content of the part). A passage that many texts share is rarely all that a part holds, so it makes few
-meetings. Parts are cut a little finer (``spare``), so that linked sets share an equal part that isn't empty, and
-empty parts are left out unless a class has more than ``spare`` of them.
+meetings. Parts are cut finer (``spare``), so that linked sets share an equal part that isn't empty, and empty parts
+are left out unless a class has more than ``spare`` of them. These must be few: an empty part is alike in a share of
+all such classes, so its meetings grow with the input, and the pairs in them with its square.
 
 Classes that meet are compared with the first of their meeting, and, where the meeting then still spans components,
 with a few more; components of these links are found. Only meetings that still span some, each set of members once,
@@ -41,8 +42,21 @@ NARROW, WIDE, TILE_BITS = 16, 96, 8
 STARS = 3
 
 
-def spare(k: int) -> int:
-    return 0 if k == 0 else 1 if k < 10 else 2
+@cache
+def spare(k: int, n: int) -> int:
+    """Parts beyond k + 1: so many that sets of n shingles or more have as many empty ones at most, but for some in a thousand.
+
+    Where twice k parts don't do (low similarities), more of them would not pay: one or two.
+    """
+    if k == 0:
+        return 0
+    for extra in range(few := 1 if k < 10 else 2, k + 8, max(1, k // 100)):
+        parts = k + 1 + extra
+        one, two = (1 - 1 / parts) ** n, (1 - 2 / parts) ** n  # that a part, that two given ones are empty
+        mean = parts * one
+        if mean + 3 * math.sqrt(max(0, mean + parts * (parts - 1) * two - mean * mean)) <= extra:
+            return extra
+    return few
 
 
 @cache
@@ -59,7 +73,8 @@ def tile_of(band: int, num: int, den: int) -> tuple[int, int, int]:
     low, high = band_edges()[band], band_edges()[band + 1] - 1
     k = 2 * high - 2 * -(-num * 2 * high // (num + den))  # |A| + |B| - 2 * least overlap, at the largest sizes
     k = max(k, math.floor((den - num) * 2 * high / (num + den)))
-    return -(-num * low // den), k, k + 1 + spare(k)
+    least = -(-num * low // den)
+    return least, k, k + 1 + spare(k, least)
 
 
 def keys(x: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -76,7 +91,7 @@ def keys(x: np.ndarray, num: int, den: int) -> np.ndarray:
         content = total[cut[1:]] - total[cut[:-1]]
         key = mix(content + mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)))
         empty = cut[1:] == cut[:-1]
-        out.append(key if empty.sum() > spare(k) else key[~empty])
+        out.append(key if empty.sum() > parts - k - 1 else key[~empty])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
